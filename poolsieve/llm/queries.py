@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolsieve.llm.decontaminate import decontaminate
+from poolsieve.llm.substring import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,9 +46,37 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
+
+
+_OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM docs WHERE len(w) >= 50)),
+first AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p
+  FROM windows JOIN first USING (g) WHERE doc_id > least),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontamination": op1_decontamination}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op9_substring_dedup": op9_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1_SQL}
+    return {
+        "op1_decontamination": _OP1_SQL,
+        "op9_substring_dedup": _OP9_SQL,
+    }
