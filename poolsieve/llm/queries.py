@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from poolsieve.llm.bpe import read_spec, token_digests
 from poolsieve.llm.decontaminate import decontaminate
 from poolsieve.llm.embed_dedup import embedding_dedup
 from poolsieve.llm.minhash import minhash_dedup
@@ -48,6 +49,17 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def word_bpe_path() -> str:
+    """The tokenizer file that the registered queries use; only its place is known here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), read_spec(word_bpe_path()), ["doc_id"])
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -95,6 +107,7 @@ FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) U
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op4_bpe": op4_bpe,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_substring_dedup": op9_substring_dedup,
