@@ -11,6 +11,7 @@ from poolsieve.llm.decontaminate import decontaminate
 from poolsieve.llm.embed_dedup import embedding_dedup
 from poolsieve.llm.minhash import minhash_dedup
 from poolsieve.llm.substring import dedup_substrings
+from poolsieve.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +105,10 @@ FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) U
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -111,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
