@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from poolsieve.llm.bpe import read_spec, token_digests
 from poolsieve.llm.decontaminate import decontaminate
 from poolsieve.llm.embed_dedup import embedding_dedup
+from poolsieve.llm.langid import identify
 from poolsieve.llm.minhash import minhash_dedup
 from poolsieve.llm.substring import dedup_substrings
 from poolsieve.llm.toxicity import toxicity
@@ -79,6 +80,10 @@ FROM docs d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -114,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op4_bpe": op4_bpe,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_language_id": op6_language_id,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_toxicity": op10_toxicity,
