@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from poolsieve.llm.bpe import read_spec, token_digests
+from poolsieve.llm.chat import BOUNDS, OTHER, START, digests, format_conversations
 from poolsieve.llm.decontaminate import decontaminate
 from poolsieve.llm.embed_dedup import embedding_dedup
 from poolsieve.llm.langid import identify
 from poolsieve.llm.minhash import minhash_dedup
 from poolsieve.llm.substring import dedup_substrings
 from poolsieve.llm.toxicity import toxicity
+from poolsieve.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +54,37 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+#: A conversation that says the control strings themselves.
+_CONFLICT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_CONFLICT).alias("text"))
+    return digests(format_conversations(rows.unionByName(own)))
+
+
+_TAILS = r"(/?s>|/?INST\]|ANS\]|/?SYS\]|/?ROLE\]|TEXT\])"
+_OP3_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_CONFLICT}'), (-7, 1, 'assistant', '{_CONFLICT}')),
+sized AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*){_TAILS}', '\1\\\2\3', 'g'))
+    + CASE role {' '.join(f"WHEN '{r}' THEN {len(START + a + z)}" for r, (a, z) in BOUNDS.items())}
+      ELSE {len(START + ''.join(OTHER))} + length(regexp_replace(role, '([<\[])(\\*){_TAILS}', '\1\\\2\3', 'g')) END AS size FROM rows),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(size) AS size
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM told
+"""
+
+
 def word_bpe_path() -> str:
     """The tokenizer file that the registered queries use; only its place is known here."""
     import public_tokenizers
@@ -117,6 +151,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_url_filter": op2_url_filter,
+        "op3_chat_format": op3_chat_format,
         "op4_bpe": op4_bpe,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language_id": op6_language_id,
@@ -129,6 +165,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": _OP1_SQL,
+        "op3_chat_format": _OP3_SQL,
         "op5_minhash_dedup": _OP5_SQL,
         "op9_substring_dedup": _OP9_SQL,
     }
