@@ -13,6 +13,7 @@ from poolsieve.llm.decontaminate import decontaminate
 from poolsieve.llm.embed_dedup import embedding_dedup
 from poolsieve.llm.langid import identify
 from poolsieve.llm.minhash import minhash_dedup
+from poolsieve.llm.secrets import find_secrets, span_digests
 from poolsieve.llm.substring import dedup_substrings
 from poolsieve.llm.toxicity import toxicity
 from poolsieve.llm.url_filter import filter_urls
@@ -122,6 +123,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_secrets(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -157,6 +162,7 @@ def queries() -> dict[str, Query]:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language_id": op6_language_id,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_secret_scan": op8_secret_scan,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_toxicity": op10_toxicity,
     }
