@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's reliable checkpoint folder and read it from there.
+    """Write ``df`` as a compressed table to the folder that all executors share, and read it.
 
-    ``spark.checkpoint.dir`` names a folder that all executors share.  Where it
-    is unset, as on one machine, a folder in the warehouse is used.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
+    as on one machine, it is in the warehouse.  The table goes when the driver
+    ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoint")
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_cuts"
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -69,6 +69,8 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, table: np.ndarray = SAME):
         self.data = data if table is SAME else table[data]
+        #: For bytes.translate: what is in no word becomes a space.
+        self.blank = np.where(is_word[SAME], SAME, 0x20).astype(np.uint8).tobytes()
         inside = is_word[data]
         first, last = inside.copy(), inside.copy()
         if len(data):
@@ -119,8 +121,10 @@ class Words:
 
     def text(self, start: int, length: int) -> bytes:
         """The words themselves, joined by one space."""
-        d, s, e = self.data, self.starts, self.ends
-        return b" ".join([d[s[i] : e[i]].tobytes() for i in range(start, start + length)])
+        if not length:
+            return b""
+        whole = self.data[self.starts[start] : self.ends[start + length - 1]].tobytes()
+        return b" ".join(whole.translate(self.blank).split())
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -174,12 +174,13 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     look = shared.join(first, "d1").select("d1", "d2", F.col("first_id").alias("doc_id"), "shared")
 
     packed = named.mapInArrow(_packed, f"doc_id {id_type}, d1 long, d2 long, packed binary")
-    windows = cut(packed.join(look, ["doc_id", "d1", "d2"]).mapInArrow(_window_rows, f"w1 long, w2 long, doc_id {id_type}, d1 long, start int"))
+    near = cut(packed.join(look, ["doc_id", "d1", "d2"]))
+    windows = cut(near.mapInArrow(_window_rows, f"w1 long, w2 long, doc_id {id_type}, d1 long, start int"))
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "d1").agg(F.collect_set("start").alias("starts"))
     hit = repeats.join(first.withColumnRenamed("first_id", "doc_id"), ["doc_id", "d1"]).select("doc_id", "d1", "d2", "starts")
     span = "array<struct<first: int, words: int>>"
-    done = packed.join(hit, ["doc_id", "d1", "d2"]).mapInArrow(_remove, f"doc_id {id_type}, d1 long, d2 long, n_removed long, kept string, spans {span}").dropDuplicates(["doc_id", "d1", "d2"])
+    done = near.drop("shared").join(hit, ["doc_id", "d1", "d2"]).mapInArrow(_remove, f"doc_id {id_type}, d1 long, d2 long, n_removed long, kept string, spans {span}").dropDuplicates(["doc_id", "d1", "d2"])
 
     whole = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
     joined = about.join(first, ["d1", "d2"], "left").join(done, ["doc_id", "d1", "d2"], "left")
