@@ -11,12 +11,16 @@ Documents with equal sets are settled first by a 128-bit digest of the set,
 so groups of copies of any size are one node.  Pairs of nodes that share a
 table key are confirmed on their full sets:
 
-1. every node is compared with the smallest node of each of its buckets;
-2. in buckets whose nodes are not yet all of one component, further leaders
-   (4, then 16, then 64, ... of them) are compared with those nodes that are
-   not in the leader's component, until every bucket is settled.
+1. every node is compared with the smallest node of each of its buckets, which
+   settles most of them with one comparison for each node;
+2. in buckets whose nodes are then not all of one component, all pairs of
+   different components are compared inside a task, by counting common shingles
+   as a product of incidence matrices.  Buckets of more than BLOCK nodes are
+   split in blocks and every two blocks meet in a task of their own.  A pair
+   that shares several tables is compared in the first of them only, and a
+   task returns a spanning forest of the links it finds, not the pairs.
 
-No bucket is capped, and no pair is compared whose ends are already linked.
+No bucket is capped, and no pair whose ends are already linked is compared.
 
 Null or empty texts and texts without words have the empty set, which links
 with nothing.  A document without an id keeps its row; it has no component
@@ -27,15 +31,14 @@ stands for the id, and its component holds for all of them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.llm.components import components, cut
+from poolsieve.llm.groups import by_group, deal_blocks, forest
 from poolsieve.llm.kernels import LOWER, NOT_SPACE, Words, as_long, mix, word_slices
 
 #: Keys of each collection, and minhashes of each key.
@@ -45,6 +48,10 @@ HALF = 2
 SHINGLE = 5
 SIMILARITY = 80
 
+#: Nodes of a bucket that one task compares, and columns of an incidence matrix at a time.
+BLOCK = 2048
+_COLUMNS = 2048
+
 _SEEDS = mix(np.arange(1, 2 * M * HALF + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -114,7 +121,65 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    flat = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    both = np.intersect1d(flat[0], flat[1])
+    sides = []
+    for values, row in zip(flat, rows, strict=True):
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        held = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order]))
+    for lo in range(0, len(both), _COLUMNS):
+        part = []
+        for (at, row), n in zip(sides, out.shape, strict=True):
+            a, z = np.searchsorted(at, [lo, lo + _COLUMNS])
+            m = np.zeros((n, min(_COLUMNS, len(both) - lo)), dtype=np.float32)
+            m[row[a:z], at[a:z] - lo] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _within(size: int, percent: int):
+    """Links between different components of each ``(t, key, i, j)``, as a forest."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for rows in by_group(batches, ["t", "key", "i", "j"]):
+            t, i, j = (rows.column(c)[0].as_py() for c in "tij")
+            block, comp = rows.column("block").to_numpy(), rows.column("comp").to_pylist()
+            comp = np.unique(np.array(comp), return_inverse=True)[1]
+            n = rows.column("n").to_numpy()
+            halves = rows.column("halves").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            todo = comp[left][:, None] != comp[right][None, :]
+            for k in [*range(t // M), *range(M, M + t % M)]:  # they met in an earlier table
+                todo &= halves[left, k][:, None] != halves[right, k][None, :]
+            todo &= (100 * n[left][:, None] >= percent * n[right][None, :]) & (100 * n[right][None, :] >= percent * n[left][:, None])
+            if i == j:
+                todo = np.triu(todo, 1)
+            a, b = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+            if not len(a):
+                continue
+            texts = rows.column("packed").take(pa.array(np.concatenate([left[a], right[b]]))).to_pylist()
+            column = pa.array([unpack.decompress(x).decode() for x in texts], pa.large_string())
+            sets = [x for _, _, words in word_slices(column, NOT_SPACE, LOWER) for x in _shingle_sets(words, size)]
+            common = _common(sets[: len(a)], sets[len(a) :])
+            union = n[left[a]][:, None] + n[right[b]][None, :] - common
+            x, y = np.nonzero(todo[np.ix_(a, b)] & (100 * common.astype(np.float64) >= percent * union))
+            root = forest(len(rows), left[a][x], right[b][y])
+            out = np.flatnonzero(root != np.arange(len(rows)))
+            node = rows.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(out)), node.take(pa.array(root[out]))], ["a", "b"])
+
+    return run
+
+
+def minhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -134,9 +199,9 @@ def minhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     nodes = cut(nodes.join(counts, ["s1", "s2"]))
 
     key = F.expr(f"flatten(transform(slice(halves, 1, {M}), (u, i) -> transform(slice(halves, {M + 1}, {M}), (v, j) -> xxhash64(i, j, u, v))))")
-    tables = nodes.select("node", F.explode(key).alias("key"))
-    several = tables.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    buckets = cut(tables.join(several, "key").select("key", "node", "leader"))
+    tables = nodes.select("node", F.posexplode(key).alias("t", "key"))
+    several = tables.groupBy("t", "key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    buckets = cut(tables.join(several, ["t", "key"]).select("t", "key", "node", "leader"))
 
     sizes = nodes.select("node", "n")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_packed, f"node {kind}, packed binary")
@@ -152,23 +217,16 @@ def minhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         return with_text.mapInArrow(_confirm(shingle, percent), f"a {kind}, b {kind}")
 
     links = cut(confirmed(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()))
-    found = [links]
-    place = None
-    leaders, more = 1, 4
-    while True:
-        comp = cut(components(reduce(DataFrame.unionByName, found)))
-        here = (buckets.drop("leader") if place is None else place.drop("comp")).join(comp.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where(f"lo < hi AND c > {leaders} + 1").select("key")
-        here = here.join(open_keys, "key", "left_semi")
-        if place is None:
-            here = here.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
-        place = cut(here)
-        if place.isEmpty():
-            break
-        chosen = place.where(f"rank >= {leaders} AND rank < {leaders + more}").select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("rank").alias("rank_b"))
-        pairs = place.join(chosen, "key").where("rank > rank_b AND comp <> comp_b").select(F.col("node").alias("a"), "b").distinct()
-        found.append(cut(confirmed(pairs)))
-        leaders, more = leaders + more, more * 4
+    comp = cut(components(links).toDF("node", "comp"))
+    here = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    left = here.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"))
+    left = left.where("lo < hi AND c > 2").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    # of buckets with the same nodes, the first holds the first meeting of each pair
+    left = left.groupBy("c", "x1", "x2").agg(F.min(F.struct("t", "key", "blocks")).alias("x")).select("x.*")
+    places = here.join(left, ["t", "key"]).groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("t", "key", "blocks")).alias("places"))  # at most M * M
+    rows = places.join(texts, "node").join(nodes.select("node", "n", "halves"), "node").select("*", F.inline("places")).drop("places")
+    more = deal_blocks(rows, ["t", "key"], ["node", "key"]).mapInArrow(_within(shingle, percent), f"a {kind}, b {kind}")
+    comp = components(comp.toDF("a", "b").unionByName(more))
 
     node_of = ids.select("doc_id", "s1", "s2").distinct().join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
     comp_of = node_of.join(comp.toDF("node", "component"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

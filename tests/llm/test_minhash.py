@@ -86,3 +86,19 @@ def test_repeated_ids(spark):
     assert len(got) == 6
     comp = {r.doc_id: r.component_id for r in got}
     assert comp[1] == 1 and sorted({comp[2], comp[3]}) in ([1, 2], [1, 3])
+
+
+def test_blocks(spark):
+    """Large loose groups, split in blocks."""
+    rng = random.Random(6)
+    base = [f"c{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(500)}"
+        docs.append((i * 7 % 150, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (2048, 16):
+        got = sorted((tuple(r) for r in minhash_dedup(df, shingle=3, percent=85, block=block).collect()), key=str)
+        assert got == brute(docs, 3, 85)
