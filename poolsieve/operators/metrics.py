@@ -115,3 +115,18 @@ def multilabel_groups(preds: DataFrame) -> DataFrame:
 def report(per_group: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
     """A table of percentages, one column for each value of ``columns``."""
     return per_group.groupBy(rows).pivot(columns).agg(F.round(100 * F.first(value), 1))
+
+
+#: The report of each family of tasks, by the first part of a task's key.
+REPORTS = {
+    "classification": accuracy,
+    "retrieval": retrieval_recall,
+    "wilds": group_accuracy,
+    "fairness": multilabel_groups,
+    "misc": association_jaccard,
+}
+
+
+def report_of(key: str):
+    """The function that scores the task ``key``; tasks of no named family are classifications."""
+    return REPORTS.get(key.split("/")[0] if "/" in key else "classification", accuracy)

@@ -8,8 +8,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from poolsieve.functions.lang import model_detector
 from poolsieve.functions.uid import uid_hex
 from poolsieve.operators import metrics, reshard, rollup
+from poolsieve.plans.reshard_job import run
 from poolsieve.sinks.subset import append_results, write_json, write_npy, write_table, write_tars
 from poolsieve.sources import metadata as md
 from poolsieve.sources.tar import group_members, read_samples
@@ -199,3 +201,34 @@ def test_streaming_filter(spark, tmp_path):
     assert sorted(r.uid for r in spark.table("kept").collect()) == [f"u{i}" for i in range(3, 10)]
     with pytest.raises(ValueError):
         select_uids_stream("text_based", stream)
+
+
+def test_reshard_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    uids = [f"{i:032x}" for i in range(20)]
+    for shard in range(2):
+        write_tar(tmp_path / "in" / f"{shard:08d}.tar", [(f"k{u[-4:]}", {"json": json.dumps({"uid": u}).encode(), "jpg": u.encode()}) for u in uids[shard * 10 : shard * 10 + 10]])
+    chosen = spark.createDataFrame([(u,) for u in uids[3:15] + uids[3:5]], "uid string")
+    write_npy(chosen, str(tmp_path / "s.npy"))
+    boxes = spark.createDataFrame([("00000000.tar", uids[4], [[1.0, 2.0]])], "shard_name string, uid string, face_bboxes array<array<double>>")
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "s.npy"), str(tmp_path / "out"))
+    dry = run(*args, reshard.ReshardOptions(dry_run=True))
+    assert dry["output_rows"] == 14 and not (tmp_path / "out").exists()
+    options = reshard.ReshardOptions(shard_size=5, shuffle_seed=1, inject_blur=True, blur_map=True)
+    done = run(*args, options, boxes)
+    assert (done["output_shard_count"], done["output_count"], done["consistent"]) == (3, 14, True)
+    rows = read_samples(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.key for r in rows) == sorted([f"{u}-0" for u in uids[3:15]] + [f"{u}-1" for u in uids[3:5]])
+    told = [json.loads(bytes(r.fields["json"])) for r in rows if r.uid == uids[4]]
+    assert told == [{"uid": uids[4], "face_bboxes": [[1.0, 2.0]]}] * 2
+    assert md.manifest_spec((tmp_path / "out" / "meta.json").read_text()) == "{00000000..00000002}.tar"
+    with pytest.raises(ValueError):
+        run(*args)
+    assert run(*args, reshard.ReshardOptions(overwrite=True, num_shards=1))["output_count"] == 9
+    assert metrics.report_of("wilds/x") is metrics.group_accuracy and metrics.report_of("imagenet") is metrics.accuracy
+
+
+def test_model_detector(spark):
+    detect = model_detector(lambda: lambda texts: ["__label__en" if "the" in t and "\n" not in t else "__label__xx" for t in texts])
+    df = spark.createDataFrame([("a\nthe",), ("b",), (None,)], "text string").select("text", detect(F.col("text")).alias("l"))
+    assert {r.text: r.l for r in df.collect()} == {"a\nthe": "en", "b": "xx", None: None}
