@@ -1,17 +1,23 @@
-"""Command line: select samples and write the subset."""
+"""Command line: select samples, reshard, roll scores up."""
 
 from __future__ import annotations
 
 import argparse
 
+from poolsieve.operators import rollup
 from poolsieve.operators.filters import FILTERS, FilterParams, select_uids
+from poolsieve.operators.reshard import ReshardOptions
+from poolsieve.plans import reshard_job
 from poolsieve.session import build_session
 from poolsieve.sinks.subset import write_npy
-from poolsieve.sources.metadata import read_pool
+from poolsieve.sources.metadata import read_pool, read_results, read_tasks
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(description=__doc__)
+    top = argparse.ArgumentParser(description=__doc__)
+    sub = top.add_subparsers(dest="command", required=True)
+
+    p = sub.add_parser("select", help="write the ids that a filter keeps")
     p.add_argument("--name", required=True, choices=sorted(FILTERS))
     p.add_argument("--metadata-dir", required=True)
     p.add_argument("--save-path", required=True)
@@ -22,15 +28,44 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lexicon", help="Parquet with a column word")
     p.add_argument("--centroids", help="Parquet with centroid_id and c")
     p.add_argument("--targets", help="Parquet with centroid_id")
-    return p
+
+    p = sub.add_parser("reshard", help="write the samples of a subset as new shards")
+    p.add_argument("--input-dir", required=True)
+    p.add_argument("--output-dir", required=True)
+    p.add_argument("--subset-file", required=True)
+    p.add_argument("--shard-size", type=int, default=ReshardOptions.shard_size)
+    p.add_argument("--shard-format", default=ReshardOptions.shard_format)
+    p.add_argument("--first-shard", type=int, default=0)
+    p.add_argument("--num-shards", type=int)
+    p.add_argument("--shuffle-seed", type=int)
+    p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--overwrite", action="store_true")
+
+    p = sub.add_parser("scores", help="roll result lines up to groups of datasets")
+    p.add_argument("--results", required=True)
+    p.add_argument("--tasks", help="YAML of tasks; names the main metrics")
+    p.add_argument("--expected", type=int, default=rollup.SCORED_TASKS)
+    return top
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = build_session()
-    tables = {k: spark.read.parquet(v) for k in ("lexicon", "centroids", "targets") if (v := getattr(args, k))}
-    params = FilterParams(threshold=args.threshold, fraction=args.fraction, arch=args.arch, scale=args.scale, **tables)
-    print(write_npy(select_uids(args.name, read_pool(spark, args.metadata_dir), params), args.save_path), "ids written")
+    if args.command == "select":
+        tables = {k: spark.read.parquet(v) for k in ("lexicon", "centroids", "targets") if (v := getattr(args, k))}
+        params = FilterParams(threshold=args.threshold, fraction=args.fraction, arch=args.arch, scale=args.scale, **tables)
+        print(write_npy(select_uids(args.name, read_pool(spark, args.metadata_dir), params), args.save_path), "ids written")
+    elif args.command == "reshard":
+        names = ("shard_size", "shard_format", "first_shard", "num_shards", "shuffle_seed", "dry_run", "overwrite")
+        options = ReshardOptions(**{n: getattr(args, n) for n in names})
+        for k, v in reshard_job.run(spark, args.input_dir, args.subset_file, args.output_dir, options).items():
+            print(f"{k}: {v}")
+    else:
+        results = rollup.last_wins(read_results(spark, args.results))
+        if args.tasks:
+            results = rollup.main_metric(results.drop("main_metric"), read_tasks(spark, args.tasks))
+        for row in rollup.group_scores(results, rollup.published_groups(spark), args.expected).orderBy("grouping").collect():
+            print(f"{row.grouping}: {row.score}")
     return 0
 
 
