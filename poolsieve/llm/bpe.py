@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,9 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks kept encoded by a worker, and entries of its transition table; beyond, it starts anew.
-MAX_CHUNKS = 200_000
-MAX_TABLE = 2_000_000
+from poolsieve.llm.kernels import pieces
+
+#: Chunks and pieces that a worker keeps encoded in each of two generations, and entries of its transition table.
+MAX_KEPT = 50_000
+MAX_TABLE = 250_000
 
 _SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 #: White space to Python, not to the tokenizer.
@@ -69,10 +72,10 @@ class MergeAutomaton:
         self.dropped: dict[tuple[int, int], int] = {}
         #: Tokens that no string leads to, as their parts never meet.
         self.idle: set[int] = set()
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, (self.labels[t] for t in self.born)), default=1)
+        self.tokens = {self.labels[t]: t for t in self.born}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if not all(t in self.born or t in self.idle for t in (u, v)) or w in self.born or w in self.idle:
@@ -100,42 +103,68 @@ class MergeAutomaton:
             now = min(now, self.born[token])
             token = self.parts[token][0]
 
-    def has_arc(self, last: int | None, token: int) -> bool:
-        """The final table; ``None`` is the start state, which has every arc."""
-        if last is None:
-            return True
-        known = self.table.get((last, token))
-        if known is None:
-            if len(self.table) >= MAX_TABLE:
-                self.table.clear()
-            known = self.table[last, token] = self._arc(last, token, len(self.dropped) + len(self.born))
+    def has_arc(self, last: int, token: int) -> bool:
+        """The final table, filled on first use."""
+        if len(self.table) >= MAX_TABLE:
+            self.table.clear()
+        known = self.table[last << 20 | token] = self._arc(last, token, len(self.parts) + len(self.idle))
         return known
 
-    def encode(self, symbols: list[str]) -> list[int]:
-        """The tokens of the one accepted path over ``symbols``; symbols that the vocabulary lacks are left out."""
-        symbols = [s for s in symbols if s in self.ids]
-        n, text, at = len(symbols), "".join(symbols), [0]
-        for s in symbols:
-            at.append(at[-1] + len(s))
-        last: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
-        for end in range(1, n + 1):
-            begin = end - 1
-            while begin >= 0 and at[end] - at[begin] <= self.longest:
-                token = self.ids.get(text[at[begin] : at[end]])
-                if token is not None and token in self.born and self.has_arc(last[begin], token):
-                    last[end], came[end] = token, begin
-                    break
+    def encode(self, word: str, end: str = "") -> list[int]:
+        """The tokens of the one accepted path over the characters of ``word``, the last of which has ``end`` behind it.
+
+        Characters that the vocabulary lacks are left out.
+        """
+        find, table, arc = self.tokens.get, self.table.get, self.has_arc
+        if word and (word[-1] + end not in self.tokens or any(c not in self.tokens for c in word[:-1])):
+            word, tail = [c for c in word[:-1] if c in self.tokens], word[-1]
+            if tail + end not in self.tokens:
+                return self.encode("".join(word)) if word else []
+            word = "".join(word) + tail
+        n = len(word)
+        last, came = [-1] * (n + 1), [0] * (n + 1)
+        for stop in range(1, n + 1):
+            spelled = word[:stop] + end if stop == n else word
+            to = stop + len(end) if stop == n else stop
+            begin = stop - 1
+            while True:  # each prefix has a path, so this ends
+                token = find(spelled[begin:to])
+                if token is not None:
+                    before = last[begin]
+                    if begin == 0:
+                        break
+                    ok = table(before << 20 | token)
+                    if ok is None:
+                        ok = arc(before, token)
+                    if ok:
+                        break
                 begin -= 1
-            else:
-                raise AssertionError("every prefix has a path")
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = came[end]
+            last[stop], came[stop] = token, begin
+        out, stop = [], n
+        while stop:
+            out.append(last[stop])
+            stop = came[stop]
         return out[::-1]
 
 
+class Kept:
+    """Results by key, in two generations: when one is full the older goes."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def get(self, key: str) -> bytes:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(self.young) >= MAX_KEPT:
+                self.young, self.old = {}, self.young
+            self.young[key] = found
+        return found
+
+
 class Tokenizer:
     """A tokenizer file's text side around its automaton."""
 
@@ -151,23 +180,27 @@ class Tokenizer:
         self.pieces = regex.compile(pattern.replace(r"\s", _SPACE))
         self.space = re.compile(f"[{_SPACE}]+")
         self.symbols = byte_symbols()
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.words = Kept(self._chunk), Kept(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.automaton.encode("".join([self.symbols[b] for b in piece.encode()]), self.suffix)
+        return array("i", ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()):
-            spelled = [self.symbols[b] for b in piece.encode()]
-            spelled[-1] += self.suffix
-            ids += self.automaton.encode(spelled)
-        if len(self.chunks) >= MAX_CHUNKS:
-            self.chunks.clear()
-        packed = self.chunks[chunk] = np.array(ids, dtype=np.int32).tobytes()
-        return packed
+        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if lowered.isalpha():  # one run of letters
+            return self.words.get(lowered)
+        return b"".join(map(self.words.get, self.pieces.findall(lowered)))
 
     def _plain(self, text: str) -> bytes:
         chunks = self.space.split(text) if any(c in text for c in _NOT_SPACE) else text.split()
-        known, make = self.chunks.get, self._chunk
-        return b"".join([known(c) or make(c) for c in chunks if c])
+        return b"".join(map(self.chunks.get, chunks))
+
+    def forget(self) -> None:
+        """Drop what was kept, so that an idle worker is small."""
+        for kept in (self.chunks, self.words):
+            kept.young, kept.old = {}, {}
+        self.automaton.table.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Token ids as 32-bit integers."""
@@ -183,36 +216,54 @@ class Tokenizer:
         return " ".join([label[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(spec: str) -> Tokenizer:
     return Tokenizer(json.loads(spec))
 
 
+def labels_of(spec: str) -> list[str]:
+    """The labels by id, without the automaton."""
+    told = json.loads(spec)
+    labels = {i: s for s, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+    return [labels.get(i, "") for i in range(max(labels) + 1)]
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, spec: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def _decoded(packed: list[bytes], table: np.ndarray) -> pa.Array:
+    return pa.array([" ".join(table[np.frombuffer(p, dtype=np.int32)]) for p in packed], pa.string())
+
+
+def bpe_encode(docs: DataFrame, spec: str, text: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``out``: the token ids of each whole text.
 
-    ``spec`` is the content of a tokenizer file; it is a few MB, whatever the
-    corpus, and goes to the workers by broadcast.
+    With ``decoded``, that column has the ids' labels, one space between; this
+    saves another pass of ``bpe_decode``.  ``spec`` is the content of a
+    tokenizer file; it is a few MB, whatever the corpus, and goes to the
+    workers by broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    names = [c for c in docs.columns if c != out]
+    added = [out] + [decoded] * (decoded is not None)
+    names = [c for c in docs.columns if c not in added]
 
     def run(batches):
         tokenizer = _tokenizer(shared.value)
-        for batch in batches:
+        table = np.array(labels_of(shared.value), dtype=object) if decoded is not None else None
+        for batch in pieces(batches):
             packed = [tokenizer.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [ids], names + [out])
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))]
+            if decoded is not None:
+                columns.append(_decoded(packed, table))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names + added)
+        tokenizer.forget()
 
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.select(*names).mapInArrow(run, schema)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())][: len(added)]
+    return docs.select(*names).mapInArrow(run, T.StructType([docs.schema[c] for c in names] + fields))
 
 
 def bpe_decode(tokens: DataFrame, spec: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -221,9 +272,8 @@ def bpe_decode(tokens: DataFrame, spec: str, ids: str = "token_ids", out: str =
     names = [c for c in tokens.columns if c != out]
 
     def run(batches):
-        labels = _tokenizer(shared.value).labels
-        table = np.array([labels.get(i, "") for i in range(max(labels) + 1)], dtype=object)
-        for batch in batches:
+        table = np.array(labels_of(shared.value), dtype=object)
+        for batch in pieces(batches):
             column = batch.column(ids)
             flat, at = column.flatten().to_numpy(zero_copy_only=False), 0
             texts = []
@@ -238,7 +288,7 @@ def bpe_decode(tokens: DataFrame, spec: str, ids: str = "token_ids", out: str =
 
 def token_digests(docs: DataFrame, spec: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` with the number and digests of each text's tokens and of their decoding."""
-    both = bpe_decode(bpe_encode(docs.select(*dict.fromkeys([*keep, text])), spec, text, "__ids").drop(*({text} - {*keep})), spec, "__ids", "__decoded")
+    both = bpe_encode(docs.select(*dict.fromkeys([*keep, text])), spec, text, "__ids", "__decoded")
     return both.select(
         *keep,
         F.size("__ids").cast("long").alias("n_tokens"),

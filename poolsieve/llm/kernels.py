@@ -148,6 +148,13 @@ def word_slices(texts: pa.Array, is_word: np.ndarray, table: np.ndarray = SAME,
         yield lo, hi, Words(data, offsets, is_word, table)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into few rows each, for code that makes Python strings of them."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def as_long(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit hashes as Spark longs."""
     return pa.array(values.view(np.int64))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolsieve.llm.kernels import pieces
+
 DIM = 1 << 14
 ORDERS = (1, 2, 3)
 FOLDS, HELD_OUT = 4, 2
@@ -93,7 +95,7 @@ def features(texts: list[str | None]):
 def _frequencies(batches):
     """How many documents of the partition hold each feature; feature -1 counts the documents."""
     total, n = np.zeros(DIM, dtype=np.int64), 0
-    for batch in batches:
+    for batch in pieces(batches):
         for lo, hi, counts, _ in features(batch.column(0).to_pylist()):
             total += (counts > 0).sum(axis=0)
             n += hi - lo
@@ -172,7 +174,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def _sparse(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         at, n, lang = [], [], batch.column("lang").to_pylist()
         for _, _, counts, _ in features(batch.column("text").to_pylist()):
             for row in counts:
@@ -224,7 +226,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPL
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from poolsieve.llm.components import components, cut
 from poolsieve.llm.groups import by_group, deal_blocks, forest
-from poolsieve.llm.kernels import LOWER, NOT_SPACE, Words, as_long, mix, word_slices
+from poolsieve.llm.kernels import LOWER, NOT_SPACE, Words, as_long, mix, pieces, word_slices
 
 #: Keys of each collection, and minhashes of each key.
 M = 8
@@ -93,7 +93,7 @@ def _sketch(size: int):
 
 
 def _packed(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         pack = zstandard.ZstdCompressor(level=1)
         texts = [pack.compress(t.encode()) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["node", "packed"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.llm.components import cut
-from poolsieve.llm.kernels import NOT_SPACE, Words, as_long, word_slices
+from poolsieve.llm.kernels import NOT_SPACE, Words, as_long, pieces, word_slices
 
 WINDOW = 50
 PERIOD = 31
@@ -85,7 +85,7 @@ def _anchor_rows(batches):
 
 def _packed(batches):
     """Texts compressed, for a shuffle."""
-    for batch in batches:
+    for batch in pieces(batches):
         pack = zstandard.ZstdCompressor(level=1)
         ids = batch.column(0)
         for lo, hi, words in word_slices(batch.column(1), NOT_SPACE):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from poolsieve.llm.bpe import MergeAutomaton, Tokenizer, bpe_encode, read_spec, token_digests
+from poolsieve.llm.bpe import MergeAutomaton, Tokenizer, bpe_decode, bpe_encode, read_spec, token_digests
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -49,7 +49,7 @@ def test_automaton_on_random_merges():
                 merges.append((a, b))
         auto = MergeAutomaton({t: i for i, t in enumerate(tokens)}, merges)
         for _ in range(30):
-            s = [rng.choice("aabc") for _ in range(rng.randrange(14))]
+            s = "".join(rng.choice("aabc") for _ in range(rng.randrange(14)))
             assert [auto.labels[t] for t in auto.encode(s)] == greedy(s, merges)
 
 
@@ -81,3 +81,5 @@ def test_documents(spark):
     assert sorted(map(tuple, token_digests(docs, SPEC, ["doc_id"]).collect()), key=str) == sorted(want, key=str)
     assert token_digests(docs.limit(0), SPEC, ["doc_id"]).collect() == []
     assert bpe_encode(docs, SPEC).columns == ["doc_id", "text", "n_tokens", "token_ids"]
+    twice = bpe_decode(bpe_encode(docs, SPEC, decoded="one"), SPEC, out="two")
+    assert twice.where("one IS DISTINCT FROM two").count() == 0
