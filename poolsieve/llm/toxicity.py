@@ -1,30 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Word bigrams of all labelled training documents are counted for the toxic and
+Word bigrams of the labelled training documents are counted for the toxic and
 the ordinary class.  In each class
 
     p(w | h) = max(c(h, w) - D2, 0) / c(h) + D2 * types(h) / c(h) * p(w)
     p(w)     = max(c(w) - D1, 0) / N + D1 * types / N * q(w)
 
-with absolute discounts from the counts of counts.  q(w) is shared by the
-classes: the number of different words that w follows in either of them, so a
-rare expression gets the same backoff from both models and tells nothing: a
-word or bigram is rare when, at the size of the smaller class, neither class
-would have it EVIDENCE times.  Rare words are one symbol of the vocabulary, with
-the log ratio 0; a rare bigram has p(w | h) = p(w).
+with absolute discounts from the counts of counts; a context that the class
+does not have leaves all to p(w).  q(w) is shared by the classes: the number of
+different words that w follows in either of them.  Every counted word and bigram
+has its probabilities, however rare; a bigram that neither class has gets the
+mass that its context leaves to p(w).  Only words that neither class has tell
+nothing: their log ratio is 0.
 
 A word's log ratio is log p_toxic - log p_ordinary.  Over thousands of ordinary
 words even small ratios add up to more than a few toxic words do, so beside
-the mean ratio the mean of what exceeds MARGIN is taken, and its sum.  Logistic
-regression on held-back training documents maps these to a probability.
-
-The counts cover every training document and are summed by the cluster, words
-first, then bigrams over the vocabulary.  So that it fits in memory on any
-corpus, beyond WORDS words or BIGRAMS bigrams the least frequent are treated as
-rare too, by a threshold found from the exact counts of counts.  The labels are
-broadcast while they are at most MAX_LABELS rows (counted first); beyond that,
-texts are compressed and joined to them by a shuffle.  Only the logistic fit
-uses a bounded sample, of about CALIBRATION documents.
+the mean ratio the mean of what exceeds MARGIN is taken, and its sum.  Ratios of
+rare expressions are right on average, but noisy.  So they are inputs of their
+own: a word or bigram is rare when, at the size of the smaller class, neither
+class would have it EVIDENCE times, and of a ratio that comes from a rare bigram
+the part of the word alone goes with the others.  Logistic regression on
+held-back training documents finds what either kind is worth, and maps all to a
+probability.
+
+The counts are summed by the cluster and kept in a table, from which no entry is
+dropped.  It is broadcast while it has at most MAX_BYTES (counted first); beyond
+that, the words and bigrams of every document are joined to it by a shuffle, with
+equal scores.  The labels are broadcast while they are at most MAX_LABELS rows;
+beyond that, texts are compressed and joined to them by a shuffle.  Only the
+logistic fit uses a bounded sample, of about CALIBRATION documents.
 
 Null and empty texts have no words and get the score of a document without
 evidence.  Labels that are null are ignored; several for one document count as
@@ -40,69 +44,76 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsieve.llm.components import cut
-from poolsieve.llm.kernels import ALNUM, LOWER, Words, word_slices
+from poolsieve.llm.kernels import ALNUM, LOWER, Words, as_long, mix, word_slices
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-WORDS = 1 << 20
-BIGRAMS = 1 << 19
+#: Bytes of the table of words and bigrams that may be broadcast, and those of one entry.
+MAX_BYTES = 192 << 20
+ENTRY = 13
+#: Words that may be broadcast to a join of bigrams with them.
+MAX_WORDS = 1 << 20
 MAX_LABELS = 2_000_000
 CALIBRATION = 20_000
 #: One training document in so many is held back for the logistic fit.
 HELD_BACK = 6
+#: Expressions with fewer occurrences are inputs of their own.
 EVIDENCE = 3
 #: Words that a worker sums at once.
-COUNTED = 400_000
+COUNTED = 1_000_000
 MARGIN = 2.0
-FEATURES = 5
+FEATURES = 8
+#: The context of a document's first word.
+BEGIN = np.uint64(1)
+
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is the empty text."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % folds).cast("int")
 
 
-def _summed(key: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(key, kind="stable")
-    key, k = key[order], k[order]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    n1, n = np.add.reduceat(k, new), np.diff(np.r_[new, len(key)])
-    return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(n - n1), pa.array(n1)], ["key", "c0", "c1"])
+def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a bigram; that of a word is its hash."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _count(keys):
-    """Sums of ``keys(words)`` by class, over a few hundred thousand words at a time."""
+def _before(words: Words) -> np.ndarray:
+    """The hash of the word before each word."""
+    h = np.full(len(words), BEGIN)
+    h[1:] = words.hashes()[:-1]
+    h[words.bounds[:-1][words.counts() > 0]] = BEGIN
+    return h
+
+
+def _summed(h: np.ndarray, w: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    key = _key(h, w)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n1, n = np.add.reduceat(k[order], new), np.diff(np.r_[new, len(key)])
+    return pa.RecordBatch.from_arrays([as_long(h[order[new]]), as_long(w[order[new]]), pa.array(n - n1), pa.array(n1)], ["h", "w", "c0", "c1"])
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), dtype=np.int64)
-            for lo, hi, words in word_slices(batch.column("text"), ALNUM, LOWER):
-                if len(words):
-                    held.append((keys(words), np.repeat(toxic[lo:hi], words.counts())))
-                    size += len(words)
-                if size >= COUNTED:
-                    yield _summed(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
-        if held:
-            yield _summed(*map(np.concatenate, zip(*held, strict=True)))
-
-    return run
-
-
-def _pairs(vocabulary: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's place in the vocabulary (its size: rare), that of the word before (size + 1: none), and both as one key."""
-    size = len(vocabulary)
-    at, known = _find(vocabulary, words.hashes())
-    w = np.where(known, at, size)
-    h = np.full(len(w), size + 1)
-    h[1:] = w[:-1]
-    h[words.bounds[:-1][words.counts() > 0]] = size + 1
-    return h, w, h * (size + 2) + w
+
+def _count(batches):
+    """Sums of bigrams by class, over about a million words at a time."""
+    held, size = [], 0
+    for batch in batches:
+        toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), dtype=np.int64)
+        for lo, hi, words in word_slices(batch.column("text"), ALNUM, LOWER):
+            if len(words):
+                held.append((_before(words), words.hashes(), np.repeat(toxic[lo:hi], words.counts())))
+                size += len(words)
+            if size >= COUNTED:
+                yield _summed(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield _summed(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _unpack(batches):
@@ -130,46 +141,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
 
 
 @dataclass
-class Model:
-    """Two Kneser-Ney models as arrays; index 0 ordinary, 1 toxic."""
-
-    words: np.ndarray  # hashes of the vocabulary, sorted
-    unigram: np.ndarray  # (2, words): p(w)
-    context: np.ndarray  # (2, words + 2): c(h), of rare words and of no word last
-    backoff: np.ndarray  # (2, words + 2): the mass that h leaves to p(w)
-    bigrams: np.ndarray  # keys, sorted
-    counts: np.ndarray  # (2, bigrams)
-    discount: np.ndarray  # (2,)
-    weights: np.ndarray  # of the logistic regression
-
-    def ratio(self, words: Words) -> np.ndarray:
-        """log p_toxic - log p_ordinary of every word."""
-        out = np.zeros(len(words))
+class Ratios:
+    """Log ratios of words and bigrams, by sorted keys."""
+
+    words: np.ndarray
+    ratio: np.ndarray  # of a word by itself
+    rare: np.ndarray
+    shift: np.ndarray  # what it adds, as a context, to the ratio of a word that never follows it
+    bigrams: np.ndarray
+    pair_ratio: np.ndarray
+    pair_rare: np.ndarray
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """log p_toxic - log p_ordinary of every word, as the part with evidence and the rest."""
+        out, firm = np.zeros(len(words)), np.zeros(len(words))
         if not len(words) or not len(self.words):
-            return out
-        h, w, key = _pairs(self.words, words)
-        known = np.flatnonzero(w < len(self.words))
-        h, w, key = h[known], w[known], key[known]
-        logs = [np.log(self.unigram[k][w]) for k in (0, 1)]
-        there, pair = _find(self.bigrams, key)
-        pair &= (self.context[0][h] > 0) & (self.context[1][h] > 0)
-        there, at, before = there[pair], w[pair], h[pair]
-        for k in (0, 1):
-            own = np.maximum(self.counts[k][there] - self.discount[k], 0) / self.context[k][before] if len(there) else 0
-            logs[k][pair] = np.log(own + self.backoff[k][before] * self.unigram[k][at])
-        out[known] = logs[1] - logs[0]
-        return out
+            return firm, out
+        h, w = _before(words), words.hashes()
+        at, known = _find(self.words, w)
+        before, context = _find(self.words, h)
+        out[known] = self.ratio[at[known]]
+        firm[known] = np.where(self.rare[at[known]], 0, out[known])
+        context &= known
+        out[context] += self.shift[before[context]]
+        at, there = _find(self.bigrams, _key(h, w))
+        out[there] = self.pair_ratio[at[there]]
+        there[there] = ~self.pair_rare[at[there]]
+        firm[there] = out[there]
+        return firm, out - firm
 
     def features(self, words: Words) -> np.ndarray:
-        """One row for each document: 1, mean ratio, mean and sum of the excess, size."""
+        """One row for each document: 1, size, and of either part the mean, and mean and sum of the excess."""
         n = words.counts()
-        ratio = self.ratio(words)
-        mean = _row_sums(ratio, words) / np.maximum(n, 1)
-        excess = _row_sums(np.maximum(ratio - MARGIN, 0), words)
-        return np.stack([np.ones(len(n)), mean, 10 * excess / np.maximum(n, 1), np.log1p(excess), np.log1p(n) / 5], axis=1)
+        x = [np.ones(len(n)), np.log1p(n) / 5]
+        for part in self.of(words):
+            excess = _row_sums(np.maximum(part - MARGIN, 0), words)
+            x += [_row_sums(part, words) / np.maximum(n, 1), 10 * excess / np.maximum(n, 1), np.log1p(excess)]
+        return np.stack(x, axis=1)
+
 
-    def score(self, words: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(words) @ self.weights, -30, 30)))
+def _ratios(table: pa.Table | pa.StructArray) -> Ratios:
+    key, ratio, rare, shift = (table.column(c) if isinstance(table, pa.Table) else table.field(c) for c in ("key", "ratio", "rare", "shift"))
+    word = shift.is_valid().to_numpy(zero_copy_only=False) if isinstance(shift, pa.Array) else shift.is_valid().to_numpy()
+    key, ratio, rare, shift = (np.asarray(c) for c in (key, ratio, rare, shift))
+    order = np.argsort(key.view(np.uint64))
+    one, two = order[word[order]], order[~word[order]]
+    key = key.view(np.uint64)
+    return Ratios(key[one], ratio[one], rare[one], shift[one], key[two], ratio[two], rare[two])
+
+
+@dataclass
+class Model:
+    """The table of log ratios, broadcast too if it is small, and the logistic regression; without a table a share alone."""
+
+    weights: np.ndarray
+    table: DataFrame | None = None  # key, ratio, rare; shift for words, null for bigrams
+    shared: Broadcast | None = None
 
 
 def _row_sums(values: np.ndarray, words: Words) -> np.ndarray:
@@ -200,9 +227,8 @@ def _discount(n1: int, n2: int) -> float:
 
 
 def _empty(share: float) -> Model:
-    none, two = np.zeros(0, np.uint64), np.zeros((2, 0))
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return Model(none, two, two, two, none, two, np.zeros(2), np.array([math.log(share / (1 - share))] + [0.0] * (FEATURES - 1)))
+    return Model(np.array([math.log(share / (1 - share))] + [0.0] * (FEATURES - 1)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -217,112 +243,147 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _tally(df: DataFrame) -> dict[str, dict[int, int]]:
-    """Counts of counts of either class and of both; few rows, as many as there are different counts."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), c.alias("c")) for k, c in (("0", F.col("c0")), ("1", F.col("c1")), ("all", F.col("c0") + F.col("c1")))]))
-    out: dict[str, dict[int, int]] = {"0": {}, "1": {}, "all": {}}
+def _tally(df: DataFrame) -> list[dict[int, int]]:
+    """Counts of counts of either class; few rows, as many as there are different counts."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"c{k}").alias("c")) for k in (0, 1)]))
+    out: list[dict[int, int]] = [{}, {}]
     for of, c, n in df.select(each.alias("x")).groupBy("x.of", "x.c").agg(F.count("*").alias("n")).collect():
         if c:
             out[of][c] = n
     return out
 
 
-def _total(rows: DataFrame, keys) -> DataFrame:
-    counted = rows.select("text", "toxic").mapInArrow(_count(keys), "key long, c0 long, c1 long")
-    return cut(counted.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+def _keyed(batches):
+    for batch in batches:
+        h, w = (batch.column(c).to_numpy().view(np.uint64) for c in "hw")
+        yield pa.RecordBatch.from_arrays([as_long(_key(h, w)), batch.column("ratio"), batch.column("rare")], ["key", "ratio", "rare"])
+
+
+def _gathered(table: DataFrame, words: int, bigrams: int) -> Ratios:
+    """The table's entries; a range of keys at a time, as the driver holds little besides."""
+    out = Ratios(*[np.zeros(n, kind) for n, kind in zip([words] * 4 + [bigrams] * 3, "Qf?fQf?", strict=True)])
+    one = two = 0
+    for k in range(16):
+        part = _ratios(table.where(F.shiftrightunsigned("key", 60) == k).toArrow())
+        a, b = one + len(part.words), two + len(part.bigrams)
+        out.words[one:a], out.ratio[one:a], out.rare[one:a], out.shift[one:a] = part.words, part.ratio, part.rare, part.shift
+        out.bigrams[two:b], out.pair_ratio[two:b], out.pair_rare[two:b] = part.bigrams, part.pair_ratio, part.pair_rare
+        one, two = a, b
+    return out
 
 
-def fit(rows: DataFrame) -> Model:
+def fit(rows: DataFrame, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> Model:
     """Learn from ``text, toxic, cal`` rows."""
-    train = rows.where("NOT cal")
-    words = _total(train, Words.hashes)
+    counted = rows.where("NOT cal").select("text", "toxic").mapInArrow(_count, "h long, w long, c0 long, c1 long")
+    pairs = cut(counted.groupBy("h", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    # every word follows one word, or none
+    words = cut(pairs.groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count("*").alias("n")))
     tally = _tally(words)
-    total = [sum(c * n for c, n in tally[k].items()) for k in "01"]
+    total = [sum(c * n for c, n in t.items()) for t in tally]
     if not all(total):
         return _empty(rows.agg(F.avg("toxic")).first()[0] or 0.0)
-    types = np.array([sum(tally[k].values()) for k in "01"])
-    d1 = [_discount(tally[k].get(1, 0), tally[k].get(2, 0)) for k in "01"]
-    scale = min(total) / np.array(total)
-    common = f"greatest(c0 * {scale[0]}D, c1 * {scale[1]}D) >= {EVIDENCE}"
-
-    def frequent(df: DataFrame, all_counts: dict[int, int], most: int) -> pa.Table:
-        """Rows with evidence, ``most`` at most, by key."""
-        kept = df.where(common)
-        if kept.count() > most:
-            kept = kept.where(f"c0 + c1 >= {_cutoff(list(all_counts.items()), most)}")
-        return kept.toArrow()
-
-    table = frequent(words, tally["all"], WORDS)
-    vocabulary = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary, size = vocabulary[order], len(vocabulary)
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    pairs = _total(train, lambda words: _pairs(shared.value, words)[2])
-    tally = _tally(pairs)
-    d2 = np.array([_discount(tally[k].get(1, 0), tally[k].get(2, 0)) for k in "01"])
-    h, w = F.expr(f"key div {size + 2}L"), F.col("key") % (size + 2)
-    # as many rows as the vocabulary, at most
-    after = pairs.groupBy(h.alias("at")).agg(F.sum("c0").alias("h0"), F.sum("c1").alias("h1"), F.sum(F.expr("int(c0 > 0)")).alias("t0"), F.sum(F.expr("int(c1 > 0)")).alias("t1")).toArrow()
-    follows = pairs.groupBy(w.alias("at")).agg(F.count("*").alias("n")).toArrow()
-
-    def spread(found: pa.Table, column: str) -> np.ndarray:
-        out = np.zeros(size + 2)
-        out[found.column("at").to_numpy()] = found.column(column).to_numpy()
-        return out
-
-    n = spread(follows, "n")
-    q = (n[:size] + 0.5) / (n.sum() + 0.5 * (size + 1))
-    counts = [table.column(f"c{k}").to_numpy().astype(np.float64)[order] for k in (0, 1)]
-    unigram = np.stack([np.maximum(counts[k] - d1[k], 0) / total[k] + d1[k] * types[k] / total[k] * q for k in (0, 1)])
-    context = np.stack([spread(after, f"h{k}") for k in (0, 1)])
-    backoff = np.stack([d2[k] * spread(after, f"t{k}") / np.maximum(context[k], 1) for k in (0, 1)])
-    held = frequent(pairs.where((w < size) & (h != size)), tally["all"], BIGRAMS)
-    keys = held.column("key").to_numpy()
-    by = np.argsort(keys)
-    pair_counts = np.stack([held.column(f"c{k}").to_numpy().astype(np.float64)[by] for k in (0, 1)])
-    return _calibrate(Model(vocabulary, unigram, context, backoff, keys[by], pair_counts, d2, np.zeros(FEATURES)), rows.where("cal"))
+    d1 = [_discount(t.get(1, 0), t.get(2, 0)) for t in tally]
+    types = [sum(t.values()) for t in tally]
+    d2 = [_discount(t.get(1, 0), t.get(2, 0)) for t in _tally(pairs)]
+    size, different = words.count(), pairs.count()
+
+    q = (F.col("n") + 0.5) / (different + 0.5 * (size + 1))
+    p = [F.greatest(F.col(f"c{k}") - d1[k], F.lit(0.0)) / total[k] + d1[k] * types[k] / total[k] * q for k in (0, 1)]
+    scale = [min(total) / t for t in total]
+    rare = (F.greatest(F.col("c0") * scale[0], F.col("c1") * scale[1]) < EVIDENCE).alias("rare")
+    words = words.select("w", rare, p[0].alias("p0"), p[1].alias("p1"))
+    contexts = pairs.groupBy("h").agg(*[F.sum(f"c{k}").alias(f"h{k}") for k in (0, 1)], *[F.sum(F.expr(f"int(c{k} > 0)")).alias(f"t{k}") for k in (0, 1)])
+    left = [F.when(F.col(f"h{k}") > 0, d2[k] * F.col(f"t{k}") / F.col(f"h{k}")).otherwise(1.0).alias(f"b{k}") for k in (0, 1)]
+    contexts = cut(contexts.select("h", "h0", "h1", *left))
+    small = F.broadcast if size <= max_words else lambda df: df
+    own = [F.when(F.col(f"h{k}") > 0, F.greatest(F.col(f"c{k}") - d2[k], F.lit(0.0)) / F.col(f"h{k}")).otherwise(0.0) + F.col(f"b{k}") * F.col(f"p{k}") for k in (0, 1)]
+    ratio = (F.log(own[1]) - F.log(own[0])).cast("float").alias("ratio")
+    two = pairs.join(small(words.drop("rare")), "w").join(small(contexts), "h").select("h", "w", ratio, rare).mapInArrow(_keyed, "key long, ratio float, rare boolean")
+    one = words.join(contexts, words["w"] == contexts["h"], "full").select(
+        F.coalesce("w", "h").alias("key"),
+        F.coalesce(F.log("p1") - F.log("p0"), F.lit(0.0)).cast("float").alias("ratio"),
+        F.coalesce("rare", F.lit(False)).alias("rare"),
+        F.coalesce(F.log("b1") - F.log("b0"), F.lit(0.0)).cast("float").alias("shift"),
+    )
+    table = one.unionByName(two.withColumn("shift", F.lit(None).cast("float")))
+    model = Model(np.zeros(FEATURES), cut(table))
+    if (size + different) * ENTRY <= max_bytes:
+        model.shared = rows.sparkSession.sparkContext.broadcast(_gathered(model.table, size + 1, different))
+    return _calibrate(model, rows.where("cal"))
+
+
+_NAMES = [f"x{k}" for k in range(FEATURES)]
+
+
+def _named(batch: pa.RecordBatch, keep: list[str], parts: list[np.ndarray]) -> pa.RecordBatch:
+    x = np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.ascontiguousarray(c)) for c in x.T], [*keep, *_NAMES])
+
+
+def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the inputs of the logistic regression of every document."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in _NAMES])
+    docs = docs.select(*dict.fromkeys([*keep, text]))
+    none = Ratios(*[np.zeros(0, kind) for kind in "QdbdQdb"])
+    if model.table is None or model.shared is not None:  # nothing to join
+        shared = model.shared
+
+        def run(batches):
+            ratios = none if shared is None else shared.value
+            for batch in batches:
+                yield _named(batch, keep, [ratios.features(words) for _, _, words in word_slices(batch.column(text), ALNUM, LOWER)])
+
+        return docs.mapInArrow(run, schema)
+
+    def ask(batches):
+        for batch in batches:
+            for lo, _, words in word_slices(batch.column(text), ALNUM, LOWER):
+                for r, (a, z) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
+                    if a < z:
+                        h, w = _before(words)[a:z], words.hashes()[a:z]
+                        key = np.unique(np.concatenate([w, _key(h, w), [BEGIN]]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column("__row")[lo + r].as_py())), as_long(key)], ["__row", "key"])
+
+    def told(batches):
+        for batch in batches:
+            parts, found = [], batch.column("__told")
+            for r in range(batch.num_rows):
+                mine = found.slice(r, 1).flatten()
+                own = _ratios(mine) if len(mine) else none
+                parts += [own.features(words) for _, _, words in word_slices(batch.column(text).slice(r, 1), ALNUM, LOWER)]
+            yield _named(batch, keep, parts)
+
+    docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    asked = docs.select("__row", text).mapInArrow(ask, "__row long, key long")
+    found = asked.join(model.table, "key").groupBy("__row").agg(F.collect_list(F.struct("key", "ratio", "rare", "shift")).alias("__told"))
+    return docs.join(found, "__row", "left").mapInArrow(told, schema)
 
 
 def _calibrate(model: Model, rows: DataFrame) -> Model:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     n = rows.count()
     if n > CALIBRATION:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION / n))
-
-    names = [f"x{k}" for k in range(FEATURES)]
-
-    def run(batches):
-        for batch in batches:
-            parts = [shared.value.features(words) for _, _, words in word_slices(batch.column("text"), ALNUM, LOWER)]
-            if parts:
-                x = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in x.T), batch.column("toxic")], [*names, "y"])
-
-    found = rows.select("text", "toxic").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", y int").toArrow()
-    x = np.stack([found.column(c).to_numpy() for c in names], axis=1) if len(found) else np.zeros((0, FEATURES))
-    y = found.column("y").to_numpy().astype(np.float64) if len(found) else np.zeros(0)
-    model.weights = _logistic(x, y) if 0 < y.sum() < len(y) else np.array([-3.0, 0.0, 1.0, 1.0, 0.0])
+    found = features(rows.select("text", "toxic"), model, ["toxic"]).toArrow()
+    x = np.stack([found.column(c).to_numpy() for c in _NAMES], axis=1) if len(found) else np.zeros((0, FEATURES))
+    y = found.column("toxic").to_numpy().astype(np.float64) if len(found) else np.zeros(0)
+    model.weights = _logistic(x, y) if 0 < y.sum() < len(y) else np.array([-3.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0])
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            parts = [shared.value.score(words) for _, _, words in word_slices(batch.column(text), ALNUM, LOWER)]
-            scores = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [scores], [*keep, "score"])
-
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    keep_as = [f"k{k}" for k in range(len(keep))]  # a column may be called as an input is
+    docs = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, keep_as, strict=True)], F.col(text).alias("__text"))
+    x = features(docs, model, keep_as, "__text")
+    logit = sum((F.col(c) * float(w) for c, w in zip(_NAMES[1:], model.weights[1:], strict=True)), F.lit(float(model.weights[0])))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
+    return x.select(*[F.col(k).alias(c) for c, k in zip(keep, keep_as, strict=True)], score.alias("score"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, max_labels: int = MAX_LABELS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> DataFrame:
     """``keep`` columns, ``held_out``, ``score`` and ``predicted`` of every document."""
     keep = ["doc_id"] if keep is None else keep
-    model = fit(training_rows(docs, labels, max_labels))
+    model = fit(training_rows(docs, labels, max_labels), max_bytes, max_words)
     scored = score_documents(docs, model, keep)
     held = fold("doc_id", FOLDS) == HELD_OUT
     return scored.select(*keep, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
