@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.vector import argmax, jaccard, top_k
 
+#: Rows of a side that one task compares.
+BLOCK = 2048
+
 
 def predictions(logits: DataFrame, k: int = 5) -> DataFrame:
     """Adds ``pred`` and ``top`` from ``logits``."""
@@ -37,6 +42,44 @@ def macro_scores(preds: DataFrame) -> DataFrame:
     return per.agg(F.try_divide(F.sum("tp"), F.sum("t")).alias("acc"), F.avg(recall).alias("recall_macro"), F.avg(f1).alias("f1_macro"))
 
 
+def nearest_candidates(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """``query, candidate, score``: of all candidates each query's ``k`` of the largest inner products, of equals the smallest ids.
+
+    Either side has its id and ``v``; with a null vector the score is null, and
+    last.  Rows are dealt over blocks of about ``block``, every block of queries
+    meets every block of candidates in a task of its own, and no more than ``k``
+    rows for each query leave it.
+    """
+    blocks = [max(1, -(-df.count() // block)) for df in (queries, candidates)]
+    own = [F.pmod(F.xxhash64(name), F.lit(n)).cast("int") for name, n in zip((query, candidate), blocks, strict=True)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
+    left = queries.select(query, "v", own[0].alias("i")).withColumn("j", every[1])
+    right = candidates.select(candidate, "v", own[1].alias("j")).withColumn("i", every[0])
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        c = c.sort_values(candidate)
+        ids, there = c[candidate].to_numpy(), c["v"].notna().to_numpy()
+        b = np.array(c["v"][there].tolist(), dtype=np.float64)
+        for name, v in zip(q[query], q["v"], strict=True):
+            scores = np.full(len(ids), np.nan)
+            if v is not None and there.any():
+                # one dimension after the other, as dot() adds, so that equals stay equal
+                total = np.zeros(len(b))
+                for x, column in zip(np.asarray(v, dtype=np.float64), b.T, strict=True):
+                    total += x * column
+                scores[there] = total
+            top = np.argsort(-scores, kind="stable")[:k]
+            parts.append(pd.DataFrame({query: name, candidate: ids[top], "score": scores[top]}))
+        return pd.concat(parts) if parts else pd.DataFrame({query: [], candidate: [], "score": []})
+
+    kinds = [df.schema[n].dataType.simpleString() for df, n in ((queries, query), (candidates, candidate))]
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"{query} {kinds[0]}, {candidate} {kinds[1]}, score double")
+    found = found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), candidate))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
 def retrieval_recall(scores: DataFrame, query: str, candidate: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Share of queries with a relevant candidate among the first k.  Needs ``score, relevant``."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), candidate))

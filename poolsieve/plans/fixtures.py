@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from poolsieve.functions.vector import dot
 from poolsieve.operators.centroids import nearest_centroid, target_centroids
+from poolsieve.operators.metrics import nearest_candidates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,15 +102,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("source").alias("dataset")).agg(F.avg("quality").alias("main_metric"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images (even ids) with captions (odd ids); the caption after an image is its own.
-
-    Test fixture of a few hundred rows on either side.
-    """
-    rows = vectors(spark, sf_dir).where("vec_id < 500")
-    image = rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("image"), F.col("embedding").alias("a"))
-    caption = rows.where("vec_id % 2 = 1").select(F.col("vec_id").alias("caption"), F.col("embedding").alias("b"))
-    return image.crossJoin(caption).select("image", "caption", dot(F.col("a"), F.col("b")).alias("score"), (F.col("caption") == F.col("image") + 1).alias("relevant"))
+def pairs(spark: SparkSession, sf_dir: str, query: str, candidate: str, k: int = 10) -> DataFrame:
+    """Images (even ids) with captions (odd ids), the ``k`` best of all candidates for every query; the caption after an image is its own."""
+    rows = vectors(spark, sf_dir)
+    sides = {name: rows.where(f"vec_id % 2 = {odd}").select(F.col("vec_id").alias(name), F.col("embedding").alias("v")) for odd, name in enumerate(("image", "caption"))}
+    found = nearest_candidates(sides[query], sides[candidate], query, candidate, k)
+    return found.withColumn("relevant", F.col("caption") == F.col("image") + 1)
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,8 +229,7 @@ def _recall(query: str, candidate: str) -> str:
 
 @query(f"{_recall('image', 'caption')} UNION ALL {_recall('caption', 'image')}", "pairs")
 def retrieval_recall(spark, d):
-    pairs = fx.pairs(spark, d)
-    both = [metrics.retrieval_recall(pairs, q, c).withColumn("query", F.lit(q)) for q, c in (("image", "caption"), ("caption", "image"))]
+    both = [metrics.retrieval_recall(fx.pairs(spark, d, q, c), q, c).withColumn("query", F.lit(q)) for q, c in (("image", "caption"), ("caption", "image"))]
     return both[0].unionByName(both[1])
 
 

@@ -9,7 +9,9 @@ from poolsieve.functions.uid import copy_key, high, low, uid_bin, uid_hex
 from poolsieve.functions.vector import argmax, is_in, jaccard, mask_from, top_k
 from poolsieve.operators.centroids import nearest_centroid, train_centroids
 from poolsieve.operators.filters import FILTERS, FilterParams, check_params, select_uids
+from poolsieve.operators.metrics import nearest_candidates
 from poolsieve.operators.threshold import top_fraction_threshold
+from poolsieve.plans.queries import QUERIES
 
 POOL = "uid string, text string, lang string, original_width long, original_height long, clip_b32_similarity_score float, clip_l14_similarity_score double"
 
@@ -118,6 +120,23 @@ def test_nearest_centroid_in_blocks(spark):
     assert {r.centroid_id for r in nearest_centroid(vectors, centroids.limit(0)).collect()} == {None}
 
 
+def test_retrieval_ranks_all_candidates(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 8)).astype(np.float32)
+    x[1::2] = x[::2] + rng.standard_normal((350, 8)) * 0.5
+    x[601] = x[301] = x[41]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["query"]: r for r in QUERIES["retrieval_recall"](spark, str(tmp_path)).collect()}
+    x = x.astype(np.float64)
+    for query, a, b in (("image", x[::2], x[1::2]), ("caption", x[1::2], x[::2])):
+        ranks = [[int(c) for c in np.lexsort((np.arange(350), -(a[i] * b).cumsum(axis=1)[:, -1]))].index(i) for i in range(350)]
+        for k in (1, 5, 10):
+            assert abs(got[query][f"recall_{k}"] - np.mean(np.array(ranks) < k)) < 1e-9
+    side = lambda lo, name: spark.createDataFrame([(i, None if i == 4 else x[i].tolist()) for i in range(lo, 60, 2)], f"{name} long, v array<double>")
+    told = [sorted(nearest_candidates(side(0, "q"), side(1, "c"), "q", "c", k=3, block=n).select("q", "c").collect()) for n in (7, 1000)]
+    assert told[0] == told[1] and len(told[0]) == 90 and [r.c for r in told[0] if r.q == 4] == [1, 3, 5]
+
+
 def test_kmeans_separates_clusters(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(4)[i % 4] * 9 + rng.standard_normal(4) * 0.1).tolist()) for i in range(80)]
