@@ -27,8 +27,9 @@ The counts are summed by the cluster and kept in a table, from which no entry is
 dropped.  It is broadcast while it has at most MAX_BYTES (counted first); beyond
 that, the words and bigrams of every document are joined to it by a shuffle, with
 equal scores.  The labels are broadcast while they are at most MAX_LABELS rows;
-beyond that, texts are compressed and joined to them by a shuffle.  Only the
-logistic fit uses a bounded sample, of about CALIBRATION documents.
+beyond that, texts are compressed and joined to them by a shuffle.  About
+CALIBRATION training documents at most are held back for the logistic fit; all
+others are counted.
 
 Null and empty texts have no words and get the score of a document without
 evidence.  Labels that are null are ignored; several for one document count as
@@ -61,7 +62,7 @@ ENTRY = 13
 MAX_WORDS = 1 << 21
 MAX_LABELS = 2_000_000
 CALIBRATION = 20_000
-#: One training document in so many is held back for the logistic fit.
+#: One training document in so many is held back for the logistic fit, fewer where those are more than CALIBRATION.
 HELD_BACK = 6
 #: Expressions with fewer occurrences are inputs of their own.
 EVIDENCE = 3
@@ -129,12 +130,14 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, calibration: int = CALIBRATION) -> DataFrame:
     """``text, toxic, cal`` of the documents to learn from; ``cal`` marks those held back."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labels = labels.where(fold("doc_id", FOLDS) != HELD_OUT).withColumn("cal", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_BACK)) == 0)
+    labels = labels.where(fold("doc_id", FOLDS) != HELD_OUT)
+    n = labels.count()
+    labels = labels.withColumn("cal", F.pmod(F.xxhash64("doc_id"), F.lit(max(HELD_BACK, -(-n // calibration)))) == 0)
     docs = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    if labels.limit(max_labels + 1).count() <= max_labels:
+    if n <= max_labels:
         return docs.join(F.broadcast(labels), "doc_id").select("text", "toxic", "cal")
     packed = docs.mapInArrow(_pack, T.StructType([docs.schema["doc_id"], T.StructField("packed", T.BinaryType())]))
     return packed.join(labels, "doc_id").select("toxic", "cal", "packed").mapInArrow(_unpack, "toxic int, cal boolean, text string")
@@ -360,9 +363,6 @@ def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
 
 def _calibrate(model: Model, rows: DataFrame) -> Model:
-    n = rows.count()
-    if n > CALIBRATION:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION / n))
     found = features(rows.select("text", "toxic"), model, ["toxic"]).toArrow()
     x = np.stack([found.column(c).to_numpy() for c in _NAMES], axis=1) if len(found) else np.zeros((0, FEATURES))
     y = found.column("toxic").to_numpy().astype(np.float64) if len(found) else np.zeros(0)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from poolsieve.llm.kernels import ALNUM, LOWER, word_slices
-from poolsieve.llm.toxicity import _cutoff, fit, toxicity
+from poolsieve.llm.toxicity import _cutoff, fit, toxicity, training_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,3 +111,11 @@ def test_every_counted_expression_has_its_ratio(spark):
         assert np.allclose(sum(model.shared.value.of(words)), want, atol=1e-5)
     once = next(iter(word_slices(pa.array(["mean"]), ALNUM, LOWER)))[2]
     assert sum(model.shared.value.of(once))[0] > 0
+
+
+def test_only_a_bounded_sample_is_not_counted(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    n = {c: r for c, r in training_rows(docs, labels, calibration=50).groupBy("cal").count().collect()}
+    assert n[True] + n[False] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(3000))
+    assert 20 < n[True] < 90
