@@ -59,7 +59,7 @@ THRESHOLD = 0.7
 MAX_BYTES = 192 << 20
 ENTRY = 13
 #: Words that may be broadcast to a join of bigrams with them.
-MAX_WORDS = 1 << 21
+MAX_WORDS = 1 << 20
 MAX_LABELS = 2_000_000
 CALIBRATION = 20_000
 #: One training document in so many is held back for the logistic fit, fewer where those are more than CALIBRATION.
