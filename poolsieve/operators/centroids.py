@@ -77,3 +77,10 @@ def train_centroids(vectors: DataFrame, k: int, vector: str = "embedding", itera
         rows = rows.sample(withReplacement=True, fraction=sample_ratio, seed=seed)
     model = KMeans(k=k, maxIter=iterations, seed=seed).fit(rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "centroid_id long, c array<double>")
+
+
+def inertia(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
+    """``inertia``, one row: the sum of every vector's squared distance to its nearest of a few centroids."""
+    all_of_them = centroids.agg(F.collect_list("c").alias("cs"))
+    distance = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return vectors.crossJoin(F.broadcast(all_of_them)).agg(F.sum(F.array_min(F.transform("cs", distance))).alias("inertia"))

@@ -364,10 +364,11 @@ def scalar_functions(spark, d):
 
 @query()
 def kmeans_inertia(spark, d):
-    """Centroids by Lloyd's algorithm; their number and how many vectors each has."""
+    """Centroids by Lloyd's algorithm: how many vectors each has, and the squared distances of all vectors to their nearest in sum."""
     vectors = fx.vectors(spark, d)
-    made = cen.train_centroids(vectors, 8, iterations=5, seed=1)
-    return cen.nearest_centroid(vectors, made).groupBy("centroid_id").agg(F.count("*").alias("n"))
+    made = cen.train_centroids(vectors, 8, seed=1)
+    counts = cen.nearest_centroid(vectors, made).groupBy("centroid_id").agg(F.count("*").alias("n"))
+    return counts.crossJoin(cen.inertia(vectors, made))  # one row
 
 
 def queries() -> dict[str, Query]:

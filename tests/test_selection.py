@@ -149,6 +149,16 @@ def test_kmeans_separates_clusters(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_kmeans_query_has_the_inertia(spark):
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = QUERIES["kmeans_inertia"](spark, sf).collect()
+    x = np.array([r.embedding for r in vectors.collect()], dtype=np.float64)
+    c = np.array([r.c for r in train_centroids(vectors, 8, iterations=20, seed=1).collect()])
+    want = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert sum(r.n for r in got) == len(x) and all(abs(r.inertia - want) < 1e-6 * want for r in got)
+
+
 def test_text_entity(spark):
     lexicon = spark.createDataFrame([("dog",), ("cat",)], "word string")
     rows = [row("a", "a Dog runs"), row("b", "dogs run"), row("c", "the cat\u2003sat"), row("d", "le dog", "fr"), row("e", None)]
