@@ -10,6 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: At most so many keys count as hot, those with more than this part of all rows, and LEAST rows at least.
+HOT_KEYS = 100_000
+LEAST = 1000
+SALTS = 64
+
+
+def join_salted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, seed: list[str]) -> DataFrame:
+    """Inner join with ``keyed``, which has one row for each of ``keys`` and the number of rows that have them.
+
+    Hot keys, which are HOT_KEYS at most and so may be broadcast, are dealt to SALTS tasks by a hash of ``seed``.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(total // HOT_KEYS, LEAST)
+    few = keyed.where(hot).select(*keys, F.lit(True).alias("__hot"))
+    rows = rows.join(F.broadcast(few), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*seed), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    salted = keyed.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.join(salted.drop(count), [*keys, "__salt"]).drop("__salt")
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows of equal long ``keys``, which follow each other, as one table each; single rows are left out."""
     rest = None

@@ -1,15 +1,18 @@
 """Vectorised text kernels shared by the Arrow-batched operators.
 
 A batch of texts is handled as one flat byte array, in slices of whole rows,
-so no Python object is made per word.  Hashes are 64-bit polynomial hashes
-taken from prefix sums: any run of words costs O(1), whatever its length.
-They only ever propose matches; callers confirm on the words themselves or on
-128 bits.
+so no Python object is made per word.  Hashes have 64 bits.  Every byte is mixed
+with its place before it is summed, and every word before it is chained, so
+no pattern of bytes or words cancels out.  They propose matches; callers
+confirm on the words, on a cryptographic digest of them, or on a second hash
+that is independent of the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer row is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_M64 = (1 << 64) - 1
-_BYTE_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_WORD_BASES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Seeds of the two independent hashes.
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_STEPS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -35,25 +38,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS = tuple(_Powers(b) for b in _BYTE_BASES)
-_WORD_POWERS = tuple(_Powers(b) for b in _WORD_BASES)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on all of them."""
     h = h ^ (h >> np.uint64(33))
@@ -64,6 +48,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Places in a word whose values are kept in a table; a power of two.
+_PLACES = 32
+
+
+def _values(code: np.ndarray, which: int) -> np.ndarray:
+    """A mixed value for every place and byte, ``place * 256 + byte``."""
+    return mix(mix(code.astype(np.uint64) * _STEPS[which] + _SEEDS[which]))
+
+
+@lru_cache(maxsize=2)
+def _spread(which: int) -> np.ndarray:
+    return _values(np.arange(_PLACES * 256), which)
+
+
 class Words:
     """The words of consecutive rows: byte spans, hashes, and each row's range of words."""
 
@@ -83,7 +81,6 @@ class Words:
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         #: Row r has the words bounds[r] .. bounds[r + 1] - 1.
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._sums: dict[int, np.ndarray] = {}
         self._hashes: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
@@ -100,24 +97,40 @@ class Words:
         """For each word, its row."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
+    def _inside(self) -> np.ndarray:
+        """The positions of all bytes of words."""
+        size = self.ends - self.starts
+        return np.arange(size.sum()) + np.repeat(self.starts - (np.cumsum(size) - size), size)
+
     def hashes(self, which: int = 0) -> np.ndarray:
+        """The sum over a word's bytes of a mixed value for each byte and its place, mixed again with the length."""
         if which not in self._hashes:
-            up, down = _BYTE_POWERS[which].get(len(self.data) + 1)
+            place = np.zeros(len(self.data), dtype=np.int64)
+            size, inside = self.ends - self.starts, self._inside()
+            place[inside] = inside - np.repeat(self.starts, size)
+            code = (place << 8) + self.data
+            values = _spread(which)[code & (_PLACES * 256 - 1)]
+            far = np.flatnonzero(place >= _PLACES)
+            values[far] = _values(code[far], which)
             sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-            raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self._hashes[which] = mix(raw + (self.ends - self.starts).astype(np.uint64))
+            np.cumsum(values, out=sums[1:])
+            self._hashes[which] = mix(sums[self.ends] - sums[self.starts] + size.astype(np.uint64))
         return self._hashes[which]
 
     def grams(self, start: np.ndarray, length: np.ndarray | int, which: int = 0) -> np.ndarray:
-        """Hashes of the runs of ``length`` words that begin at ``start``."""
-        up, down = _WORD_POWERS[which].get(len(self) + 1)
-        if which not in self._sums:
-            sums = np.zeros(len(self) + 1, dtype=np.uint64)
-            np.cumsum(self.hashes(which) * up[: len(self)], out=sums[1:])
-            self._sums[which] = sums
-        sums = self._sums[which]
-        return mix((sums[start + length] - sums[start]) * down[start])
+        """Hashes of the runs of ``length`` words that begin at ``start``; costs a few steps for each word of a run."""
+        if not np.isscalar(length):
+            out = np.zeros(len(start), dtype=np.uint64)
+            for n in np.unique(length).tolist():
+                out[length == n] = self.grams(start[length == n], n, which)
+            return out
+        words, step = self.hashes(which), _STEPS[which]
+        out = np.full(len(start), np.uint64(length) + _SEEDS[1 - which], dtype=np.uint64)
+        for k in range(length):
+            out ^= words[start + k]
+            out *= step
+            out ^= out >> np.uint64(32)
+        return mix(out)
 
     def text(self, start: int, length: int) -> bytes:
         """The words themselves, joined by one space."""
@@ -126,6 +139,21 @@ class Words:
         whole = self.data[self.starts[start] : self.ends[start + length - 1]].tobytes()
         return b" ".join(whole.translate(self.blank).split())
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of BLAKE2 over the words of every row, joined by one space."""
+        told = b"".join([blake2b(self.text(int(a), int(n)), digest_size=16).digest() for a, n in zip(self.bounds[:-1], self.counts(), strict=True)])
+        both = np.frombuffer(told, dtype=np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words joined by one space, and where each begins; the last entry is one beyond the end."""
+        at = np.zeros(len(self) + 1, dtype=np.int64)
+        np.cumsum(self.ends - self.starts + 1, out=at[1:])
+        out = np.full(at[-1], 0x20, dtype=np.uint8)
+        inside = self._inside()
+        out[inside + np.repeat(at[:-1] - self.starts, self.ends - self.starts)] = self.data[inside]
+        return out.tobytes(), at
+
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows ``(lo, hi, bytes, offsets)`` of about ``limit`` bytes; null counts as empty."""

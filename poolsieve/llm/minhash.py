@@ -7,9 +7,10 @@ cost 2 * M * HALF minhashes instead of M * M * 2 * HALF.  A pair of similarity
 s meets in a table with probability (1 - (1 - s**HALF)**M)**2, which is
 0.99993 at 0.85 for M = 8 and HALF = 2, and more above.
 
-Documents with equal sets are settled first by a 128-bit digest of the set,
-so groups of copies of any size are one node.  Pairs of nodes that share a
-table key are confirmed on their full sets:
+Documents with equal shingles are settled first by a 128-bit digest of them (64
+bits of the set, 64 of a second hash over every shingle of the text), so groups of copies of any size are one node.
+Pairs of nodes that share a table key are confirmed on their full sets, by a
+hash of the shingles that is independent of the one the keys are made of:
 
 1. every node is compared with the smallest node of each of its buckets, which
    settles most of them with one comparison for each node;
@@ -23,9 +24,8 @@ table key are confirmed on their full sets:
 No bucket is capped, and no pair whose ends are already linked is compared.
 
 Null or empty texts and texts without words have the empty set, which links
-with nothing.  A document without an id keeps its row; it has no component
-and is
-kept.  Where rows share an id but not the set, the one with the smallest digest
+with nothing; texts are read whole, however long, and an empty table gives an
+empty result.  Only the two named columns are read.  A document without an id keeps its row; it has no component and is kept.  Where rows share an id but not the set, the one with the smallest digest
 stands for the id, and its component holds for all of them.
 """
 
@@ -55,15 +55,19 @@ _COLUMNS = 2048
 _SEEDS = mix(np.arange(1, 2 * M * HALF + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _shingle_sets(words: Words, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every row."""
+def _shingles(words: Words, size: int, which: int) -> list[np.ndarray]:
+    """Shingle hashes of every row, in the order of the text."""
     counts = words.counts()
     n = np.maximum(counts - size + 1, (counts > 0).astype(counts.dtype))
     ends = np.cumsum(n)
     start = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(words.bounds[:-1], n)
     length = np.repeat(np.minimum(counts, size), n)
-    grams = words.grams(start, length)
-    return [np.unique(x) for x in np.split(grams, ends[:-1])] if len(ends) else []
+    return np.split(words.grams(start, length, which), ends[:-1]) if len(ends) else []
+
+
+def _full_sets(words: Words, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of every row, to confirm on; independent of the hashes that sketches are made of."""
+    return [np.unique(x) for x in _shingles(words, size, 1)]
 
 
 def _sketch(size: int):
@@ -71,7 +75,7 @@ def _sketch(size: int):
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, words in word_slices(batch.column(1), NOT_SPACE, LOWER):
-                sets = _shingle_sets(words, size)
+                sets = [np.unique(x) for x in _shingles(words, size, 0)]
                 n = np.array([len(x) for x in sets])
                 full = n > 0
                 s1, s2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
@@ -80,7 +84,7 @@ def _sketch(size: int):
                     flat = np.concatenate([x for x in sets if len(x)])
                     at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                     s1[full] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    s2[full] = np.add.reduceat(mix(flat ^ np.uint64(0x14057B7EF767814F)), at)
+                    s2[full] = [mix(x).sum(dtype=np.uint64) for x in _shingles(words, size, 1) if len(x)]
                     for k in range(2 * M):
                         key = np.full(int(full.sum()), k, dtype=np.uint64)
                         for seed in _SEEDS[k * HALF : (k + 1) * HALF]:
@@ -109,7 +113,7 @@ def _confirm(size: int, percent: int):
             texts = dict(zip(a, batch.column("text_a").to_pylist(), strict=True)) | dict(zip(b, batch.column("text_b").to_pylist(), strict=True))
             nodes = list(texts)
             column = pa.array([unpack.decompress(texts[x]).decode() for x in nodes], pa.large_string())
-            sets = [x for _, _, words in word_slices(column, NOT_SPACE, LOWER) for x in _shingle_sets(words, size)]
+            sets = [x for _, _, words in word_slices(column, NOT_SPACE, LOWER) for x in _full_sets(words, size)]
             sets = dict(zip(nodes, sets, strict=True))
             linked = []
             for x, y in zip(a, b, strict=True):
@@ -167,7 +171,7 @@ def _within(size: int, percent: int):
                 continue
             texts = rows.column("packed").take(pa.array(np.concatenate([left[a], right[b]]))).to_pylist()
             column = pa.array([unpack.decompress(x).decode() for x in texts], pa.large_string())
-            sets = [x for _, _, words in word_slices(column, NOT_SPACE, LOWER) for x in _shingle_sets(words, size)]
+            sets = [x for _, _, words in word_slices(column, NOT_SPACE, LOWER) for x in _full_sets(words, size)]
             common = _common(sets[: len(a)], sets[len(a) :])
             union = n[left[a]][:, None] + n[right[b]][None, :] - common
             x, y = np.nonzero(todo[np.ix_(a, b)] & (100 * common.astype(np.float64) >= percent * union))

@@ -7,14 +7,17 @@ Comparing all windows would move every word of the corpus.  Instead, runs of
 20 words are hashed only at positions whose residue modulo 31 is in a
 difference cover: for any two residues some shift below 31 brings both into
 the cover, so two equal windows of 50 words always share an aligned anchor.
-Anchors that only one word sequence has end there; around the others the whole
-windows are hashed with 128 bits and compared.
+Anchors that only one word sequence has end there; around the others the words
+of the whole windows are compared, by 128 bits of BLAKE2.  A window that a
+document has several times is one row.
 
 Copies: documents with the same word sequence are settled by a digest.  All
 but those with the smallest id lose every word (from 50 words on), and only
 the smallest takes part in the window search.
 
-Null or empty texts have no words.  A document without an id keeps all its
+Null or empty texts have no words; an empty table gives an empty result.  Texts
+are read whole, however long.  Only the two named columns are read, so others
+may have any name.  A document without an id keeps all its
 words and takes none from others.  Rows that repeat id and text are equal and
 do not affect each other; rows that share an id but not the text are separate
 rows of one document id, so neither is smaller.
@@ -23,6 +26,7 @@ rows of one document id, so neither is smaller.
 from __future__ import annotations
 
 import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.llm.components import cut
+from poolsieve.llm.groups import join_salted
 from poolsieve.llm.kernels import NOT_SPACE, Words, as_long, pieces, word_slices
 
 WINDOW = 50
@@ -57,15 +62,11 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, words.grams(at, ANCHOR)
 
 
-def _digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(words.grams(words.bounds[:-1], words.counts(), which) for which in (0, 1))
-
-
 def _describe(batches):
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, words in word_slices(batch.column(1), NOT_SPACE):
-            d1, d2 = _digests(words)
+            d1, d2 = words.digests()
             whole = [hashlib.sha256(words.text(int(a), int(n))).hexdigest() if n else _NOTHING for a, n in zip(words.bounds[:-1], words.counts(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), as_long(d1), as_long(d2), pa.array(words.counts()), pa.array(whole)], ["doc_id", "d1", "d2", "n_words", "whole"])
 
@@ -79,7 +80,7 @@ def _anchor_rows(batches):
             h, row = h[order], row[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            d1, _ = _digests(words)
+            d1, _ = words.digests()
             yield pa.RecordBatch.from_arrays([as_long(h[new]), as_long(d1[row[new]])], ["h", "d1"])
 
 
@@ -89,7 +90,7 @@ def _packed(batches):
         pack = zstandard.ZstdCompressor(level=1)
         ids = batch.column(0)
         for lo, hi, words in word_slices(batch.column(1), NOT_SPACE):
-            d1, d2 = _digests(words)
+            d1, d2 = words.digests()
             part = batch.column(1).slice(lo, hi - lo).to_pylist()
             long = words.counts() >= WINDOW
             packed = pa.array([pack.compress(t.encode()) for t, keep in zip(part, long, strict=True) if keep], pa.binary())
@@ -103,7 +104,7 @@ def _unpack(column: pa.Array) -> pa.Array:
 
 
 def _window_rows(batches):
-    """The windows that hold a shared anchor, hashed with 128 bits."""
+    """The different windows of each text that hold a shared anchor, by a digest of their words, and their starts."""
     for batch in batches:
         shared, bounds = batch.column("shared").values.to_numpy(zero_copy_only=False), batch.column("shared").offsets.to_numpy()
         for lo, hi, words in word_slices(_unpack(batch.column("packed")), NOT_SPACE):
@@ -119,11 +120,16 @@ def _window_rows(batches):
                     near[s[s >= words.bounds[r]]] = True
             s = np.flatnonzero(near)
             s = s[end[s] - s >= WINDOW]
-            rows = pa.array(lo + words.rows()[s])
-            yield pa.RecordBatch.from_arrays(
-                [as_long(words.grams(s, WINDOW, 0)), as_long(words.grams(s, WINDOW, 1)), batch.column("doc_id").take(rows), batch.column("d1").take(rows), pa.array((s - first[s]).astype(np.int32))],
-                ["w1", "w2", "doc_id", "d1", "start"],
-            )
+            told, place = words.joined()
+            w = np.frombuffer(b"".join([blake2b(told[a : z - 1], digest_size=16).digest() for a, z in zip(place[s].tolist(), place[s + WINDOW].tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
+            row = words.rows()[s]
+            order = np.lexsort((w[:, 1], w[:, 0], row))
+            w, row, at = w[order], row[order], (s - first[s]).astype(np.int32)[order]
+            new = np.ones(len(w), dtype=bool)
+            new[1:] = (w[1:] != w[:-1]).any(axis=1) | (row[1:] != row[:-1])
+            rows = pa.array(lo + row[new])
+            starts = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new), len(w)].astype(np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(w[new, 0]), pa.array(w[new, 1]), batch.column("doc_id").take(rows), batch.column("d1").take(rows), starts], ["w1", "w2", "doc_id", "d1", "starts"])
 
 
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -169,15 +175,15 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     first = about.where("doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"))
 
     anchors = named.select("text").mapInArrow(_anchor_rows, "h long, d1 long")
-    several = anchors.groupBy("h").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most").select("h")
-    shared = anchors.join(several, "h").groupBy("d1").agg(F.collect_set("h").alias("shared"))  # at most a document's own anchors
+    several = cut(anchors.groupBy("h").agg(F.min("d1").alias("least"), F.max("d1").alias("most"), F.count("*").alias("n")).where("least <> most").select("h", "n"))
+    shared = join_salted(anchors, several, ["h"], "n", ["d1"]).groupBy("d1").agg(F.collect_set("h").alias("shared"))  # at most a document's own anchors
     look = shared.join(first, "d1").select("d1", "d2", F.col("first_id").alias("doc_id"), "shared")
 
     packed = named.mapInArrow(_packed, f"doc_id {id_type}, d1 long, d2 long, packed binary")
     near = cut(packed.join(look, ["doc_id", "d1", "d2"]))
-    windows = cut(near.mapInArrow(_window_rows, f"w1 long, w2 long, doc_id {id_type}, d1 long, start int"))
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeats = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "d1").agg(F.collect_set("start").alias("starts"))
+    windows = cut(near.mapInArrow(_window_rows, f"w1 long, w2 long, doc_id {id_type}, d1 long, starts array<int>"))
+    least = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
+    repeats = join_salted(windows, least, ["w1", "w2"], "n", ["doc_id", "d1"]).where("doc_id > least").groupBy("doc_id", "d1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     hit = repeats.join(first.withColumnRenamed("first_id", "doc_id"), ["doc_id", "d1"]).select("doc_id", "d1", "d2", "starts")
     span = "array<struct<first: int, words: int>>"
     done = near.drop("shared").join(hit, ["doc_id", "d1", "d2"]).mapInArrow(_remove, f"doc_id {id_type}, d1 long, d2 long, n_removed long, kept string, spans {span}").dropDuplicates(["doc_id", "d1", "d2"])

@@ -102,3 +102,12 @@ def test_blocks(spark):
     for block in (2048, 16):
         got = sorted((tuple(r) for r in minhash_dedup(df, shingle=3, percent=85, block=block).collect()), key=str)
         assert got == brute(docs, 3, 85)
+
+
+def test_patterns_that_cancel_out(spark):
+    turn = str.maketrans("ab", "ba")
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    long = " ".join(word)
+    docs = [(1, word), (2, word.translate(turn)), (3, long), (4, long.translate(turn)), (5, long + " c"), (6, "x " + word), (7, "x " + word.translate(turn))]
+    got = minhash_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, percent=85)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, 3, 85)

@@ -51,3 +51,23 @@ def test_against_brute_force(spark):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted(brute(docs), key=str)
     assert got.where("n_removed <> coalesce(aggregate(removed, 0L, (a, x) -> a + x.words), 0)").count() == 0
     assert dedup_substrings(df.limit(0)).collect() == []
+
+
+def test_patterns_that_cancel_out(spark):
+    turn = str.maketrans("ab", "ba")
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    head = [f"w{i}" for i in range(49)]
+    many = [f"{x}{k}" for k in range(40) for x in "xy"]
+    long = ["ab"[bin(i).count("1") % 2] for i in range(4096)]
+    docs = [(1, " ".join([*head, word])), (2, " ".join([*head, word.translate(turn)])), (3, " ".join(many)), (4, " ".join(long)), (5, " ".join(long).translate(turn)), (6, "same " * 3000), (7, "same " * 60)]
+    got = dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(brute(docs))
+
+
+def test_hot_windows_are_dealt(spark):
+    rng = random.Random(4)
+    line = " ".join(f"l{i}" for i in range(55))
+    docs = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(6)] + [line] + [f"b{rng.randrange(10**6)}" for _ in range(5)])) for i in range(1200)]
+    got = dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(brute(docs))
+    assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
