@@ -1,40 +1,44 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Word bigrams of the labelled training documents are counted for the toxic and
-the ordinary class.  In each class
-
-    p(w | h) = max(c(h, w) - D2, 0) / c(h) + D2 * types(h) / c(h) * p(w)
-    p(w)     = max(c(w) - D1, 0) / N + D1 * types / N * q(w)
-
-with absolute discounts from the counts of counts; a context that the class
-does not have leaves all to p(w).  q(w) is shared by the classes: the number of
-different words that w follows in either of them.  Every counted word and bigram
-has its probabilities, however rare; a bigram that neither class has gets the
-mass that its context leaves to p(w).  Only words that neither class has tell
-nothing: their log ratio is 0.
-
-A word's log ratio is log p_toxic - log p_ordinary.  Over thousands of ordinary
-words even small ratios add up to more than a few toxic words do, so beside
-the mean ratio the mean of what exceeds MARGIN is taken, and its sum.  Ratios of
-rare expressions are right on average, but noisy.  So they are inputs of their
-own: a word or bigram is rare when, at the size of the smaller class, neither
-class would have it EVIDENCE times, and of a ratio that comes from a rare bigram
-the part of the word alone goes with the others.  Logistic regression on
-held-back training documents finds what either kind is worth, and maps all to a
-probability.
-
-The counts are summed by the cluster and kept in a table, from which no entry is
-dropped.  It is broadcast while it has at most MAX_BYTES (counted first); beyond
-that, the words and bigrams of every document are joined to it by a shuffle, with
-equal scores.  The labels are broadcast while they are at most MAX_LABELS rows;
-beyond that, texts are compressed and joined to them by a shuffle.  About
-CALIBRATION training documents at most are held back for the logistic fit; all
-others are counted.
+The models spell words: every word is its bytes behind ORDER - 1 start marks and
+before an end mark, and each byte has the ORDER - 1 symbols before it as its
+context.  In the toxic and in the ordinary class, with absolute discounts from
+the counts of counts,
+
+    p(x | h) = max(c(h, x) - D, 0) / c(h) + D * types(h) / c(h) * q(x | h')
+
+where h' is h without its first symbol.  The backoff q is shared by the classes:
+q of a shorter context is the same formula over continuation counts, the number
+of different symbols that come before an n-gram in either class, down to the
+even distribution.  So an expression that one class has once or never is as
+likely there as its parts are in the language.  Contexts that a class does not
+have leave all to q.  No count is dropped, however rare.
+
+A document's log-likelihood difference is the sum of log p_toxic - log
+p_ordinary.  Its inputs to the score are length-normalised, by symbol: the
+difference of the whole text, and that of the one, two and four words for which
+it is largest, as a few toxic words weigh little among thousands of others.
+Logistic regression on held-back training documents, which also sees the number
+of words, as the largest of many is larger, maps them to a probability.
+
+N-grams are summed by the cluster and kept in a table with one entry for each
+n-gram of full length and each context: an n-gram's log ratio, and what a context
+gives to n-grams it does not have, for which q cancels out.  The table is
+broadcast while it has at most MAX_BYTES (counted first); beyond that, the
+n-grams of every document are joined to it by a shuffle, with equal scores.  A
+context has 256 followers at most, so no key of the fit is hot.  The labels are
+broadcast while they are at most MAX_LABELS rows; beyond that, texts are
+compressed and joined to them by a shuffle.  About CALIBRATION training documents
+at most are held back for the logistic fit; all others are counted.
 
 Null and empty texts have no words and get the score of a document without
-evidence.  Labels that are null are ignored; several for one document count as
-toxic if any is.  Documents without an id are scored, but not learned from.
-Without both classes among the labels every score is the share of toxic ones.
+evidence.  Texts are read whole, however long.  Repeated documents are scored
+each, and learned from each.  Labels that are null are ignored; several for one
+document count as toxic if any is.  Documents without an id are scored, but not
+learned from.  Without both classes among the labels every score is the share of
+toxic ones.  Words that tie count alike, whichever of them is taken.  An empty
+table gives an empty result.  A kept column that is called as a result is gives
+way to it.
 """
 
 from __future__ import annotations
@@ -46,32 +50,34 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsieve.llm.components import cut
-from poolsieve.llm.kernels import ALNUM, LOWER, Words, as_long, mix, word_slices
+from poolsieve.llm.kernels import ALNUM, LOWER, Words, as_long, word_slices
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Bytes of the table of words and bigrams that may be broadcast, and those of one entry.
+#: Symbols of an n-gram; more than 7 would not fit a key.
+ORDER = 6
+START, END = 2, 3
+#: Bytes of the table that may be broadcast, and those of one entry.
 MAX_BYTES = 192 << 20
-ENTRY = 13
-#: Words that may be broadcast to a join of bigrams with them.
-MAX_WORDS = 1 << 20
+ENTRY = 12
+#: Bytes of the table that the driver gathers at once.
+GATHERED = 16 << 20
 MAX_LABELS = 2_000_000
 CALIBRATION = 20_000
 #: One training document in so many is held back for the logistic fit, fewer where those are more than CALIBRATION.
 HELD_BACK = 6
-#: Expressions with fewer occurrences are inputs of their own.
-EVIDENCE = 3
-#: Words that a worker sums at once.
+#: Different n-grams that a worker holds before it hands on their counts.
 COUNTED = 1_000_000
-MARGIN = 2.0
-FEATURES = 8
-#: The context of a document's first word.
-BEGIN = np.uint64(1)
+#: Words spelled at once.
+SPELLED = 1 << 17
+#: Words whose ratios are inputs beside that of the whole text: the best one, two and four.
+BEST = (1, 2, 4)
+FEATURES = 3 + len(BEST)
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
@@ -79,42 +85,64 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % folds).cast("int")
 
 
-def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The key of a bigram; that of a word is its hash."""
-    return mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+def _spelled(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of the words ``which``, and their number for each of them.
 
+    A key is the n-gram's symbols, the last one lowest, below its length in the highest byte.
+    """
+    size = words.ends[which] - words.starts[which]
+    begin = np.cumsum(size + ORDER) - (size + ORDER)
+    symbols = np.full(int((size + ORDER).sum()), START, dtype=np.uint64)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    symbols[np.repeat(begin + ORDER - 1, size) + inside] = words.data[np.repeat(words.starts[which], size) + inside]
+    symbols[begin + ORDER - 1 + size] = END
+    key = np.full(len(symbols) - ORDER + 1 if len(which) else 0, ORDER << 56, dtype=np.uint64)
+    for k in range(ORDER):
+        key |= symbols[k : k + len(key)] << np.uint64(8 * (ORDER - 1 - k))
+    inside = np.arange((size + 1).sum()) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1)
+    return key[np.repeat(begin, size + 1) + inside], size + 1
 
-def _before(words: Words) -> np.ndarray:
-    """The hash of the word before each word."""
-    h = np.full(len(words), BEGIN)
-    h[1:] = words.hashes()[:-1]
-    h[words.bounds[:-1][words.counts() > 0]] = BEGIN
-    return h
 
+def _contexts(keys: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams without their last symbols."""
+    return ((keys & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | np.uint64((ORDER - 1) << 56)
 
-def _summed(h: np.ndarray, w: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-    key = _key(h, w)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    n1, n = np.add.reduceat(k[order], new), np.diff(np.r_[new, len(key)])
-    return pa.RecordBatch.from_arrays([as_long(h[order[new]]), as_long(w[order[new]]), pa.array(n - n1), pa.array(n1)], ["h", "w", "c0", "c1"])
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(counts[order], new) if len(keys) else counts
 
 
 def _count(batches):
-    """Sums of bigrams by class, over about a million words at a time."""
-    held, size = [], 0
+    """Counts of n-grams by class, over about a million of them at a time."""
+    held: dict[int, list] = {0: [], 1: []}
+    size = 0
+
+    def told():
+        for k, parts in held.items():
+            if parts:
+                keys, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+                none = np.zeros(len(n), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([as_long(keys), pa.array(none if k else n), pa.array(n if k else none)], ["key", "c0", "c1"])
+                parts.clear()
+
     for batch in batches:
         toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False), dtype=np.int64)
         for lo, hi, words in word_slices(batch.column("text"), ALNUM, LOWER):
-            if len(words):
-                held.append((_before(words), words.hashes(), np.repeat(toxic[lo:hi], words.counts())))
-                size += len(words)
+            of = np.repeat(toxic[lo:hi], words.counts())
+            for k in (0, 1):
+                mine = np.flatnonzero(of == k)
+                _, first, n = np.unique(words.hashes()[mine], return_index=True, return_counts=True)
+                for at in range(0, len(first), SPELLED):
+                    keys, grams = _spelled(words, mine[first[at : at + SPELLED]])
+                    held[k].append(_summed(keys, np.repeat(n[at : at + SPELLED], grams)))
+                    size += len(held[k][-1][0])
             if size >= COUNTED:
-                yield _summed(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
-    if held:
-        yield _summed(*map(np.concatenate, zip(*held, strict=True)))
+                yield from told()
+                size = 0
+    yield from told()
 
 
 def _unpack(batches):
@@ -145,52 +173,47 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
 
 @dataclass
 class Ratios:
-    """Log ratios of words and bigrams, by sorted keys."""
-
-    words: np.ndarray
-    ratio: np.ndarray  # of a word by itself
-    rare: np.ndarray
-    shift: np.ndarray  # what it adds, as a context, to the ratio of a word that never follows it
-    bigrams: np.ndarray
-    pair_ratio: np.ndarray
-    pair_rare: np.ndarray
-
-    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """log p_toxic - log p_ordinary of every word, as the part with evidence and the rest."""
-        out, firm = np.zeros(len(words)), np.zeros(len(words))
-        if not len(words) or not len(self.words):
-            return firm, out
-        h, w = _before(words), words.hashes()
-        at, known = _find(self.words, w)
-        before, context = _find(self.words, h)
-        out[known] = self.ratio[at[known]]
-        firm[known] = np.where(self.rare[at[known]], 0, out[known])
-        context &= known
-        out[context] += self.shift[before[context]]
-        at, there = _find(self.bigrams, _key(h, w))
-        out[there] = self.pair_ratio[at[there]]
-        there[there] = ~self.pair_rare[at[there]]
-        firm[there] = out[there]
-        return firm, out - firm
+    """Log ratios of n-grams and contexts, by sorted keys."""
+
+    keys: np.ndarray
+    ratio: np.ndarray
+
+    def of(self, words: Words) -> np.ndarray:
+        """log p_toxic - log p_ordinary of every word."""
+        if not len(words) or not len(self.keys):
+            return np.zeros(len(words))
+        _, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        out = np.zeros(len(first))
+        for at in range(0, len(first), SPELLED):
+            keys, grams = _spelled(words, first[at : at + SPELLED])
+            value, known = self._find(keys)
+            other = ~known
+            value[other] = self._find(_contexts(keys[other]))[0]
+            out[at : at + SPELLED] = np.bincount(np.repeat(np.arange(len(grams)), grams), value, len(grams))
+        return out[where]
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        known = self.keys[at] == wanted
+        return np.where(known, self.ratio[at], 0.0), known
 
     def features(self, words: Words) -> np.ndarray:
-        """One row for each document: 1, size, and of either part the mean, and mean and sum of the excess."""
-        n = words.counts()
-        x = [np.ones(len(n)), np.log1p(n) / 5]
-        for part in self.of(words):
-            excess = _row_sums(np.maximum(part - MARGIN, 0), words)
-            x += [_row_sums(part, words) / np.maximum(n, 1), 10 * excess / np.maximum(n, 1), np.log1p(excess)]
+        """One row for each document: 1, number of words, and the ratio by symbol of the whole text and of its best words."""
+        n, ratio, size = words.counts(), self.of(words), (words.ends - words.starts + 1).astype(np.float64)
+        x = [np.ones(len(n)), np.log1p(n) / 5, _row_sums(ratio, words) / np.maximum(_row_sums(size, words), 1)]
+        row, each = words.rows(), ratio / size
+        order = np.lexsort((-each, row))
+        rank = np.arange(len(order)) - words.bounds[:-1][row]  # rows stay in place
+        for k in BEST:
+            best = rank < k
+            x.append(np.bincount(row[best], each[order][best], len(n)) / k)
         return np.stack(x, axis=1)
 
 
 def _ratios(table: pa.Table | pa.StructArray) -> Ratios:
-    key, ratio, rare, shift = (table.column(c) if isinstance(table, pa.Table) else table.field(c) for c in ("key", "ratio", "rare", "shift"))
-    word = shift.is_valid().to_numpy(zero_copy_only=False) if isinstance(shift, pa.Array) else shift.is_valid().to_numpy()
-    key, ratio, rare, shift = (np.asarray(c) for c in (key, ratio, rare, shift))
-    order = np.argsort(key.view(np.uint64))
-    one, two = order[word[order]], order[~word[order]]
-    key = key.view(np.uint64)
-    return Ratios(key[one], ratio[one], rare[one], shift[one], key[two], ratio[two], rare[two])
+    keys, ratio = (np.asarray(table.column(c) if isinstance(table, pa.Table) else table.field(c)) for c in ("key", "ratio"))
+    order = np.argsort(keys)
+    return Ratios(keys[order].view(np.uint64), ratio[order])
 
 
 @dataclass
@@ -198,31 +221,12 @@ class Model:
     """The table of log ratios, broadcast too if it is small, and the logistic regression; without a table a share alone."""
 
     weights: np.ndarray
-    table: DataFrame | None = None  # key, ratio, rare; shift for words, null for bigrams
+    table: DataFrame | None = None  # key, ratio
     shared: Broadcast | None = None
 
 
 def _row_sums(values: np.ndarray, words: Words) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    return sums[words.bounds[1:]] - sums[words.bounds[:-1]]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _cutoff(histogram: list[tuple[int, int]], most: int) -> int:
-    """The least count such that at most ``most`` entries have it or more."""
-    total, least = 0, 1
-    for count, n in sorted(histogram, reverse=True):
-        total += n
-        if total > most:
-            least = count + 1
-            break
-    return least
+    return np.bincount(words.rows(), values, len(words.bounds) - 1)
 
 
 def _discount(n1: int, n2: int) -> float:
@@ -246,72 +250,62 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _tally(df: DataFrame) -> list[dict[int, int]]:
-    """Counts of counts of either class; few rows, as many as there are different counts."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"c{k}").alias("c")) for k in (0, 1)]))
-    out: list[dict[int, int]] = [{}, {}]
-    for of, c, n in df.select(each.alias("x")).groupBy("x.of", "x.c").agg(F.count("*").alias("n")).collect():
-        if c:
-            out[of][c] = n
-    return out
+def _tally(df: DataFrame, column: str) -> tuple[int, float]:
+    """Sum of the counts, and the discount from their counts of counts."""
+    total, n1, n2 = df.agg(F.sum(column), F.sum(F.expr(f"int({column} = 1)")), F.sum(F.expr(f"int({column} = 2)"))).first()
+    return total or 0, _discount(n1 or 0, n2 or 0)
 
 
-def _keyed(batches):
-    for batch in batches:
-        h, w = (batch.column(c).to_numpy().view(np.uint64) for c in "hw")
-        yield pa.RecordBatch.from_arrays([as_long(_key(h, w)), batch.column("ratio"), batch.column("rare")], ["key", "ratio", "rare"])
+def _suffix(n: int) -> Column:
+    """The key of the last ``n`` symbols."""
+    return F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).bitwiseOR(F.lit(n << 56))
+
+
+def _prefix(n: int) -> Column:
+    """The key of the context of an n-gram of ``n`` symbols."""
+    return F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)), 8).bitwiseOR(F.lit((n - 1) << 56))
 
 
-def _gathered(table: DataFrame, words: int, bigrams: int) -> Ratios:
-    """The table's entries; a range of keys at a time, as the driver holds little besides."""
-    out = Ratios(*[np.zeros(n, kind) for n, kind in zip([words] * 4 + [bigrams] * 3, "Qf?fQf?", strict=True)])
-    one = two = 0
-    for k in range(16):
-        part = _ratios(table.where(F.shiftrightunsigned("key", 60) == k).toArrow())
-        a, b = one + len(part.words), two + len(part.bigrams)
-        out.words[one:a], out.ratio[one:a], out.rare[one:a], out.shift[one:a] = part.words, part.ratio, part.rare, part.shift
-        out.bigrams[two:b], out.pair_ratio[two:b], out.pair_rare[two:b] = part.bigrams, part.pair_ratio, part.pair_rare
-        one, two = a, b
-    return out
+def _gathered(table: DataFrame, entries: int) -> Ratios:
+    """The table's entries; a part of them at a time, as the driver holds little besides."""
+    parts = -(-entries * ENTRY // GATHERED) or 1
+    keys, ratio, at = np.zeros(entries, np.int64), np.zeros(entries, np.float32), 0
+    for k in range(parts):
+        part = table.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
+        keys[at : at + len(part)], ratio[at : at + len(part)] = part.column("key").to_numpy(), part.column("ratio").to_numpy()
+        at += len(part)
+    order = np.argsort(keys)
+    return Ratios(keys[order].view(np.uint64), ratio[order])
 
 
-def fit(rows: DataFrame, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> Model:
+def fit(rows: DataFrame, max_bytes: int = MAX_BYTES) -> Model:
     """Learn from ``text, toxic, cal`` rows."""
-    counted = rows.where("NOT cal").select("text", "toxic").mapInArrow(_count, "h long, w long, c0 long, c1 long")
-    pairs = cut(counted.groupBy("h", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    # every word follows one word, or none
-    words = cut(pairs.groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count("*").alias("n")))
-    tally = _tally(words)
-    total = [sum(c * n for c, n in t.items()) for t in tally]
-    if not all(total):
+    counted = rows.where("NOT cal").select("text", "toxic").mapInArrow(_count, "key long, c0 long, c1 long")
+    top = cut(counted.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    (total0, d0), (total1, d1) = (_tally(top, c) for c in ("c0", "c1"))
+    if not total0 or not total1:
         return _empty(rows.agg(F.avg("toxic")).first()[0] or 0.0)
-    d1 = [_discount(t.get(1, 0), t.get(2, 0)) for t in tally]
-    types = [sum(t.values()) for t in tally]
-    d2 = [_discount(t.get(1, 0), t.get(2, 0)) for t in _tally(pairs)]
-    size, different = words.count(), pairs.count()
-
-    q = (F.col("n") + 0.5) / (different + 0.5 * (size + 1))
-    p = [F.greatest(F.col(f"c{k}") - d1[k], F.lit(0.0)) / total[k] + d1[k] * types[k] / total[k] * q for k in (0, 1)]
-    scale = [min(total) / t for t in total]
-    rare = (F.greatest(F.col("c0") * scale[0], F.col("c1") * scale[1]) < EVIDENCE).alias("rare")
-    words = words.select("w", rare, p[0].alias("p0"), p[1].alias("p1"))
-    contexts = pairs.groupBy("h").agg(*[F.sum(f"c{k}").alias(f"h{k}") for k in (0, 1)], *[F.sum(F.expr(f"int(c{k} > 0)")).alias(f"t{k}") for k in (0, 1)])
-    left = [F.when(F.col(f"h{k}") > 0, d2[k] * F.col(f"t{k}") / F.col(f"h{k}")).otherwise(1.0).alias(f"b{k}") for k in (0, 1)]
-    contexts = cut(contexts.select("h", "h0", "h1", *left))
-    small = F.broadcast if size <= max_words else lambda df: df
-    own = [F.when(F.col(f"h{k}") > 0, F.greatest(F.col(f"c{k}") - d2[k], F.lit(0.0)) / F.col(f"h{k}")).otherwise(0.0) + F.col(f"b{k}") * F.col(f"p{k}") for k in (0, 1)]
-    ratio = (F.log(own[1]) - F.log(own[0])).cast("float").alias("ratio")
-    two = pairs.join(small(words.drop("rare")), "w").join(small(contexts), "h").select("h", "w", ratio, rare).mapInArrow(_keyed, "key long, ratio float, rare boolean")
-    one = words.join(contexts, words["w"] == contexts["h"], "full").select(
-        F.coalesce("w", "h").alias("key"),
-        F.coalesce(F.log("p1") - F.log("p0"), F.lit(0.0)).cast("float").alias("ratio"),
-        F.coalesce("rare", F.lit(False)).alias("rare"),
-        F.coalesce(F.log("b1") - F.log("b0"), F.lit(0.0)).cast("float").alias("shift"),
-    )
-    table = one.unionByName(two.withColumn("shift", F.lit(None).cast("float")))
-    model = Model(np.zeros(FEATURES), cut(table))
-    if (size + different) * ENTRY <= max_bytes:
-        model.shared = rows.sparkSession.sparkContext.broadcast(_gathered(model.table, size + 1, different))
+    lower, longer = {}, top
+    for n in range(ORDER - 1, 0, -1):
+        longer = lower[n] = cut(longer.groupBy(_suffix(n).alias("key")).agg(F.count("*").alias("c")))
+    backoff, shorter = F.lit(1.0 / (lower[1].count() + 1)), None
+    for n in range(1, ORDER):
+        d, context = _tally(lower[n], "c")[1], Window.partitionBy("h")
+        here = lower[n].withColumn("h", _prefix(n))
+        here = here.select("key", "c", F.sum("c").over(context).alias("total"), F.count("*").over(context).alias("types"))
+        if shorter is not None:
+            here, backoff = here.withColumn("s", _suffix(n - 1)).join(shorter, "s"), F.col("q")
+        q = F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("total") + d * F.col("types") / F.col("total") * backoff
+        shorter = here.select(F.col("key").alias("s"), q.alias("q"))
+    by_context = top.groupBy(_prefix(ORDER).alias("h")).agg(*[F.sum(f"c{k}").alias(f"h{k}") for k in (0, 1)], *[F.sum(F.expr(f"int(c{k} > 0)")).alias(f"t{k}") for k in (0, 1)])
+    left = [F.when(F.col(f"h{k}") > 0, d * F.col(f"t{k}") / F.col(f"h{k}")).otherwise(1.0).alias(f"b{k}") for k, d in enumerate((d0, d1))]
+    by_context = cut(by_context.select("h", "h0", "h1", *left))
+    own = [F.when(F.col(f"h{k}") > 0, F.greatest(F.col(f"c{k}") - d, F.lit(0.0)) / F.col(f"h{k}")).otherwise(0.0) + F.col(f"b{k}") * F.col("q") for k, d in enumerate((d0, d1))]
+    whole = top.withColumn("h", _prefix(ORDER)).withColumn("s", _suffix(ORDER - 1)).join(by_context, "h").join(shorter, "s")
+    table = cut(whole.select("key", (F.log(own[1]) - F.log(own[0])).cast("float").alias("ratio")).unionByName(by_context.select(F.col("h").alias("key"), (F.log("b1") - F.log("b0")).cast("float").alias("ratio"))))
+    model, entries = Model(np.zeros(FEATURES), table), table.count()
+    if entries * ENTRY <= max_bytes:
+        model.shared = rows.sparkSession.sparkContext.broadcast(_gathered(table, entries))
     return _calibrate(model, rows.where("cal"))
 
 
@@ -327,7 +321,7 @@ def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep`` columns and the inputs of the logistic regression of every document."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in _NAMES])
     docs = docs.select(*dict.fromkeys([*keep, text]))
-    none = Ratios(*[np.zeros(0, kind) for kind in "QdbdQdb"])
+    none = Ratios(np.zeros(0, np.uint64), np.zeros(0))
     if model.table is None or model.shared is not None:  # nothing to join
         shared = model.shared
 
@@ -342,10 +336,11 @@ def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         for batch in batches:
             for lo, _, words in word_slices(batch.column(text), ALNUM, LOWER):
                 for r, (a, z) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
-                    if a < z:
-                        h, w = _before(words)[a:z], words.hashes()[a:z]
-                        key = np.unique(np.concatenate([w, _key(h, w), [BEGIN]]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column("__row")[lo + r].as_py())), as_long(key)], ["__row", "key"])
+                    first = a + np.unique(words.hashes()[a:z], return_index=True)[1]
+                    for at in range(0, len(first), SPELLED):
+                        keys = np.unique(_spelled(words, first[at : at + SPELLED])[0])
+                        keys = np.unique(np.concatenate([keys, _contexts(keys)]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column("__row")[lo + r].as_py())), as_long(keys)], ["__row", "key"])
 
     def told(batches):
         for batch in batches:
@@ -358,7 +353,8 @@ def features(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
     docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     asked = docs.select("__row", text).mapInArrow(ask, "__row long, key long")
-    found = asked.join(model.table, "key").groupBy("__row").agg(F.collect_list(F.struct("key", "ratio", "rare", "shift")).alias("__told"))
+    # at most the n-grams of a document
+    found = asked.distinct().join(model.table, "key").groupBy("__row").agg(F.collect_list(F.struct("key", "ratio")).alias("__told"))
     return docs.join(found, "__row", "left").mapInArrow(told, schema)
 
 
@@ -366,7 +362,9 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
     found = features(rows.select("text", "toxic"), model, ["toxic"]).toArrow()
     x = np.stack([found.column(c).to_numpy() for c in _NAMES], axis=1) if len(found) else np.zeros((0, FEATURES))
     y = found.column("toxic").to_numpy().astype(np.float64) if len(found) else np.zeros(0)
-    model.weights = _logistic(x, y) if 0 < y.sum() < len(y) else np.array([-3.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0])
+    order = np.lexsort((*x.T, y))  # the same sums in every run
+    x, y = x[order], y[order]
+    model.weights = _logistic(x, y) if 0 < y.sum() < len(y) else np.array([-3.0, 0.0, 1.0, 1.0, *[0.0] * (FEATURES - 4)])
     return model
 
 
@@ -380,10 +378,9 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
     return x.select(*[F.col(k).alias(c) for c, k in zip(keep, keep_as, strict=True)], score.alias("score"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES, max_words: int = MAX_WORDS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``keep`` columns, ``held_out``, ``score`` and ``predicted`` of every document."""
-    keep = ["doc_id"] if keep is None else keep
-    model = fit(training_rows(docs, labels, max_labels), max_bytes, max_words)
-    scored = score_documents(docs, model, keep)
-    held = fold("doc_id", FOLDS) == HELD_OUT
-    return scored.select(*keep, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("held_out", "score", "predicted")]
+    model = fit(training_rows(docs, labels, max_labels), max_bytes)
+    scored = score_documents(docs.withColumn("__fold", fold("doc_id", FOLDS)), model, [*keep, "__fold"])
+    return scored.select(*keep, (F.col("__fold") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from poolsieve.llm.kernels import ALNUM, LOWER, word_slices
-from poolsieve.llm.toxicity import _cutoff, fit, toxicity, training_rows
+from poolsieve.llm.toxicity import ORDER, fit, toxicity, training_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,54 +63,56 @@ def test_empty(spark):
     assert {r.score for r in toxicity(d, lab.limit(0)).collect()} == {toxicity(d, lab.limit(0)).first().score}
 
 
-def test_cutoff():
-    assert _cutoff([(1, 100), (2, 10), (5, 3)], 1000) == 1
-    assert _cutoff([(1, 100), (2, 10), (5, 3)], 13) == 2
-    assert _cutoff([(1, 100), (2, 10), (5, 3)], 12) == 3
-
-
 def test_join_beyond_the_broadcast_scores_alike(spark):
     docs, labels, truth, d, lab = cases(spark)
     told = lambda df: sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in df.collect())
     whole = told(toxicity(d, lab))
     assert told(toxicity(d, lab, max_bytes=0)) == whole
-    assert told(toxicity(d, lab, max_bytes=0, max_words=0)) == whole
 
 
-def test_every_counted_expression_has_its_ratio(spark):
-    """Against the formula with dictionaries; all but one word occur once or twice."""
-    texts = [("plain talk of rare birds", 0), ("plain words of few birds", 0), ("plain ones", 0), ("plain vile talk", 1), ("mean vile birds", 1), ("vile", 1)]
-    rows = spark.createDataFrame([(t, y, False) for t, y in texts], "text string, toxic int, cal boolean")
-    model = fit(rows)
-    pair = [Counter(), Counter()]
+def brute(texts):
+    """The two models by dictionaries: log ratio of a word."""
+    spell = lambda w: [("\x02" * (ORDER - 1) + w + "\x03")[k : k + ORDER] for k in range(len(w) + 1)]
+    top = [Counter(), Counter()]
     for t, y in texts:
-        w = ["", *t.split()]
-        pair[y].update(zip(w, w[1:]))
-    word, context, types = ([Counter(), Counter()] for _ in range(3))
-    for y in (0, 1):
-        for (h, w), n in pair[y].items():
-            word[y][w] += n
-            context[y][h] += n
-            types[y][h] += 1
-    follows = Counter(w for _, w in pair[0].keys() | pair[1].keys())
+        for w in t.split():
+            top[y].update(spell(w))
+    lower, longer = {}, top[0].keys() | top[1].keys()
+    for n in range(ORDER - 1, 0, -1):
+        longer = lower[n] = Counter(g[1:] for g in longer)
 
     def discount(c):
         n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
         return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
 
-    def p(y, h, w):
-        total, d1, d2 = sum(word[y].values()), discount(word[y]), discount(pair[y])
-        q = (follows[w] + 0.5) / (sum(follows.values()) + 0.5 * (len(follows) + 1))
-        one = max(word[y][w] - d1, 0) / total + d1 * len(word[y]) / total * q
-        return one if not context[y][h] else max(pair[y][h, w] - d2, 0) / context[y][h] + d2 * types[y][h] / context[y][h] * one
+    def backed(c, g, less):
+        of = [v for x, v in c.items() if x[:-1] == g[:-1] and v]
+        return less if not of else max(c[g] - discount(c), 0) / sum(of) + discount(c) * len(of) / sum(of) * less
+
+    def q(g):
+        return backed(lower[len(g)], g, q(g[1:])) if g else 1 / (len(lower[1]) + 1)
+
+    return lambda w: sum(math.log(backed(top[1], g, q(g[1:])) / backed(top[0], g, q(g[1:]))) for g in spell(w))
 
-    for t in [t for t, _ in texts] + ["rare vile ones unheard plain few", "birds mean talk"]:
-        w = ["", *t.split()]
-        want = [math.log(p(1, h, x) / p(0, h, x)) if x in follows else 0 for h, x in zip(w, w[1:])]
+
+def test_ratios_against_dictionaries(spark):
+    """All counts matter, however rare."""
+    texts = [("plain talk of rare birds", 0), ("plain words of few birds", 0), ("plain ones", 0), ("plain vile talk", 1), ("mean vile birds", 1), ("vile", 1), ("a1 \u00e9t\u00e9 \u65e5\u672c", 1)]
+    rows = spark.createDataFrame([(t, y, False) for t, y in texts], "text string, toxic int, cal boolean")
+    model = fit(rows)
+    ratio = brute([(t.encode().decode("latin-1"), y) for t, y in texts])
+    for t in [t for t, _ in texts] + ["rare vile ones unheard plain few", "birds mean talk " + "x" * 300, "\u00e9t\u00e9 vi viles \u65e5"]:
         (_, _, words), = word_slices(pa.array([t]), ALNUM, LOWER)
-        assert np.allclose(sum(model.shared.value.of(words)), want, atol=1e-5)
+        assert np.allclose(model.shared.value.of(words), [ratio(w.encode().decode("latin-1")) for w in t.split()], atol=1e-5)
     once = next(iter(word_slices(pa.array(["mean"]), ALNUM, LOWER)))[2]
-    assert sum(model.shared.value.of(once))[0] > 0
+    assert model.shared.value.of(once)[0] > 0
+
+
+def test_kept_columns_with_the_names_of_results(spark):
+    docs, labels, truth, d, lab = cases(spark)
+    got = toxicity(d.selectExpr("*", "'x' AS predicted", "1 AS k1", "2 AS __x"), lab, keep=["doc_id", "predicted", "k1", "score"])
+    assert got.columns == ["doc_id", "k1", "held_out", "score", "predicted"]
+    assert got.where("predicted IN (0, 1) AND k1 = 1").count() == len(docs)
 
 
 def test_only_a_bounded_sample_is_not_counted(spark):
