@@ -11,7 +11,10 @@ zero, on a sample of about SAMPLE documents that favours no language; a part
 of it is held back to fit one temperature for the probabilities.
 
 Null texts and texts without letters are ``und`` with score 0, and so is every
-text if there is nothing to learn from.  Documents without an id are scored;
+text if there is nothing to learn from.  Texts are read whole, however long.
+Repeated rows are predicted each, and drawn each.  Of languages that tie, the
+first in order is taken.  An empty table gives an empty result.  A kept column
+that is called as a result is gives way to it.  Documents without an id are scored;
 their id counts as the empty text in the fold.  Null languages are not learned.
 """
 
@@ -203,9 +206,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], idf, np.zeros((DIM + 1, 0)), 1.0)
     each = max(1, sample // len(sizes))
     share = F.create_map(*[x for k, c in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / c)))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(draw < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(HELD_BACK)).cast("int"))
-    found = chosen.select("lang", "part", "text").mapInArrow(_sparse, "lang string, part int, at array<int>, n array<float>").orderBy("lang", F.xxhash64("at")).collect()
+    # every row is drawn by itself, whatever it shares with others
+    chosen = rows.where(F.rand(11) < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)).cast("int"))
+    found = chosen.select("lang", "part", "text").mapInArrow(_sparse, "lang string, part int, at array<int>, n array<float>").collect()  # about `sample` rows
+    found.sort(key=lambda r: (r.lang, len(r.at), r.at, r.n))
     langs = sorted(sizes)
     y = np.array([langs.index(r.lang) for r in found], dtype=np.int64)
     data = []
@@ -222,8 +226,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """``keep`` columns, ``held_out``, ``lang_pred`` and ``score`` of every document."""
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("held_out", "lang_pred", "score")] + ["__fold"]
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    docs = docs.withColumn("__fold", fold("doc_id"))
 
     def run(batches):
         for batch in pieces(batches):
@@ -232,4 +237,4 @@ def identify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPL
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     found = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
-    return found.select(*keep, (fold("doc_id") == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select(*[c for c in keep if c != "__fold"], (F.col("__fold") == HELD_OUT).alias("held_out"), "lang_pred", "score")
