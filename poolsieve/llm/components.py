@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share; on one machine, where it is unset, the warehouse."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_cuts"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table to the folder that all executors share, and read it.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
-    as on one machine, it is in the warehouse.  The table goes when the driver
-    ends.
+    The table goes when it is discarded, or when the driver ends.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_cuts"
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    target, system = _target(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``cut`` made and nothing reads any more."""
+    target, system = _target(table.sparkSession, table._cut)
+    system.delete(target, True)
+    system.cancelDeleteOnExit(target)
+
+
+def _target(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,7 +65,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        last, now = now, cut(small)
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break

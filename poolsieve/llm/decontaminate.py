@@ -18,8 +18,10 @@ Two ways to join, with equal results:
   repeated document ids need no care.
 
 Null or empty texts have no words.  A null item id is written as an empty
-string.  Repeated items count once per distinct id.  Only the named columns
-are read, so others may have any name.
+string.  Repeated items count once per distinct id.  Texts are read whole,
+however long; equal rows get equal results; an empty table gives an empty
+result.  Only the named columns are read, so others may have any name; a kept
+column that is called as a result is gives way to it.
 """
 
 from __future__ import annotations
@@ -296,7 +298,7 @@ def decontaminate(
     of the words on.  ``items_sha256`` is the digest of the matched item ids,
     sorted as strings and joined by commas.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in _NAMES]
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length("item") + 32)).first()[0] or 0
     if size <= max_broadcast_bytes:
