@@ -2,7 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and take further ones, whatever their
+names, through.  An empty table gives empty results.  Null texts count as empty.
+Rows without an id are judged by their text as others are, except that they are
+never near duplicates.
 """
 
 from __future__ import annotations
@@ -21,36 +24,51 @@ from poolsieve.llm.toxicity import toxicity
 SECRET = "[SECRET]"
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The id, the text, and the whole row aside, so that no column's name meets that of a result."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity(_whole(docs), table(spark, sf_dir, "labels"), keep=["__row"])
+    return scored.where("predicted = 0").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id are one document."""
-    gone = minhash_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Where ids repeat, rows of one id and one text are one document, of which one
+    row stays, and rows of one id with different texts are documents of their own.
+    """
+    named, rest = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash_dedup(named).where("NOT kept").select("doc_id")
+        return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+    # ordered as the ids are, then by text
+    key = F.concat(F.lpad((F.expr("cast(doc_id AS decimal(20,0)) + 9223372036854775808BD")).cast("string"), 20, "0"), F.coalesce(F.sha2("text", 256), F.lit("")))
+    keyed = _whole(named).withColumn("__key", key)
+    gone = minhash_dedup(keyed, "__key").where("NOT kept").select(F.col("doc_id").alias("__key")).distinct()
+    left = keyed.join(gone, "__key", "left_anti").groupBy("__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return left.select("__row.*").unionByName(rest)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return judged.where("NOT contaminated").select(*docs.columns)
+    judged = decontaminate(_whole(docs), table(spark, sf_dir, "benchmark"), keep=["__row"])
+    return judged.where("NOT contaminated").select("__row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced in the text; no document goes."""
-    masked = find_secrets(docs, keep=docs.columns, redact=SECRET)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    masked = find_secrets(_whole(docs), keep=["__row", "text"], redact=SECRET)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return masked.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every text that is left, and their decoding, as counts and digests."""
-    return token_digests(docs, read_spec(word_bpe_path()), ["doc_id", "lang", "source"])
+    return token_digests(docs.select("doc_id", "lang", "source", "text"), read_spec(word_bpe_path()), ["doc_id", "lang", "source"])
 
 
 STAGES = [
@@ -61,7 +79,7 @@ STAGES = [
     ("tokens", encode_tokens),
 ]
 
-#: The language models and the network are not SQL; tests compare the stages with their own brute-force versions.
+#: The language models and the network are not SQL; tests compare what each stage keeps with brute-force versions.
 ORACLE_SQL = None
 
 
