@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import importlib
 
 from poolsieve.operators import rollup
 from poolsieve.operators.filters import FILTERS, FilterParams, select_uids
@@ -38,6 +40,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--first-shard", type=int, default=0)
     p.add_argument("--num-shards", type=int)
     p.add_argument("--shuffle-seed", type=int)
+    p.add_argument("--num-workers", type=int, default=ReshardOptions.num_workers)
+    p.add_argument("--max-bytes", type=int, default=ReshardOptions.max_bytes)
+    p.add_argument("--stats-format", default=ReshardOptions.stats_format, help="name of a shard's stats, from its name without .tar")
+    p.add_argument("--shard-table", help="JSON of shard sizes")
+    p.add_argument("--write-shard-table", action="store_true")
+    p.add_argument("--blur-map", help="JSON of box tables and their shards")
+    p.add_argument("--apply-blur", action="store_true", help="by the codec of --codec")
+    p.add_argument("--inject-blur", action="store_true")
+    p.add_argument("--webp-quality", type=int, default=ReshardOptions.webp_quality)
+    p.add_argument("--codec", help="module:function that blurs an image")
+    p.add_argument("--verbose", action="store_true")
+    p.add_argument("--quiet", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--overwrite", action="store_true")
 
@@ -56,10 +70,17 @@ def main(argv: list[str] | None = None) -> int:
         params = FilterParams(threshold=args.threshold, fraction=args.fraction, arch=args.arch, scale=args.scale, **tables)
         print(write_npy(select_uids(args.name, read_pool(spark, args.metadata_dir), params), args.save_path), "ids written")
     elif args.command == "reshard":
-        names = ("shard_size", "shard_format", "first_shard", "num_shards", "shuffle_seed", "dry_run", "overwrite")
-        options = ReshardOptions(**{n: getattr(args, n) for n in names})
-        for k, v in reshard_job.run(spark, args.input_dir, args.subset_file, args.output_dir, options).items():
-            print(f"{k}: {v}")
+        names = [f.name for f in dataclasses.fields(ReshardOptions) if f.name != "blur_map"]
+        options = ReshardOptions(**{n: getattr(args, n) for n in names}, blur_map=args.blur_map is not None)
+        codec = None
+        if args.codec:
+            module, _, function = args.codec.partition(":")
+            codec = getattr(importlib.import_module(module), function)
+        spark.sparkContext.setLogLevel("INFO" if args.verbose else "ERROR" if args.quiet else "WARN")
+        told = reshard_job.run(spark, args.input_dir, args.subset_file, args.output_dir, options, blur_map_path=args.blur_map, codec=codec)
+        if not args.quiet:
+            for k, v in told.items():
+                print(f"{k}: {v}")
     else:
         results = rollup.last_wins(read_results(spark, args.results))
         if args.tasks:

@@ -81,11 +81,10 @@ def sha256(content: Column) -> Column:
 
 
 def json_with(document: Column, **fields: Column) -> Column:
-    """A JSON object's text with more fields (a field that is there is replaced)."""
-    parsed = F.from_json(document, "map<string,string>")
-    kept = F.map_filter(parsed, lambda k, _: ~k.isin(*fields))
-    added = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
-    return F.to_json(F.map_concat(kept, added))
+    """A JSON object's text with more fields (a field that is there is replaced); values keep their types."""
+    kept = F.map_filter(F.from_json(document, "map<string,variant>"), lambda k, _: ~k.isin(*fields))
+    added = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.parse_json(F.to_json(F.struct(v.alias("v")))))])
+    return F.to_json(F.map_concat(kept, F.transform_values(added, lambda _, v: F.variant_get(v, "$.v", "variant"))))
 
 
 def language_is(column: Column, language: str = "en") -> Column:

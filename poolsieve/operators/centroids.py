@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Bytes of centroids that one pass may broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Inner products that a worker holds at once.
+SCORES = 4 << 20
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -41,18 +43,20 @@ def _pass(df: DataFrame, ids: np.ndarray, matrix: np.ndarray, vector: str) -> Da
             column = batch.column(vector)
             valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
             best = np.array(batch.column("__best").to_numpy(zero_copy_only=False), dtype=np.float64)
-            chosen = batch.column("centroid_id").to_pylist()
-            for at in range(0, len(valid), 1024):
-                rows = valid[at : at + 1024]
+            chosen = np.array(batch.column("centroid_id").fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
+            some = np.array(batch.column("centroid_id").is_valid().to_numpy(zero_copy_only=False))
+            each = max(1, SCORES // max(1, len(ids)))
+            for at in range(0, len(valid), each):
+                rows = valid[at : at + each]
                 x = np.asarray(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(rows), -1)
                 scores = x @ matrix.T
                 k = scores.argmax(axis=1)
                 top = scores[np.arange(len(rows)), k]
-                for r, s, c in zip(rows.tolist(), top.tolist(), ids[k].tolist(), strict=True):
-                    if chosen[r] is None or s > best[r]:
-                        best[r], chosen[r] = s, c
+                better = rows[~some[rows] | (top > best[rows])]
+                where = np.isin(rows, better)
+                best[better], chosen[better], some[better] = top[where], ids[k[where]], True
             names = [n for n in batch.schema.names if n not in ("centroid_id", "__best")]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(chosen, pa.int64()), pa.array(best, mask=np.isnan(best))], [*names, "centroid_id", "__best"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(chosen, mask=~some), pa.array(best, mask=np.isnan(best))], [*names, "centroid_id", "__best"])
 
     fields = [f for f in df.schema if f.name not in ("centroid_id", "__best")]
     return df.mapInArrow(run, T.StructType([*fields, T.StructField("centroid_id", T.LongType()), T.StructField("__best", T.DoubleType())]))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolsieve.functions.text import char_count, token_count, word_count, words
+from poolsieve.functions.text import char_count, entity_offset, token_count, word_count, words
 from poolsieve.functions.vector import scaled_min_max
 from poolsieve.operators.centroids import BROADCAST_BYTES, nearest_centroid
 from poolsieve.operators.threshold import top_fraction_threshold
@@ -41,6 +41,7 @@ class FilterParams:
     centroids: DataFrame | None = None  # centroid_id, c
     targets: DataFrame | None = None  # centroid_id
     vector: str = "embedding"
+    pool: DataFrame | None = None  # the rows that a fraction is of, where the filter is given fewer
 
 
 def score_column(arch: str) -> str:
@@ -81,7 +82,7 @@ def at_least(df: DataFrame, column: str, threshold: float | None) -> Column:
 
 def score_condition(pool: DataFrame, p: FilterParams) -> Column:
     column = score_column(p.arch)
-    threshold = p.threshold if p.fraction is None else top_fraction_threshold(pool, column, p.fraction)
+    threshold = p.threshold if p.fraction is None else top_fraction_threshold(pool if p.pool is None else p.pool, column, p.fraction)
     return at_least(pool, column, threshold)
 
 
@@ -101,17 +102,29 @@ def caption_condition(p: FilterParams) -> Column:
     return F.coalesce((token_count(text) > 1) & (char_count(text) > 5), F.lit(False)) & english(p)
 
 
-def entity_rows(pool: DataFrame, p: FilterParams, broadcast_words: int = 500_000) -> DataFrame:
-    """English captions with a word of the lexicon.
+def lexicon_of(entities: DataFrame, synsets: DataFrame) -> DataFrame:
+    """``word`` of the words whose first synset is among the entities.
 
-    A lexicon of at most ``broadcast_words`` words (counted) is broadcast;
-    a larger one is joined by a shuffle.
+    ``entities`` has ``line`` (an entity id each), ``synsets`` has ``word`` and
+    ``offset``, the number of the word's first synset.
     """
-    keyed = pool.where(english(p)).select("uid", F.explode(F.array_distinct(words(F.lower(F.col("text"))))).alias("word"))
-    lexicon = p.lexicon.select("word").distinct()
-    if lexicon.limit(broadcast_words + 1).count() <= broadcast_words:
-        lexicon = F.broadcast(lexicon)
-    return keyed.join(lexicon, "word", "left_semi").select("uid").distinct()
+    return synsets.join(entities.select(entity_offset(F.col("line")).alias("offset")).distinct(), "offset", "left_semi").select("word").distinct()
+
+
+def entity_rows(pool: DataFrame, p: FilterParams, held_words: int = 20_000) -> DataFrame:
+    """English captions with a word of the lexicon, once for each of their rows.
+
+    A lexicon of at most ``held_words`` words (counted) is part of the condition,
+    so nothing is shuffled; a larger one is joined to the words of each row.
+    """
+    rows = pool.where(english(p)).withColumn("__words", F.array_distinct(words(F.lower(F.col("text")))))
+    lexicon = p.lexicon.select("word").where("word IS NOT NULL").distinct()
+    held = [r[0] for r in lexicon.limit(held_words + 1).collect()]
+    if len(held) <= held_words:
+        told = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(held)) or "NULL"
+        return rows.where(F.expr(f"exists(__words, w -> w IN ({told}))")).drop("__words")
+    named = rows.withColumn("__row", F.monotonically_increasing_id())
+    return named.select("uid", "__row", F.explode("__words").alias("word")).join(lexicon, "word", "left_semi").select("uid", "__row").distinct().drop("__row")
 
 
 def image_rows(pool: DataFrame, p: FilterParams) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,13 +144,32 @@ def multilabel_groups(preds: DataFrame) -> DataFrame:
         ("toxicity_crime", by_race, toxic >= 18),
         ("toxicity_nonhuman", by_race, (toxic >= 14) & (toxic < 18)),
     ]
-    out = []
-    for metric, groups, hit in parts:
-        label = F.concat_ws("_", *[F.concat(F.lit(f"{g}:"), F.col(g).cast("string")) for g in reversed(groups)])
-        per = group_accuracy(preds, groups, hit).select(F.lit(metric).alias("metric"), label.alias("name"), "n", "acc")
-        whole = preds.agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("acc")).select(F.lit(metric).alias("metric"), F.lit("avg").alias("name"), "n", "acc")
-        out += [per, whole]
-    return reduce(DataFrame.unionByName, out)
+    # every metric's rows at once: one pass, one partial aggregation
+    label = lambda groups: F.concat_ws("_", *[F.concat(F.lit(f"{g}:"), F.col(g).cast("string")) for g in reversed(groups)])
+    each = [F.struct(F.lit(metric).alias("metric"), name.alias("name"), hit.cast("double").alias("hit")) for metric, groups, hit in parts for name in (label(groups), F.lit("avg"))]
+    return preds.select(F.explode(F.array(*each)).alias("x")).groupBy("x.metric", "x.name").agg(F.count("*").alias("n"), F.avg("x.hit").alias("acc"))
+
+
+def mean_recall(text: DataFrame, image: DataFrame, k: int = 1) -> DataFrame:
+    """``mean_recall_k``, one row: the mean of both directions' recall at ``k``."""
+    both = text.select(f"recall_{k}").unionByName(image.select(f"recall_{k}"))
+    return both.agg((F.sum(f"recall_{k}") / 2).alias(f"mean_recall_{k}"))
+
+
+def by_position(preds: DataFrame, metadata: DataFrame, position: str = "position") -> DataFrame:
+    """Predictions with the group metadata of the same place in the evaluation set."""
+    return preds.join(metadata, position)
+
+
+def objectives(templates: DataFrame) -> DataFrame:
+    """``objective, classes, templates`` of a multi-label task's lists, in their order.
+
+    ``templates`` has ``place``, ``class`` (whether the line names a class, else a
+    template) and ``line``, which is ``objective:text``.  They are few.
+    """
+    named = templates.select("place", F.split("line", ":", 2)[0].alias("objective"), F.split("line", ":", 2)[1].alias("text"), F.col("class").alias("is_class"))
+    kept = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("place", "text")))), lambda s: s["text"])
+    return named.groupBy("objective").agg(kept(F.col("is_class")).alias("classes"), kept(~F.col("is_class")).alias("templates"))
 
 
 def report(per_group: DataFrame, rows: str, columns: str, value: str) -> DataFrame:

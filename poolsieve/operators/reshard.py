@@ -6,11 +6,13 @@ The subset is a multiset: a sample goes out as many times as its id is there.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import copy_key
+from poolsieve.session import written
 
 
 @dataclass(frozen=True)
@@ -18,6 +20,9 @@ class ReshardOptions:
     shard_size: int = 10_000
     max_bytes: int = 3_000_000_000
     shard_format: str = "{:08d}.tar"
+    stats_format: str = "{}_stats.json"
+    shard_table: str | None = None
+    write_shard_table: bool = False
     first_shard: int = 0
     num_shards: int | None = None
     num_workers: int = 1
@@ -57,10 +62,14 @@ def shard_offsets(shards: DataFrame) -> DataFrame:
 
 
 def worker_plan(shards: DataFrame, workers: int) -> DataFrame:
-    """Contiguous ranges of shards of about equal size; workers without shards are left out."""
+    """Contiguous ranges of shards of about equal size; workers without shards are left out.
+
+    Cuts are at every ``ceil(total / workers)`` samples below the total.
+    """
     total, n = shards.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     each = max(1, -(-total // max(1, min(workers, n))))
-    placed = shard_offsets(shards).withColumn("worker_id", F.floor(F.col("data_start") / each))
+    last = max(-(-total // each) - 1, 0)
+    placed = shard_offsets(shards).withColumn("worker_id", F.least(F.floor(F.col("data_start") / each), F.lit(last)))
     return placed.groupBy("worker_id").agg(F.min("shard_id").alias("first_shard"), F.count("*").alias("shards"), F.sum("size").alias("rows"))
 
 
@@ -79,19 +88,23 @@ def missing_rows(samples: DataFrame, subset: DataFrame) -> DataFrame:
 def with_output_shard(rows: DataFrame, order: list[str], shard_size: int) -> DataFrame:
     """``out_shard``: without gaps, by position in the global order of ``order``.
 
-    Positions come from a range partitioning: counts of each partition are
-    collected (one number for each) and added up, so no row goes through one task.
+    The rows are range-partitioned and written once, with the partition and the
+    position in it; the counts of the partitions, which are one number each, come
+    from what was written, so they belong to it whatever the sampled bounds were.
+    Give ids and places only: payloads are joined to the result.
     """
-    sorted_rows = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    numbered = sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = sorted(numbered.groupBy("__part").count().collect())
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = rows.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
+    # the partition in the upper bits, the position below
+    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     start, starts = 0, []
-    for part, n in counts:
-        starts.append((part, start))
+    for k, n in sorted(placed.groupBy(part.alias("k")).count().collect()):
+        starts.append((k, start))
         start += n
-    table = F.create_map(*[F.lit(x) for pair in starts for x in pair]) if starts else F.create_map().cast("map<int,int>")
-    position = F.col("__row") + table[F.col("__part")]
-    return numbered.withColumn("out_shard", F.floor(position / shard_size).cast("long")).drop("__part", "__row")
+    table = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part long, __start long"))
+    found = placed.withColumn("__part", part).join(table, "__part")
+    return found.withColumn("out_shard", F.floor((F.col("__start") + row) / shard_size).cast("long")).drop("__part", "__start", "__at")
 
 
 def shard_counts(rows: DataFrame) -> DataFrame:
@@ -108,6 +121,11 @@ def attach_parquet(shards: DataFrame, blur_map: DataFrame) -> DataFrame:
     return shards.join(invert_blur_map(blur_map), "shard_id", "left")
 
 
+def without_table(shards: DataFrame, blur_map: DataFrame) -> DataFrame:
+    """``missing``, one row: how many shards no box table covers."""
+    return attach_parquet(shards, blur_map).agg(F.sum(F.col("parquet").isNull().cast("long")).alias("missing"))
+
+
 def attach_boxes(samples: DataFrame, boxes: DataFrame) -> DataFrame:
     """Samples with ``face_bboxes``; those without boxes are kept as they are."""
     found = boxes.select("parquet", "uid", "face_bboxes")
@@ -116,8 +134,9 @@ def attach_boxes(samples: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def reconcile(samples: DataFrame, subset: DataFrame, out: DataFrame, expected: int | None = None) -> DataFrame:
     """One row of counts, and what does not add up."""
-    counts = {"samples": samples, "subset_rows": subset, "output_rows": out, "missing_rows": missing_rows(samples, subset)}
-    row = samples.sparkSession.range(1).select(*[F.lit(df.count()).alias(k) for k, df in counts.items()])
+    counted = {"samples": samples, "subset_rows": subset, "output_rows": out, "missing_rows": missing_rows(samples, subset)}
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in counted.items()]
+    row = reduce(DataFrame.unionByName, parts).agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in counted])
     row = row.withColumn("consistent", F.col("subset_rows") - F.col("missing_rows") == F.col("output_rows"))
     return row if expected is None else row.withColumn("unprocessed", F.lit(expected) - F.col("samples"))
 

@@ -86,6 +86,25 @@ def overall_mean(results: DataFrame) -> DataFrame:
     return results.agg(F.avg("main_metric").alias("average"), F.count("main_metric").alias("scored"))
 
 
+def resumed(results: DataFrame, training: dict, cached: dict | None) -> DataFrame:
+    """Results to go on from; those of another training run are an error."""
+    if cached is not None and cached != training:
+        names = sorted(k for k in cached.keys() | training.keys() if cached.get(k) != training.get(k))
+        raise ValueError(f"the cached results are of another run: {', '.join(names)} differ")
+    return results
+
+
+#: What a submission must tell.
+REQUIRED = ("method_name", "author", "email", "hf_username", "hf_repo_name")
+
+
+def check_submission(fields: dict) -> None:
+    """Raise ValueError where a required field is missing or empty."""
+    missing = [k for k in REQUIRED if not str(fields.get(k) or "").strip()]
+    if missing:
+        raise ValueError(f"a submission needs {', '.join(missing)}")
+
+
 def submission(results: DataFrame, scale: str, dataset_size: int | None, train_num_samples: int, name: str) -> DataFrame:
     """The record of a run, as one row; sending it is not this engine's business."""
     if not name:

@@ -14,7 +14,8 @@ def top_fraction_threshold(df: DataFrame, column: str, fraction: float, direct:
 
     Null and NaN scores count as rows but come last; None if the position falls
     on them, or on no row at all.  Large tables are bracketed by approximate
-    percentiles first, and only the band between is ordered exactly.
+    percentiles first, again and again until the band between is small, and only that
+    is ordered exactly.
     """
     if not 0 <= fraction < 1:
         raise ValueError("the fraction must be at least 0 and below 1")
@@ -25,9 +26,8 @@ def top_fraction_threshold(df: DataFrame, column: str, fraction: float, direct:
     if n >= valid:
         return None
     scores = scores.where("s IS NOT NULL")
-    if valid > direct:
-        share = 1 - n / valid
-        step = 0.001
+    while valid > direct:
+        share, step = 1 - n / valid, 0.001
         while True:
             low, high = scores.agg(F.percentile_approx("s", [max(0.0, share - step), min(1.0, share + step)], 10_000)).first()[0]
             low, high = (None if share <= step else low), (None if share + step >= 1 else high)
@@ -35,7 +35,11 @@ def top_fraction_threshold(df: DataFrame, column: str, fraction: float, direct:
             band = scores.where((F.lit(True) if low is None else F.col("s") >= low) & (F.lit(True) if high is None else F.col("s") <= high))
             inside = band.count()
             if above <= n < above + inside:
-                scores, n, valid = band, n - above, inside
                 break
             step *= 4
+        if low is not None and low == high:
+            return low
+        if inside == valid:  # few different scores: their counts are few too
+            break
+        scores, n, valid = band, n - above, inside
     return scores.agg(F.expr(f"percentile_disc({(n + 0.5) / valid!r}D) WITHIN GROUP (ORDER BY s DESC)")).first()[0]

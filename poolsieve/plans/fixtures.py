@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolsieve.functions.vector import dot
 from poolsieve.operators.centroids import nearest_centroid, target_centroids
 from poolsieve.operators.metrics import nearest_candidates
+from poolsieve.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,36 @@ _POOL = [
 ]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+
+
+def write_matrices(vectors: DataFrame, folder: str, parts: int = 4) -> None:
+    """Each part's rows as a table, and its vectors as the matrix ``v`` of an ``.npz`` file beside it."""
+
+    def run(batches):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            name, out = uuid.uuid4().hex, io.BytesIO()
+            flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            np.savez(out, v=flat.reshape(len(rows), -1))
+            with files.open_output(files.join(folder, f"{name}.npz")) as f:
+                f.write(out.getvalue())
+            with files.open_output(files.join(folder, f"{name}.parquet")) as f:
+                pq.write_table(rows, f)
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["n"])
+
+    vectors.repartition(parts, "vec_id").mapInArrow(run, "n long").collect()
+
+
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*_POOL)
 
@@ -133,7 +167,7 @@ SQL = {
       FROM (SELECT vec_id, any_value(label) AS target, min(centroid_id) FILTER (r = 1) AS pred, list(centroid_id) FILTER (r <= 5) AS top FROM ranked GROUP BY vec_id)""",
     "results": "SELECT source AS dataset, avg(quality) AS main_metric FROM labels JOIN documents USING (doc_id) GROUP BY source",
     "pairs": """SELECT a.vec_id AS image, b.vec_id AS caption, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score, b.vec_id = a.vec_id + 1 AS relevant
-      FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND a.vec_id < 500 AND b.vec_id < 500""",
+      FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1""",
     "lines": "SELECT 'task/' || event_type AS key, event_type || '-' || CAST(user_id % 7 AS VARCHAR) AS dataset, event_id AS line_no, value AS acc1, value * 2 AS other FROM events",
     "boxes": "SELECT 'boxes-' || CAST(shard_id // 4 AS VARCHAR) AS parquet, uid, doc_id FROM samples WHERE doc_id % 5 = 0 AND shard_id % 4 <> 3",
 }
@@ -153,6 +187,3 @@ def with_views(body: str, *names: str) -> str:
     for name in names:
         add(name)
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order) + "\n" + body
-
-
-__all__ = ["SQL", "Window", "with_views"]

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from poolsieve.functions.text import article_prompt, char_count, duration, percent, shard_name, token_count, word_count
+from poolsieve.functions.text import article_prompt, ceil_div, char_count, duration, json_with, one_line, or_default, percent, shard_name, token_count, word_count
 from poolsieve.functions.uid import high, low, uid_bin, uid_hex
+from poolsieve.functions.vector import argmax, is_in, mask_from
 from poolsieve.operators import centroids as cen
 from poolsieve.operators import metrics, reshard, rollup
 from poolsieve.operators.filters import FilterParams, caption_condition, select_uids
 from poolsieve.operators.threshold import top_fraction_threshold
 from poolsieve.plans import fixtures as fx
 from poolsieve.plans.fixtures import WORDS_SQL, with_views
-from poolsieve.sources.metadata import input_shard_spec
+from poolsieve.sinks.subset import append_results, write_npy, write_tars
+from poolsieve.sources.metadata import gather_embeddings, input_shard_spec, read_embeddings, read_pool, read_results, read_shard_stats, read_subset, weighted_union, with_position
+from poolsieve.sources.tar import read_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +87,7 @@ def laion2b(spark, d):
 _LEXICON = r"SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark WHERE item_id % 4 = 0) WHERE regexp_full_match(w, '[a-z]+') AND length(w) >= 6"
 
 
-@query(rf"SELECT DISTINCT uid FROM (SELECT uid, unnest(regexp_extract_all(lower(text), '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) AS word FROM pool WHERE {ENGLISH}) SEMI JOIN ({_LEXICON}) USING (word)", "pool")
+@query(rf"SELECT uid FROM pool SEMI JOIN (SELECT DISTINCT uid FROM (SELECT uid, unnest(regexp_extract_all(lower(text), '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) AS word FROM pool WHERE {ENGLISH}) SEMI JOIN ({_LEXICON}) USING (word)) USING (uid)", "pool")
 def text_based(spark, d):
     return select_uids("text_based", fx.pool(spark, d), FilterParams(lexicon=fx.lexicon(spark, d, 6)))
 
@@ -124,8 +127,7 @@ def image_based(spark, d):
 )
 def image_based_intersect(spark, d):
     # the fraction is of the whole pool, also where rows have no vector
-    threshold = top_fraction_threshold(fx.pool(spark, d), "clip_l14_similarity_score", 0.3)
-    return select_uids("image_based_intersect_clip_score", fx.pool_vectors(spark, d), _image_params(spark, d, threshold=threshold, arch="l14"))
+    return select_uids("image_based_intersect_clip_score", fx.pool_vectors(spark, d), _image_params(spark, d, fraction=0.3, arch="l14", pool=fx.pool(spark, d)))
 
 
 @query(f"SELECT uid FROM (SELECT uid FROM pool WHERE {BASIC}) INTERSECT SELECT uid FROM pool WHERE clip_b32_similarity_score >= 0.28", "pool")
@@ -174,8 +176,12 @@ def shard_offsets(spark, d):
 
 
 @query(
-    """SELECT CAST(data_start // greatest(1, (total + least(4, n) - 1) // least(4, n)) AS BIGINT) AS worker_id, min(shard_id) AS first_shard, count(*) AS shards, CAST(sum(size) AS BIGINT) AS rows
-    FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS data_start, sum(size) OVER () AS total, count(*) OVER () AS n FROM shards) GROUP BY 1""",
+    """SELECT worker_id, min(shard_id) AS first_shard, count(*) AS shards, CAST(sum(size) AS BIGINT) AS rows FROM (
+      SELECT shard_id, size, max(k) AS worker_id
+      FROM (SELECT shard_id, size, coalesce(sum(size) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS data_start FROM shards) s
+      JOIN (SELECT k, cut FROM (SELECT total, CAST(ceil(total / least(4, n)) AS BIGINT) AS each FROM (SELECT sum(size) AS total, count(*) AS n FROM shards)),
+        LATERAL (SELECT unnest(range(0, total::BIGINT, each)) AS cut, unnest(range(0, 4)) AS k) WHERE cut IS NOT NULL) cuts ON cut <= data_start
+      GROUP BY shard_id, size) GROUP BY worker_id""",
     "shards",
 )
 def worker_plan(spark, d):
@@ -362,6 +368,103 @@ def scalar_functions(spark, d):
     )
 
 
+@query("SELECT doc_id, replace(text, chr(10), ' ') AS line, CASE WHEN text LIKE '%a%' THEN text ELSE lang END AS told, CAST(ceil(n_chars / 100.0) AS BIGINT) AS hundreds FROM documents")
+def caption_lines(spark, d):
+    rows = fx.table(spark, d, "documents")
+    return rows.select("doc_id", one_line(F.col("text")).alias("line"), or_default(F.when(F.col("text").contains("a"), F.col("text")), F.col("lang")).alias("told"), ceil_div(F.col("n_chars"), F.lit(100)).alias("hundreds"))
+
+
+@query("SELECT shard_id, size FROM shards WHERE shard_id >= 2 AND shard_id < 7", "shards")
+def shards_in_range(spark, d):
+    return reshard.in_range(fx.shards(spark, d), reshard.ReshardOptions(first_shard=2, num_shards=5))
+
+
+@query("SELECT vec_id, min(centroid_id) FILTER (m = 1) AS pred, max(CAST(centroid_id IN (0, 3) AND m = 1 AS INT)) = 1 AS among FROM (SELECT vec_id, centroid_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, centroid_id) AS m FROM scored WHERE centroid_id < 6) GROUP BY vec_id", "scored")
+def masked_classes(spark, d):
+    masked = fx.scores(spark, d).withColumn("masked", mask_from(F.col("logits"), F.lit(6)))
+    pred = argmax(F.col("masked"))
+    return masked.select("vec_id", pred.alias("pred"), is_in(F.array(pred), F.array(F.lit(0), F.lit(3)).cast("array<long>"))[0].alias("among"))
+
+
+@query("SELECT dataset, line_no, avg(line_no % 10) OVER (PARTITION BY key ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS mean_so_far FROM lines", "lines")
+def running_mean(spark, d):
+    return rollup.running(fx.log_lines(spark, d).withColumn("main_metric", (F.col("line_no") % 10).cast("double"))).select("dataset", "line_no", "mean_so_far")
+
+
+@query("""SELECT doc_id, '{"uid":' || CAST(doc_id AS VARCHAR) || ',"ok":true,"boxes":[[' || CAST(doc_id % 7 AS VARCHAR) || ',2]]}' AS document FROM documents""")
+def json_fields(spark, d):
+    text = F.format_string('{"uid": %d, "ok": true, "boxes": "old"}', F.col("doc_id"))
+    return fx.table(spark, d, "documents").select("doc_id", json_with(text, boxes=F.array(F.array(F.col("doc_id") % 7, F.lit(2).cast("long")))).alias("document"))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT source FROM documents WHERE doc_id % 2 = 0) GROUP BY source")
+def source_concatenation(spark, d):
+    rows = fx.table(spark, d, "documents").select("doc_id", "source")
+    return weighted_union([(rows, 1), (rows.where("doc_id % 2 = 0"), 1)]).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT region, avg(CAST(pred = target AS DOUBLE)) AS acc, count(*) AS n FROM (SELECT pred, target, (vec_id * 3) % 11 AS region FROM preds) GROUP BY region", "preds")
+def metadata_by_position(spark, d):
+    places = fx.vectors(spark, d).selectExpr("vec_id AS position", "(vec_id * 3) % 11 AS place_region")
+    joined = metrics.by_position(fx.predictions(spark, d).drop("region").withColumnRenamed("vec_id", "position"), places)
+    return metrics.group_accuracy(joined.withColumnRenamed("place_region", "region"), ["region"], F.col("pred") == F.col("target"))
+
+
+@query("SELECT 'lang' AS objective, list(lang ORDER BY lang) AS classes, ['a ' || min(lang) || ' text'] AS templates FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def objective_regroup(spark, d):
+    langs = fx.table(spark, d, "documents").select("lang").where("lang IS NOT NULL").distinct()
+    lines = langs.select(F.hash("lang").cast("long").alias("h"), F.concat(F.lit("lang:"), "lang").alias("line"), F.lit(True).alias("class"), "lang")
+    placed = lines.withColumn("place", F.row_number().over(Window.orderBy("lang")).cast("long")).select("place", "line", "class")  # a few languages
+    return metrics.objectives(placed.unionByName(langs.agg(F.concat(F.lit("lang:a "), F.min("lang"), F.lit(" text")).alias("line")).select(F.lit(0).cast("long").alias("place"), "line", F.lit(False).alias("class"))))
+
+
+@query("SELECT count(*) AS ids, count(DISTINCT uid) AS different, min(uid) AS first, max(uid) AS last FROM subset", "subset")
+def subset_file_round_trip(spark, d):
+    """Written as one sorted ``.npy`` file and read in splits."""
+    path = fx.scratch(spark, "subset.npy")
+    write_npy(fx.subset(spark, d), path)
+    ids = read_subset(spark, path, split=100).select(uid_hex(F.col("uid_bin")).alias("uid"))
+    return ids.agg(F.count("*").alias("ids"), F.count_distinct("uid").alias("different"), F.min("uid").alias("first"), F.max("uid").alias("last"))
+
+
+@query("SELECT shard_id, count(*) AS successes, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT doc_id // 37 AS shard_id, coalesce(text, '') AS text FROM documents) GROUP BY shard_id")
+def tar_round_trip(spark, d):
+    """Every document as a sample of a tar shard, and back."""
+    folder = fx.scratch(spark, "tars")
+    rows = fx.pool(spark, d).select(F.floor(F.col("doc_id") / 37).alias("out_shard"), F.col("uid").alias("out_key"), F.create_map(F.lit("txt"), F.coalesce("text", F.lit("")).cast("binary")).alias("fields"))
+    write_tars(rows, folder)
+    sizes = read_samples(spark, folder).select(F.regexp_extract("shard_name", r"(\d+)", 1).cast("long").alias("shard_id"), F.octet_length(F.col("fields")["txt"]).cast("long").alias("bytes"))
+    stats = read_shard_stats(spark, folder)
+    return sizes.groupBy("shard_id").agg(F.sum("bytes").alias("bytes")).join(stats, "shard_id")
+
+
+@query("SELECT vec_id, label FROM embeddings")
+def npz_round_trip(spark, d):
+    """Vectors as matrices beside their tables, and back by place: each meets its own row."""
+    folder = fx.scratch(spark, "npz")
+    fx.write_matrices(fx.vectors(spark, d), folder)
+    pool = with_position(read_pool(spark, folder, ["vec_id", "label", "embedding"]))
+    same = F.forall(F.zip_with("embedding", "vector", lambda a, b: a.cast("float") == b), lambda x: x)
+    return gather_embeddings(pool, read_embeddings(spark, folder, "v")).where(same).select("vec_id", "label")
+
+
+@query("SELECT dataset, arg_max(acc1, line_no) AS acc1 FROM lines WHERE line_no % 50 = 0 GROUP BY dataset", "lines")
+def result_file_order(spark, d):
+    """Two runs' lines, the second behind the first; the last of each dataset wins."""
+    folder, lines = fx.scratch(spark, "results"), fx.log_lines(spark, d).where("line_no % 50 = 0")
+    last = lines.groupBy("dataset").agg(F.max("line_no").alias("line_no"))
+    append_results(lines.join(last, ["dataset", "line_no"], "left_anti").drop("line_no"), folder)
+    append_results(lines.join(last, ["dataset", "line_no"]).drop("line_no"), folder)
+    return rollup.last_wins(read_results(spark, folder)).select("dataset", F.element_at("metrics", F.lit("acc1")).alias("acc1"))
+
+
+@query("SELECT 0.5 * (SELECT avg(CAST(toxic AS DOUBLE)) FROM labels) + 0.5 * (SELECT avg(CAST(quality AS DOUBLE)) FROM labels) AS mean_recall_1")
+def mean_of_recalls(spark, d):
+    labels = fx.table(spark, d, "labels")
+    sides = [labels.agg(F.avg(F.col(c).cast("double")).alias("recall_1")) for c in ("toxic", "quality")]
+    return metrics.mean_recall(*sides)
+
+
 @query()
 def kmeans_inertia(spark, d):
     """Centroids by Lloyd's algorithm: how many vectors each has, and the squared distances of all vectors to their nearest in sum."""

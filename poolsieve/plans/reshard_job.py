@@ -1,65 +1,169 @@
-"""Resharding from end to end: tars and a subset in, tars, stats and a manifest out."""
+"""Resharding from end to end: tars and a subset in, tars, stats and a manifest out.
+
+Headers and JSON members are read first, and all that is decided is decided on
+ids and places: which samples go out, how often, to which shard.  Then every tar
+with a chosen sample is read once, and its samples go to their shards.
+"""
 
 from __future__ import annotations
 
 import dataclasses
-import os
-import shutil
+import json
+import tarfile
+import time
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import uid_hex
 from poolsieve.operators import reshard
 from poolsieve.operators.reshard import ReshardOptions
-from poolsieve.sinks.subset import write_json, write_tars
-from poolsieve.sources.metadata import list_tars, read_subset
-from poolsieve.sources.tar import read_samples
+from poolsieve.session import written
+from poolsieve.sinks.subset import write_json, write_shard_table, write_tars
+from poolsieve.sources import files
+from poolsieve.sources.metadata import list_tars, read_blur_map, read_boxes, read_shard_stats, read_shard_table, read_subset
+from poolsieve.sources.tar import damaged_tars, group_members, read_index, tar_members
+
+#: From the ending and bytes of an image, its boxes and the quality asked for, to the new ending and bytes.
+Codec = Callable[[str, bytes, list, int], tuple[str, bytes]]
+IMAGES = ("jpg", "jpeg", "png", "webp")
 
+_WANTED = "array<struct<place: long, out_shard: long, out_key: string, boxes: array<array<double>>>>"
 
-def with_boxes(samples: DataFrame, shard_boxes: DataFrame, options: ReshardOptions) -> DataFrame:
-    """Adds the boxes of selected samples to their JSON member.
 
-    ``shard_boxes`` has ``shard_name, uid, face_bboxes``.  Blurring the images
-    themselves needs a codec, which is the caller's: see ``blurred``.
+def boxes_of(spark: SparkSession, shards: DataFrame, map_path: str, input_dir: str) -> tuple[DataFrame, int]:
+    """``shard_name, uid, face_bboxes`` by the map's tables, and how many shards no table covers.
+
+    Tables are in the map's folder.  Entries of other input folders are left out.
     """
-    joined = samples.join(shard_boxes, ["shard_name", "uid"], "left").withColumn("blurred", F.coalesce(F.size("face_bboxes") > 0, F.lit(False)))
-    if not options.inject_blur:
-        return joined.drop("face_bboxes")
-    text = F.col("fields")["json"].cast("string")
-    told = F.concat(F.regexp_replace(text, r"\}\s*$", ', "face_bboxes": '), F.to_json("face_bboxes"), F.lit("}"))
-    others = F.map_filter("fields", lambda k, _: k != "json")
-    return joined.withColumn("fields", F.when(F.col("blurred"), F.map_concat(others, F.create_map(F.lit("json"), told.cast("binary")))).otherwise(F.col("fields"))).drop("face_bboxes")
+    found = read_blur_map(spark, map_path, input_dir)
+    folder = map_path.rsplit("/", 1)[0] if "/" in map_path else "."
+    paths = {r[0]: files.join(folder, r[0]) for r in found.select("parquet").distinct().collect()}  # one row for each table
+    missing = reshard.without_table(shards, found).first()[0] or 0
+    if not paths:
+        return spark.createDataFrame([], "shard_name string, uid string, face_bboxes array<array<double>>"), missing
+    names = shards.join(reshard.invert_blur_map(found), "shard_id").select(F.col("name").alias("shard_name"), F.element_at(F.split("parquet", "/"), -1).alias("parquet"))
+    return names.join(read_boxes(spark, sorted(paths.values())), "parquet").drop("parquet"), missing
+
+
+def _payload(options: ReshardOptions, codec: Codec | None):
+    """Chosen samples of each tar, as ``out_shard, out_key, fields``; a sample that fails is left out and told by a row without a shard."""
+
+    def changed(fields: dict[str, bytes], boxes: list) -> dict[str, bytes]:
+        out = {}
+        for ending, data in fields.items():
+            if options.inject_blur and ending == "json":
+                data = json.dumps(json.loads(data) | {"face_bboxes": boxes}).encode()
+            if options.apply_blur and codec is not None and ending in IMAGES:
+                ending, data = codec(ending, data, boxes, options.webp_quality)
+            out[ending] = data
+        return out
+
+    kinds = [pa.int64(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string()]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["out_shard", "out_key", "fields", "failed"])
 
-def run(spark: SparkSession, input_dir: str, subset_path: str, output_dir: str, options: ReshardOptions | None = None, shard_boxes: DataFrame | None = None) -> dict:
+    def run(batches):
+        for tars in batches:
+            for path, wanted in zip(tars.column("path").to_pylist(), tars.column("wanted").to_pylist(), strict=True):
+                by_place: dict[int, list[dict]] = {}
+                for w in wanted:
+                    by_place.setdefault(w["place"], []).append(w)
+                rows, size = [], 0
+                try:
+                    with files.open_input(path) as stream:
+                        for place, (_, fields) in enumerate(group_members(tar_members(stream))):
+                            for w in by_place.pop(place, []):
+                                try:
+                                    out = changed(fields, w["boxes"]) if w["boxes"] else fields
+                                    rows.append((w["out_shard"], w["out_key"], list(out.items()), None))
+                                    size += sum(map(len, out.values()))
+                                except Exception as e:  # the next sample may be fine
+                                    rows.append((None, w["out_key"], None, f"{type(e).__name__}: {e}"))
+                            if size > 1 << 26:
+                                yield batch(rows)
+                                rows, size = [], 0
+                            if not by_place:
+                                break
+                except (tarfile.TarError, EOFError, OSError) as e:
+                    rows += [(None, w["out_key"], None, f"{type(e).__name__}: {e}") for ws in by_place.values() for w in ws]
+                if rows:
+                    yield batch(rows)
+
+    return run
+
+
+def run(
+    spark: SparkSession,
+    input_dir: str,
+    subset_path: str,
+    output_dir: str,
+    options: ReshardOptions | None = None,
+    shard_boxes: DataFrame | None = None,
+    blur_map_path: str | None = None,
+    codec: Codec | None = None,
+) -> dict:
     """Write the subset's samples to ``output_dir``, which all executors share; returns the manifest.
 
-    A dry run counts and writes nothing.
+    ``shard_boxes`` has ``shard_name, uid, face_bboxes``; with ``blur_map_path``
+    they are read by that map.  Blurring the images themselves is ``codec``'s.  A
+    dry run counts and writes nothing.
     """
+    began = time.monotonic()
     options = options or ReshardOptions()
     options.check()
-    if os.path.isdir(output_dir) and os.listdir(output_dir) and not options.dry_run:
+    if not options.dry_run and not files.is_empty(output_dir):
         if not options.overwrite:
             raise ValueError(f"{output_dir} is not empty")
-        shutil.rmtree(output_dir)
-    names = reshard.in_range(list_tars(spark, input_dir), options).select(F.col("name").alias("shard_name"))
-    samples = read_samples(spark, input_dir).join(names, "shard_name", "left_semi").withColumn("uid", F.lower("uid"))
+        files.clear(output_dir)
+    tars = written(reshard.in_range(list_tars(spark, input_dir), options))
+    named = written(read_index(tars.select("path").repartition(max(1, min(tars.count(), 100_000)))).withColumn("uid", F.lower("uid")))
+    samples = named.where("damaged IS NULL").select(F.col("shard_name"), "place", "uid")
     subset = read_subset(spark, subset_path).select(uid_hex(F.col("uid_bin")).alias("uid"))
-    if shard_boxes is not None:
-        samples = with_boxes(samples, shard_boxes, options)
+    told = {}
+    if options.blur_map and blur_map_path is not None:
+        shard_boxes, told["shards_without_boxes"] = boxes_of(spark, tars, blur_map_path, input_dir)
     chosen = reshard.multiset_join(samples, subset)
-    order = ["uid", "copy"]
+    order = ["uid", "copy", "shard_name", "place"]
     if options.shuffle_seed is not None:
-        chosen = chosen.withColumn("__at", F.xxhash64("out_key", F.lit(options.shuffle_seed)))
-        order = ["__at", "out_key"]
-    counts = reshard.reconcile(samples, subset, chosen).first().asDict()
-    manifest = dataclasses.asdict(options) | counts | {"input_dir": input_dir, "subset_file": subset_path, "output_shard_format": options.shard_format}
+        chosen = chosen.withColumn("__order", F.xxhash64("out_key", F.lit(options.shuffle_seed)))
+        order = ["__order", "out_key", "shard_name", "place"]
+    placed = reshard.with_output_shard(chosen, order, options.shard_size)
+    sizes = _sizes(spark, input_dir, tars, options)
+    expected = sizes.agg(F.sum("size")).first()[0] if sizes is not None else None
+    counts = reshard.reconcile(samples, subset, placed, expected).first().asDict()
+    told |= {"damaged_shards": damaged_tars(named).count()}
+    if sizes is not None:
+        told["workers"] = [r.asDict() for r in reshard.worker_plan(sizes, options.num_workers).orderBy("worker_id").collect()]
+    if shard_boxes is not None:
+        boxed = shard_boxes.where(F.size("face_bboxes") > 0).select("shard_name", F.lower("uid").alias("uid"), F.col("face_bboxes").cast("array<array<double>>").alias("boxes")).dropDuplicates(["shard_name", "uid"])
+        placed = placed.join(boxed, ["shard_name", "uid"], "left")
+        told["blurred"] = placed.where("boxes IS NOT NULL").count()
+    else:
+        placed = placed.withColumn("boxes", F.lit(None).cast("array<array<double>>"))
+    manifest = dataclasses.asdict(options) | counts | told | {"input_dir": input_dir, "subset_file": subset_path, "output_shard_format": options.shard_format}
     if not options.dry_run:
-        os.makedirs(output_dir, exist_ok=True)
-        placed = reshard.with_output_shard(chosen, order, options.shard_size)
-        written = write_tars(placed, output_dir, options.shard_format, options.max_bytes).collect()  # one row for each shard
-        manifest |= {"output_shard_count": len(written), "output_count": sum(r.successes for r in written)}
-        shutil.copy(subset_path, os.path.join(output_dir, "sample_ids.npy"))
-        write_json(os.path.join(output_dir, "meta.json"), manifest)
+        # at most the copies that one tar's samples have
+        wanted = placed.groupBy("shard_name").agg(F.collect_list(F.struct("place", "out_shard", "out_key", "boxes")).cast(_WANTED).alias("wanted"))
+        work = tars.select("path", F.col("name").alias("shard_name")).join(wanted, "shard_name").select("path", "wanted")
+        rows = work.repartition(max(1, min(work.count(), 100_000))).mapInArrow(_payload(options, codec), "out_shard long, out_key string, fields map<string,binary>, failed string")
+        done = write_tars(rows, output_dir, options.shard_format, options.max_bytes, options.stats_format)
+        manifest |= {f"output_{k}": v or 0 for k, v in done.agg(F.count("*").alias("shard_count"), F.sum("successes").alias("count")).first().asDict().items()}
+        manifest["failed_rows"] = manifest["output_rows"] - manifest["output_count"]
+        files.copy(subset_path, files.join(output_dir, "sample_ids.npy"))
+        if options.write_shard_table and sizes is not None:
+            write_shard_table(sizes.join(tars.select("shard_id", "name"), "shard_id"), options.shard_table or files.join(input_dir, "sizes.json"))
+        manifest["seconds"] = round(time.monotonic() - began, 1)
+        write_json(files.join(output_dir, "meta.json"), manifest)
     return manifest
+
+
+def _sizes(spark: SparkSession, input_dir: str, tars: DataFrame, options: ReshardOptions) -> DataFrame | None:
+    """``shard_id, size`` as the table or the stats tell; None where neither is there."""
+    table = read_shard_table(spark, options.shard_table) if options.shard_table and files.size(options.shard_table) is not None else None
+    if files.names(input_dir, "_stats.json"):
+        return reshard.shard_sizes(tars, read_shard_stats(spark, input_dir), table)
+    return None if table is None else tars.join(table.select("shard_id", "size"), "shard_id").select("shard_id", "size")

@@ -1,6 +1,8 @@
-"""A session with the settings the engine is tuned for."""
+"""A session with the settings the engine is tuned for, and tables that cut a plan."""
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -13,3 +15,21 @@ SETTINGS = {
 def build_session(master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName("poolsieve").config(map=SETTINGS | {k.replace("__", "."): v for k, v in extra.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for rows that must not change when they are read again.
+
+    The folder is ``spark.checkpoint.dir``; on one machine, where that is unset, it is in the warehouse.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_written"
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

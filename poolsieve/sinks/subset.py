@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import uid_bin
+from poolsieve.sources import files
 
 
 def sorted_ids(uids: DataFrame) -> DataFrame:
@@ -22,47 +25,58 @@ def sorted_ids(uids: DataFrame) -> DataFrame:
 def write_npy(uids: DataFrame, path: str) -> int:
     """Sort the ids and write one ``.npy`` file of ``u8,u8`` pairs; returns their number.
 
-    The driver streams one partition after the other to the file, in order.
+    Every executor writes its part of the order beside the file; the driver then
+    puts the parts' bytes behind each other.
     """
-    ids = sorted_ids(uids)
-    total = ids.count()
+    folder = f"{path}.parts"
+
+    def run(batches):
+        import uuid
+
+        count, name = 0, f"{TaskContext.get().partitionId():08d}"
+        temp = files.join(folder, f"_{uuid.uuid4().hex}")
+        with files.open_output(temp) as out:
+            for batch in batches:
+                ids = b"".join(batch.column(0).to_pylist())
+                out.write(np.frombuffer(ids, dtype=">u8").astype("<u8").tobytes())
+                count += batch.num_rows
+        files.move(temp, files.join(folder, name))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["name", "count"])
+
+    parts = sorted_ids(uids).mapInArrow(run, "name string, count long").collect()  # one row for each task
     header = io.BytesIO()
+    total = sum(r[1] for r in parts)
     np.lib.format.write_array_header_1_0(header, {"descr": np.lib.format.dtype_to_descr(np.dtype("u8,u8")), "fortran_order": False, "shape": (total,)})
-    with open(path, "wb") as out:
+    with files.open_output(path) as out:
         out.write(header.getvalue())
-        block: list[bytes] = []
-        for row in ids.toLocalIterator():
-            block.append(bytes(row[0]))
-            if len(block) == 65536:
-                out.write(np.frombuffer(b"".join(block), dtype=">u8").astype("<u8").tobytes())
-                block = []
-        out.write(np.frombuffer(b"".join(block), dtype=">u8").astype("<u8").tobytes())
+        for name in sorted(r[0] for r in parts):
+            with files.open_input(files.join(folder, name)) as part:
+                while data := part.read(8 << 20):
+                    out.write(data)
+    files.remove(folder)
     return total
 
 
-def write_tars(rows: DataFrame, folder: str, pattern: str = "{:08d}.tar", max_bytes: int = 3_000_000_000) -> DataFrame:
+def write_tars(rows: DataFrame, folder: str, pattern: str = "{:08d}.tar", max_bytes: int = 3_000_000_000, stats: str = "{}_stats.json") -> DataFrame:
     """Write ``out_shard, out_key, fields`` rows as tar shards to a folder that all executors share.
 
-    A shard of more than ``max_bytes`` goes on in parts of its own.  A shard is
-    written under another name and then renamed, so a task that is run again
-    leaves whole files.  Returns ``name, successes``; stats go beside the tars.
+    A shard of more than ``max_bytes`` goes on in another, and the numbers of all
+    that follow move up, so they stay without gaps.  A shard is written under a
+    name of its own and then renamed, so a task that is run again leaves whole
+    files.  Returns ``name, successes`` of what was written; stats go beside the
+    tars, under ``stats`` of the tar's name without its ending.
     """
 
     def run(batches):
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
-        shard = tar = temp = None
+        shard = tar = out = temp = None
         part = count = size = 0
 
         def close():
             tar.close()
-            name = pattern.format(shard) if not part else pattern.format(shard).replace(".tar", f"_{part}.tar")
-            os.replace(temp, f"{folder}/{name}")
-            with open(f"{folder}/{name.removesuffix('.tar')}_stats.json", "w") as f:
-                json.dump({"successes": count}, f)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["name", "successes"])
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([part], pa.int64()), pa.array([temp]), pa.array([count], pa.int64())], ["shard", "part", "temp", "count"])
 
         for batch in batches:
             for to, key, fields in zip(batch.column("out_shard").to_pylist(), batch.column("out_key").to_pylist(), batch.column("fields").to_pylist(), strict=True):
@@ -72,8 +86,9 @@ def write_tars(rows: DataFrame, folder: str, pattern: str = "{:08d}.tar", max_by
                     tar = None
                 if tar is None:
                     shard, count, size = to, 0, 0
-                    temp = f"{folder}/.{uuid.uuid4().hex}"
-                    tar = tarfile.open(temp, "w")
+                    temp = f"_{uuid.uuid4().hex}"
+                    out = files.open_output(files.join(folder, temp))
+                    tar = tarfile.open(fileobj=out, mode="w|")
                 for ending, data in fields:
                     info = tarfile.TarInfo(f"{key}.{ending}")
                     info.size = len(data)
@@ -83,18 +98,42 @@ def write_tars(rows: DataFrame, folder: str, pattern: str = "{:08d}.tar", max_by
         if tar is not None:
             yield close()
 
-    dealt = rows.select("out_shard", "out_key", "fields").repartition("out_shard").sortWithinPartitions("out_shard", "out_key")
-    return dealt.mapInArrow(run, "name string, successes long")
+    spark = rows.sparkSession
+    dealt = rows.where("out_shard IS NOT NULL").select("out_shard", "out_key", "fields").repartition("out_shard").sortWithinPartitions("out_shard", "out_key")
+    done = sorted(dealt.mapInArrow(run, "shard long, part long, temp string, count long").collect())  # one row for each file
+    named = [(pattern.format(k), temp, count) for k, (_, _, temp, count) in enumerate(done)]
+
+    def publish(batches):
+        for batch in batches:
+            for name, temp, count in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if files.size(files.join(folder, temp)) is not None:  # else it was, by a task before
+                    files.move(files.join(folder, temp), files.join(folder, name))
+                with files.open_output(files.join(folder, stats.format(name.removesuffix(".tar")))) as f:
+                    f.write(json.dumps({"successes": count}).encode())
+            yield batch.select(["name", "successes"])
+
+    todo = spark.createDataFrame(named, "name string, temp string, successes long").repartition(max(1, min(len(named), 256)))
+    return spark.createDataFrame(todo.mapInArrow(publish, "name string, successes long").collect(), "name string, successes long")
 
 
 def write_json(path: str, record: dict) -> None:
     """A manifest, shard table or training record."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(record, f, indent=2, default=str, sort_keys=True)
+    with files.open_output(path) as f:
+        f.write(json.dumps(record, indent=2, default=str, sort_keys=True).encode())
+
+
+def write_shard_table(sizes: DataFrame, path: str) -> bool:
+    """``name, size`` of every shard as one JSON object, unless there is such a file; returns whether it was written."""
+    if files.size(path) is not None:
+        return False
+    write_json(path, {r["name"]: r["size"] for r in sizes.select("name", "size").collect()})  # one row for each shard
+    return True
 
 
 def append_results(results: DataFrame, folder: str) -> None:
-    results.write.mode("append").json(folder)
+    """Lines behind those that are there; each tells when its run wrote it, and its place in the run."""
+    at = F.lit(time.time_ns())
+    results.withColumn("written_at", at).withColumn("written_place", F.monotonically_increasing_id()).write.mode("append").json(folder)
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import json
+import re
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from poolsieve.functions.uid import padded_uid_bin, uid_hex
 from poolsieve.schemas import RESULTS, TASKS
+from poolsieve.sources import files
 
 
 def read_pool(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -26,25 +29,42 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", root.alias("file_root"), F.col("_metadata.row_index").alias("row_index"))
 
 
+def _header(f) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, order and type of a ``.npy`` stream."""
+    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(f)
+
+
 def read_embeddings(spark: SparkSession, folder: str, key: str = "l14_img", pattern: str = "*.npz") -> DataFrame:
     """``file_root, row_index, vector`` of one matrix in each ``.npz`` file.
 
-    A file is one task's; rows come in batches.
+    A file is one task's, which streams its rows in blocks; files whose matrix has no rows give none.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    paths = paths.repartition(max(1, paths.count()))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as archive:
-                    matrix = np.ascontiguousarray(archive[key], dtype=np.float32)
+            for path in batch.column(0).to_pylist():
                 root = path.rsplit("/", 1)[-1].removesuffix(".npz")
-                for lo in range(0, len(matrix), 4096):
-                    part = matrix[lo : lo + 4096]
-                    vectors = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([root] * len(part)), pa.array(np.arange(lo, lo + len(part))), vectors], ["file_root", "row_index", "vector"])
+                with files.open_input(path) as stream, zipfile.ZipFile(stream) as archive, archive.open(f"{key}.npy") as member:
+                    shape, by_column, kind = _header(member)
+                    if by_column or kind.hasobject or len(shape) != 2:
+                        raise ValueError(f"{path}: {key} is no matrix in row order")
+                    each = max(1, (4 << 20) // max(1, shape[1] * kind.itemsize))
+                    for lo in range(0, shape[0], each):
+                        n = min(each, shape[0] - lo)
+                        part = np.frombuffer(member.read(n * shape[1] * kind.itemsize), dtype=kind).reshape(n, shape[1]).astype(np.float32)
+                        vectors = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array([root] * n), pa.array(np.arange(lo, lo + n)), vectors], ["file_root", "row_index", "vector"])
+
+    return paths.mapInArrow(run, "file_root string, row_index long, vector array<float>")
 
-    return files.mapInArrow(run, "file_root string, row_index long, vector array<float>")
+
+def gather_embeddings(pool: DataFrame, embeddings: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Rows of ``pool`` (``file_root, row_index`` and more) that ``keep`` holds for, with their vectors, in order of file and row."""
+    rows = pool if keep is None else pool.where(keep)
+    return attach_embeddings(rows, embeddings).orderBy("file_root", "row_index")
 
 
 def attach_embeddings(pool: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -52,28 +72,49 @@ def attach_embeddings(pool: DataFrame, embeddings: DataFrame) -> DataFrame:
     return pool.join(embeddings, ["file_root", "row_index"])
 
 
-def read_subset(spark: SparkSession, path: str) -> DataFrame:
-    """``uid_bin`` of every entry of a ``.npy`` or raw file of 16-byte ids (two little-endian halves)."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+#: Ids of a subset that one task reads.
+SPLIT = 4 << 20
+
+
+def _subset_data(path: str) -> tuple[int, int]:
+    """Where the ids of a ``.npy`` or raw file begin and end."""
+    end = files.size(path)
+    with files.open_input(path) as f:
+        if f.read(6) != b"\x93NUMPY":
+            begin = 0
+        else:
+            f.seek(0)
+            _, _, kind = _header(f)
+            if kind != np.dtype("u8,u8"):
+                raise ValueError(f"the subset holds {kind}, not pairs of unsigned 64-bit numbers")
+            begin = f.tell()
+    if (end - begin) % 16:
+        raise ValueError("a raw subset is a whole number of 16-byte ids")
+    return begin, end
+
+
+def read_subset(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """``uid_bin`` of every entry of a ``.npy`` or raw file of 16-byte ids (two little-endian halves).
+
+    Only the header is read here; tasks read ``split`` ids each.
+    """
+    begin, end = _subset_data(path)
+    places = spark.range(-(-(end - begin) // (16 * split)) or 1).repartition(max(1, min(-(-(end - begin) // (16 * split)), 10_000)))
 
     def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                if data[:6] == b"\x93NUMPY":
-                    ids = np.load(io.BytesIO(data), allow_pickle=False)
-                    if ids.dtype != np.dtype("u8,u8"):
-                        raise ValueError(f"the subset holds {ids.dtype}, not pairs of unsigned 64-bit numbers")
-                    data = ids.tobytes()
-                if len(data) % 16:
-                    raise ValueError("a raw subset is a whole number of 16-byte ids")
-                swapped = np.frombuffer(data, dtype="<u8").astype(">u8").tobytes()
-                for lo in range(0, len(swapped), 16 * 65536):
-                    part = swapped[lo : lo + 16 * 65536]
-                    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(part) // 16, [None, pa.py_buffer(part)])
-                    yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary())], ["uid_bin"])
-
-    return files.mapInArrow(run, "uid_bin binary")
+        with files.open_input(path) as f:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    at, stop = begin + 16 * split * k, min(begin + 16 * split * (k + 1), end)
+                    f.seek(at)
+                    while at < stop:
+                        data = f.read(min(16 * 65536, stop - at))
+                        at += len(data)
+                        swapped = np.frombuffer(data, dtype="<u8").astype(">u8").tobytes()
+                        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(swapped)])
+                        yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary())], ["uid_bin"])
+
+    return places.mapInArrow(run, "uid_bin binary")
 
 
 def _shard_id(path):
@@ -87,9 +128,9 @@ def read_shard_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_tars(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard_id, name, bytes`` of the tar files; contents are not read."""
+    """``shard_id, name, bytes, path`` of the tar files; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("path", "length")
-    return files.select(_shard_id(F.col("path")).alias("shard_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    return files.select(_shard_id(F.col("path")).alias("shard_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "path")
 
 
 def shard_count(tars: DataFrame) -> int:
@@ -107,17 +148,36 @@ def read_shard_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", F.regexp_extract("name", r"(\d+)(\.tar)?$", 1).cast("long").alias("shard_id"), "size")
 
 
-def read_blur_map(spark: SparkSession, path: str) -> DataFrame:
-    """``entry, parquet, shards`` of a JSON object of entries."""
+def read_blur_map(spark: SparkSession, path: str, input_dir: str | None = None) -> DataFrame:
+    """``entry, parquet, shards`` of a JSON object of entries; with ``input_dir``, of those entries only that name it."""
     text = spark.read.option("wholetext", True).text(path)
     entries = text.select(F.explode(F.from_json("value", "map<string,struct<parquet: string, shards: array<string>>>")).alias("entry", "v"))
+    if input_dir is not None:
+        named = input_dir.rstrip("/")
+        folder = lambda s: F.regexp_replace(s, "/[^/]*$", "")
+        entries = entries.where(F.exists("v.shards", lambda s: ~s.contains("/") | F.lit(named).endswith(folder(s)) | folder(s).endswith(named)))
     return entries.select("entry", "v.parquet", F.transform("v.shards", lambda s: F.regexp_extract(s, r"(\d+)(\.tar)?$", 1).cast("long")).alias("shards"))
 
 
+def read_boxes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``parquet, uid, face_bboxes`` of box tables; ids that lost leading zeros get them back."""
+    rows = spark.read.parquet(*paths)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return rows.select(name.alias("parquet"), uid_hex(padded_uid_bin(F.col("uid"))).alias("uid"), "face_bboxes")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result lines with their numbers, whatever metrics they name."""
-    rows = spark.read.schema(RESULTS).json(path)
-    return rows.withColumn("line_no", F.monotonically_increasing_id()).withColumn("main_metric", F.element_at("metrics", F.lit("main_metric")))
+    """Result lines with their numbers, whatever metrics they name.
+
+    Lines are numbered in the order of writing: by the time that their run wrote
+    them, else that of their file, then by their place.
+    """
+    rows = spark.read.schema(f"{RESULTS}, written_at long, written_place long").json(path)
+    file = F.unix_micros("_metadata.file_modification_time") * 1000
+    rows = rows.select("*", F.coalesce("written_at", file).alias("__at"), F.col("_metadata.file_path").alias("__file"), F.coalesce("written_place", F.monotonically_increasing_id()).alias("__place"))
+    line = F.row_number().over(Window.orderBy("__at", F.when(F.col("written_at").isNull(), F.col("__file")), "__place")) - 1  # a few lines for each task
+    rows = rows.withColumn("line_no", line.cast("long")).drop("written_at", "written_place", "__at", "__file", "__place")
+    return rows.withColumn("main_metric", F.element_at("metrics", F.lit("main_metric")))
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -163,6 +223,45 @@ def manifest_spec(manifest: str) -> str:
     return f"{{{first}..{last}}}.tar"
 
 
+def shard_spec(source: str) -> str:
+    """The training spec of a source: of every part between ``::``.
+
+    A ``.tar`` part is taken as it is; a folder with a manifest gives the range
+    that it tells; of any other folder the tars are grouped by name.
+    """
+    specs = []
+    for part in source.split("::"):
+        if part.endswith(".tar"):
+            specs.append(part)
+        elif files.size(files.join(part, "meta.json")) is not None:
+            with files.open_input(files.join(part, "meta.json")) as f:
+                specs.append(files.join(part, manifest_spec(f.read().decode())))
+        else:
+            last: dict[str, tuple[int, int]] = {}
+            for name in files.names(part, ".tar"):
+                prefix, digits = re.fullmatch(r"(.*?)(\d*)\.tar", name).groups()
+                if digits:
+                    n, width = last.get(prefix, (-1, len(digits)))
+                    last[prefix] = (max(n, int(digits)), min(width, len(digits)))
+            if not last:
+                raise ValueError(f"{part} has no shards")
+            specs += [files.join(part, f"{p}{{{0:0{w}d}..{n:0{w}d}}}.tar") for p, (n, w) in sorted(last.items())]
+    return "::".join(specs)
+
+
+def sample_per_file(rows: DataFrame, ratio: float, file: str = "file_root", place: str = "row_index", seed: int = 0) -> DataFrame:
+    """``int(n * ratio)`` rows of each file, drawn with replacement; all rows for a ratio of 0.
+
+    A draw is a random place of the file, so files of different sizes need no gathering.
+    """
+    if not ratio:
+        return rows
+    n = rows.groupBy(file).agg((F.max(place) + 1).alias("n"))
+    draws = n.where(f"int(n * {ratio}) > 0").select(file, "n", F.explode(F.expr(f"sequence(1, int(n * {ratio}))")).alias("__draw"))
+    at = F.pmod(F.xxhash64(file, "__draw", F.lit(seed)), F.col("n"))
+    return draws.select(file, at.alias(place)).join(rows, [file, place])
+
+
 def weighted_union(parts: list[tuple[DataFrame, float]], seed: int = 0) -> DataFrame:
     """Rows of several sources, each sampled with replacement at its weight."""
     drawn = [df if w == 1 else df.sample(withReplacement=True, fraction=w, seed=seed) for df, w in parts]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
 import tarfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from poolsieve.sources.files import open_input
 
-def group_members(members: Iterable[tuple[str, bytes]]) -> Iterator[tuple[str, dict[str, bytes]]]:
+
+def group_members(members: Iterable[tuple[str, bytes | None]]) -> Iterator[tuple[str, dict[str, bytes | None]]]:
     """Samples of consecutive files.  A new one begins with another prefix, or with an ending that it has already.
 
     The ending is all from the first dot of the file's name on, in lower case;
@@ -34,41 +35,90 @@ def group_members(members: Iterable[tuple[str, bytes]]) -> Iterator[tuple[str, d
         yield key, fields
 
 
-def tar_members(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """Regular files of a tar; a damaged end stops the reading without an error."""
+def tar_members(stream, wanted: Callable[[str], bool] = lambda _: True) -> Iterator[tuple[str, bytes | None]]:
+    """Regular files of a tar in their order; of those that are not wanted, the content is passed over and None.
+
+    Raises ``tarfile.TarError`` where the tar is damaged.
+    """
+    with tarfile.open(fileobj=stream) as tar:
+        for member in tar:
+            if member.isfile():
+                if not wanted(member.name):
+                    yield member.name, None
+                    continue
+                data = tar.extractfile(member).read()
+                if len(data) != member.size:
+                    raise tarfile.ReadError("a member is cut short")
+                yield member.name, data
+        if tar.fileobj is stream:  # not compressed: zeros mark the end
+            stream.seek(max(0, stream.seek(0, 2) - 512))
+            if any(stream.read(512)):
+                raise tarfile.ReadError("there is no end mark")
+
+
+def _uid(fields: dict[str, bytes]) -> str | None:
     try:
-        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-            for member in tar:
-                if member.isfile():
-                    yield member.name, tar.extractfile(member).read()
-    except tarfile.TarError:
-        return
+        uid = json.loads(fields["json"]).get("uid")
+    except (KeyError, ValueError, TypeError, AttributeError):
+        return None
+    return uid if isinstance(uid, str) else None
 
 
-def read_samples(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
-    """``shard_name, key, uid, fields``; uid is that of the sample's JSON file, null if there is none to be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+def tar_paths(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
+    """``path`` of every tar, dealt to as many tasks as there are; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    return files.repartition(max(1, min(files.count(), 100_000)))
+
+
+def _read(wanted: Callable[[str], bool], with_fields: bool):
+    """Samples of each tar, and one row without a key for a tar that is damaged."""
+    names = ["shard_name", "place", "key", "uid", "fields", "damaged"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
-        kind = pa.map_(pa.string(), pa.binary())
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for key, fields in group_members(tar_members(content.as_py())):
-                    try:
-                        uid = json.loads(fields["json"]).get("uid")
-                    except (KeyError, ValueError, AttributeError):
-                        uid = None
-                    rows.append((path.rsplit("/", 1)[-1], key, uid, list(fields.items())))
-                    if len(rows) == 256:
-                        yield _batch(rows, kind)
-                        rows = []
+        for paths in batches:
+            for path in paths.column(0).to_pylist():
+                name, rows, size = path.rsplit("/", 1)[-1], [], 0
+                try:
+                    with open_input(path) as stream:
+                        for place, (key, fields) in enumerate(group_members(tar_members(stream, wanted))):
+                            rows.append((name, place, key, _uid(fields), list(fields.items()) if with_fields else None, None))
+                            size += sum(len(x or b"") for x in fields.values())
+                            if len(rows) == 256 or size > 1 << 26:
+                                yield batch(rows)
+                                rows, size = [], 0
+                except (tarfile.TarError, EOFError, OSError) as e:
+                    rows.append((name, -1, None, None, None, str(e) or "damaged"))
                 if rows:
-                    yield _batch(rows, kind)
+                    yield batch(rows)
+
+    return run
 
-    return files.mapInArrow(run, "shard_name string, key string, uid string, fields map<string,binary>")
+
+_SAMPLE = "shard_name string, place long, key string, uid string, fields map<string,binary>, damaged string"
+
+
+def read_index(paths: DataFrame) -> DataFrame:
+    """``shard_name, place, key, uid, damaged`` of the samples of ``tar_paths``; only headers and JSON members are read.
+
+    A damaged tar gives the samples before the damage, and a row without a key
+    that says what is wrong.
+    """
+    return paths.mapInArrow(_read(lambda name: name.lower().endswith(".json"), False), _SAMPLE).drop("fields")
+
+
+def read_samples(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
+    """``shard_name, key, uid, fields``; uid is that of the sample's JSON file, null if there is none to be read.
+
+    ``damaged_tars`` tells which tars end early.
+    """
+    rows = tar_paths(spark, folder, pattern).mapInArrow(_read(lambda _: True, True), _SAMPLE)
+    return rows.where("damaged IS NULL").select("shard_name", "key", "uid", "fields")
 
 
-def _batch(rows, kind):
-    names, keys, uids, fields = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys), pa.array(uids, pa.string()), pa.array(fields, kind)], ["shard_name", "key", "uid", "fields"])
+def damaged_tars(index: DataFrame) -> DataFrame:
+    """``shard_name, damaged``: what is wrong with tars that cannot be read to their end."""
+    return index.where("damaged IS NOT NULL").select("shard_name", "damaged")

@@ -100,7 +100,10 @@ def test_scalars(spark):
     assert get(entity_offset(F.lit(" n00012345\n"))) == 12345
     assert get(duration(F.lit(3725))) == "1h 2m 5s"
     assert get(or_default(F.lit(""), F.lit("d"))) == "d" and get(or_default(F.lit("v"), F.lit("d"))) == "v"
-    assert get(json_with(F.lit('{"uid": "u", "n": 1}'), boxes=F.lit("[]"), uid=F.lit("w"))) == '{"n":"1","boxes":"[]","uid":"w"}'
+    assert get(json_with(F.lit('{"uid": "u", "n": 1}'), boxes=F.lit("[]"), uid=F.lit("w"))) == '{"n":1,"boxes":"[]","uid":"w"}'
+    document = F.lit('{"a": 1.5, "b": true, "c": {"d": [1, null]}, "e": null, "faces": 0}')
+    assert get(json_with(document, faces=F.array(F.array(F.lit(1.0), F.lit(2.5))))) == '{"a":1.5,"b":true,"c":{"d":[1,null]},"e":null,"faces":[[1,2.5]]}'
+    assert get(json_with(F.lit("{}"), faces=F.lit(3))) == '{"faces":3}'
     scores = F.array(*[F.lit(x) for x in (0.1, 0.9, 0.9, 0.3)])
     assert get(argmax(scores)) == 1 and get(top_k(scores, 3)) == [1, 2, 3]
     assert get(mask_from(scores, F.lit(2))) == [0.1, 0.9, -1e9, -1e9]
@@ -166,4 +169,8 @@ def test_text_entity(spark):
 
     p = FilterParams(lexicon=lexicon)
     assert kept(select_uids("text_based", pool(spark, rows), p)) == ["a", "c"]
-    assert kept(entity_rows(pool(spark, rows), p, broadcast_words=0)) == ["a", "c"]
+    assert kept(entity_rows(pool(spark, rows), p, held_words=0).select("uid")) == ["a", "c"]
+    twice = pool(spark, [row("a", "a Dog runs"), row("a", "the dog"), row("b", "x it's \\ y")])
+    more = FilterParams(lexicon=lexicon.unionByName(spark.createDataFrame([("it's",), ("\\",), (None,)], "word string")))
+    assert kept(select_uids("text_based", twice, more)) == ["a", "a", "b"]
+    assert kept(entity_rows(twice, more, held_words=0).select("uid")) == ["a", "a", "b"]

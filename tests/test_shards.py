@@ -1,10 +1,11 @@
+import bisect
 import io
 import json
 import tarfile
 
 import numpy as np
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -87,6 +88,8 @@ def test_reshard_tars(spark, tmp_path):
 
 
 @QUICK
+@example(sizes=[1, 0], workers=1)
+@example(sizes=[0, 0, 0], workers=4)
 @given(sizes=st.lists(st.integers(0, 50), min_size=1, max_size=30), workers=st.integers(1, 9))
 def test_worker_plan(spark, sizes, workers):
     shards = spark.createDataFrame(list(enumerate(sizes)), "shard_id long, size long")
@@ -96,7 +99,13 @@ def test_worker_plan(spark, sizes, workers):
     for p in plan:
         assert p.first_shard == at and p.rows == sum(sizes[at : at + p.shards])
         at += p.shards
-    assert len(plan) <= workers or sum(sizes) == 0
+    assert len(plan) <= workers
+    # the rule told by its cuts
+    each = max(1, -(-sum(sizes) // min(workers, len(sizes))))
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    cuts = [*[bisect.bisect_left(starts, c) for c in range(0, sum(sizes), each)], len(sizes)]
+    if sum(sizes):
+        assert [(p.first_shard, p.shards) for p in plan] == [(a, z - a) for a, z in zip(cuts, cuts[1:]) if z > a]
     offsets = {r.shard_id: r.data_start for r in reshard.shard_offsets(shards).collect()}
     assert offsets == {i: sum(sizes[:i]) for i in range(len(sizes))}
 
@@ -232,3 +241,97 @@ def test_model_detector(spark):
     detect = model_detector(lambda: lambda texts: ["__label__en" if "the" in t and "\n" not in t else "__label__xx" for t in texts])
     df = spark.createDataFrame([("a\nthe",), ("b",), (None,)], "text string").select("text", detect(F.col("text")).alias("l"))
     assert {r.text: r.l for r in df.collect()} == {"a\nthe": "en", "b": "xx", None: None}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_million_rows_fill_their_shards(spark, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(1_000_000).select(F.md5(F.col("id").cast("string")).alias("uid"), F.repeat(F.lit("x"), 20).alias("payload"))
+        placed = reshard.with_output_shard(rows, ["uid"], 10_000)
+        per = placed.groupBy("out_shard").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi")).orderBy("out_shard").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.out_shard, r.n) for r in per] == [(k, 10_000) for k in range(100)]
+    assert all(a.hi < b.lo for a, b in zip(per, per[1:]))
+
+
+def test_large_shards_go_on_without_gaps(spark, tmp_path):
+    rows = [(shard, f"{shard}-{k}", {"bin": bytes(600)}) for shard in range(3) for k in range(4)]
+    done = write_tars(spark.createDataFrame(rows, "out_shard long, out_key string, fields map<string,binary>"), str(tmp_path / "o"), "{:04d}.tar", max_bytes=1500)
+    assert sorted((r.name, r.successes) for r in done.collect()) == [(f"{k:04d}.tar", (3, 1)[k % 2]) for k in range(6)]
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == sorted([f"{k:04d}.tar" for k in range(6)] + [f"{k:04d}_stats.json" for k in range(6)])
+    assert [r.key for r in read_samples(spark, str(tmp_path / "o"), "0002.tar").collect()] == ["1-0", "1-1", "1-2"]
+
+
+def test_subsets_are_read_in_splits(spark, tmp_path):
+    ids = np.arange(1000, dtype="<u8").repeat(2).view(np.dtype("u8,u8"))
+    np.save(tmp_path / "s.npy", ids)
+    got = md.read_subset(spark, f"file:{tmp_path}/s.npy", split=37).select(uid_hex(F.col("uid_bin")).alias("u"))
+    assert sorted(r.u for r in got.collect()) == [f"{k:016x}{k:016x}" for k in range(1000)]
+    np.save(tmp_path / "none.npy", ids[:0])
+    assert md.read_subset(spark, str(tmp_path / "none.npy")).collect() == []
+
+
+def test_damage_is_told_and_workers_planned(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    uids = [f"{i:032x}" for i in range(12)]
+    for shard in range(2):
+        write_tar(tmp_path / "in" / f"{shard:08d}.tar", [(f"k{u[-4:]}", {"json": json.dumps({"uid": u}).encode(), "jpg": u.encode() * 40}) for u in uids[shard * 6 : shard * 6 + 6]])
+        (tmp_path / "in" / f"{shard:08d}_stats.json").write_text('{"successes": 6}')
+    with open(tmp_path / "in" / "00000001.tar", "r+b") as f:
+        f.truncate(7 * 1024)
+    write_npy(spark.createDataFrame([(u,) for u in uids], "uid string"), str(tmp_path / "s.npy"))
+    (tmp_path / "map.json").write_text(json.dumps({"x": {"parquet": "b.parquet", "shards": ["in/00000000.tar"]}, "y": {"parquet": "c.parquet", "shards": ["elsewhere/00000001.tar"]}}))
+    spark.createDataFrame([(uids[2].lstrip("0"), [[1.0, 2.0]]), (uids[3], [])], "uid string, face_bboxes array<array<double>>").toPandas().to_parquet(tmp_path / "b.parquet")
+    blur = lambda ending, data, boxes, quality: ("webp", b"blurred %d" % quality)
+    options = reshard.ReshardOptions(shard_size=4, num_workers=2, apply_blur=True, inject_blur=True, blur_map=True, webp_quality=55, write_shard_table=True, shard_table=str(tmp_path / "sizes.json"))
+    done = run(spark, str(tmp_path / "in"), str(tmp_path / "s.npy"), str(tmp_path / "out"), options, blur_map_path=str(tmp_path / "map.json"), codec=blur)
+    assert done["damaged_shards"] == 1 and done["shards_without_boxes"] == 1 and done["blurred"] == 1 and done["failed_rows"] == 0
+    assert 6 < done["output_count"] < 12 and done["unprocessed"] == 12 - done["samples"]
+    assert [w["worker_id"] for w in done["workers"]] == [0, 1]
+    rows = {r.uid: r.fields for r in read_samples(spark, str(tmp_path / "out")).collect()}
+    assert bytes(rows[uids[2]]["webp"]) == b"blurred 55" and "jpg" not in rows[uids[2]] and json.loads(bytes(rows[uids[2]]["json"]))["face_bboxes"] == [[1.0, 2.0]]
+    assert "jpg" in rows[uids[3]]
+    assert json.loads((tmp_path / "sizes.json").read_text()) == {"00000000.tar": 6, "00000001.tar": 6}
+    assert md.shard_spec(f"{tmp_path}/out::x/y.tar::{tmp_path}/in") == f"{tmp_path}/out/{{00000000..0000000{done['output_shard_count'] - 1}}}.tar::x/y.tar::{tmp_path}/in/{{00000000..00000001}}.tar"
+
+
+def test_order_of_results(spark, tmp_path):
+    line = lambda v: spark.createDataFrame([("k", "D", {"acc1": v})], "key string, dataset string, metrics map<string,double>")
+    for v in (0.1, 0.9, 0.4):
+        append_results(line(v), str(tmp_path / "r"))
+    rows = md.read_results(spark, str(tmp_path / "r"))
+    assert [r.metrics["acc1"] for r in rows.orderBy("line_no").collect()] == [0.1, 0.9, 0.4]
+    assert rollup.last_wins(rows).first().metrics["acc1"] == 0.4
+    with pytest.raises(ValueError):
+        rollup.resumed(rows, {"lr": 1}, {"lr": 2})
+    with pytest.raises(ValueError):
+        rollup.check_submission({"method_name": "m", "author": ""})
+
+
+def test_samples_of_files(spark):
+    rows = spark.createDataFrame([(f, k) for f, n in (("a", 10), ("b", 3), ("c", 1)) for k in range(n)], "file_root string, row_index long")
+    got = {r.file_root: r["count"] for r in md.sample_per_file(rows, 0.5).groupBy("file_root").count().collect()}
+    assert got == {"a": 5, "b": 1}
+    assert md.sample_per_file(rows, 0).count() == 14
+
+
+def test_small_reports(spark):
+    lines = spark.createDataFrame([(0, "race:white", True), (1, "race:black", True), (2, "age:young", True), (3, "race:a photo of a {} person", False), (4, "age:x: {}", False)], "place long, line string, class boolean")
+    assert {r.objective: (r.classes, r.templates) for r in metrics.objectives(lines).collect()} == {"race": (["white", "black"], ["a photo of a {} person"]), "age": (["young"], ["x: {}"])}
+    one = lambda x: spark.createDataFrame([(x,)], "recall_1 double")
+    assert metrics.mean_recall(one(0.5), one(0.25)).first()[0] == 0.375
+    from poolsieve.operators.filters import lexicon_of
+
+    entities = spark.createDataFrame([("n0012",), (" n7 ",)], "line string")
+    assert sorted(r.word for r in lexicon_of(entities, spark.createDataFrame([("dog", 12), ("cat", 8), ("owl", 7)], "word string, offset long")).collect()) == ["dog", "owl"]
+    from poolsieve.operators.threshold import top_fraction_threshold
+
+    for rows in ([i % 977 for i in range(3000)], [i % 2 for i in range(3000)], [5] * 3000):
+        df = spark.createDataFrame([(float(x),) for x in rows], "s double")
+        for fraction in (0.0, 0.1, 0.5, 0.99):
+            assert top_fraction_threshold(df, "s", fraction, direct=20) == sorted(map(float, rows), reverse=True)[int(3000 * fraction)]
