@@ -13,9 +13,10 @@ Two ways to join, with equal results:
 
 * benchmark texts up to ``max_broadcast_bytes`` (checked by a count first) are
   compiled once and broadcast; documents are then read once, without a shuffle;
-* beyond that, kept fingerprints are joined by a shuffle, and the windows near
-  the hits by another.  Rows are tied by a digest of the text, so null or
-  repeated document ids need no care.
+* beyond that, kept fingerprints are joined (broadcast up to MAX_PRINTS of
+  them), and the windows near the hits by a shuffle; only texts with hits move.
+  Rows are numbered as they are written once, so null or repeated document ids
+  need no care, and windows that many documents have are dealt to many tasks.
 
 Null or empty texts have no words.  A null item id is written as an empty
 string.  Repeated items count once per distinct id.  Texts are read whole,
@@ -27,6 +28,7 @@ column that is called as a result is gives way to it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolsieve.llm.components import cut
+from poolsieve.llm.groups import join_salted
 from poolsieve.llm.kernels import ALNUM, LOWER, Words, word_slices
 
 WINDOW = 13
@@ -168,11 +172,22 @@ def _result_arrays(rows: list[tuple[int, int, set[str]]]) -> list[pa.Array]:
 _NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+_compiled: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[str, str | None]]) -> Matcher:
+    """The matcher called ``name``, compiled once in each worker; it takes the place of another one."""
+    if name not in _compiled:
+        _compiled.clear()
+        _compiled[name] = Matcher(items)
+    return _compiled[name]
+
+
 def _by_broadcast(docs: DataFrame, items: list[tuple[str, str | None]], keep: list[str], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        matcher = Matcher(shared.value)
+        matcher = _matcher(name, shared.value)
         for batch in batches:
             rows = []
             for _, _, words in word_slices(batch.column(text), ALNUM, LOWER):
@@ -190,8 +205,8 @@ def _prints(batches):
             at = _winnow(words)
             rows = words.rows()[at]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest").take(pa.array(lo + rows)), pa.array(words.grams(at, K).view(np.int64)), pa.array(np.full(len(at), WINDOW, dtype=np.int32)), pa.array((at - words.bounds[rows]).astype(np.int32))],
-                ["digest", "print", "length", "at"],
+                [batch.column("row").take(pa.array(lo + rows)), pa.array(words.grams(at, K).view(np.int64)), pa.array(np.full(len(at), WINDOW, dtype=np.int32)), pa.array((at - words.bounds[rows]).astype(np.int32))],
+                ["row", "print", "length", "at"],
             )
 
 
@@ -203,8 +218,8 @@ def _short_prints(lengths: list[int]):
                     at = np.flatnonzero(words.row_ends() - np.arange(len(words)) >= n)
                     rows = words.rows()[at]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("digest").take(pa.array(lo + rows)), pa.array(words.grams(at, n).view(np.int64)), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array((at - words.bounds[rows]).astype(np.int32))],
-                        ["digest", "print", "length", "at"],
+                        [batch.column("row").take(pa.array(lo + rows)), pa.array(words.grams(at, n).view(np.int64)), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array((at - words.bounds[rows]).astype(np.int32))],
+                        ["row", "print", "length", "at"],
                     )
 
     return run
@@ -241,21 +256,25 @@ def _windows_at(batches):
             rows = (np.searchsorted(words.bounds, [s for s, _ in out], side="right") - 1).tolist() if out else []
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("digest").take(pa.array([lo + r for r in rows], pa.int64())),
+                    batch.column("row").take(pa.array([lo + r for r in rows], pa.int64())),
                     pa.array([n for _, n in out], pa.int32()),
                     pa.array([words.text(s, n).decode() for s, n in out], pa.string()),
                     pa.array([s - int(words.bounds[r]) for (s, _), r in zip(out, rows, strict=True)], pa.int32()),
                 ],
-                ["digest", "length", "window", "at"],
+                ["row", "length", "window", "at"],
             )
 
 
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_word_counts(batch.column("text")), pa.int64())], ["row", "n_words"])
+
+
 def _totals(batches):
     for batch in batches:
-        spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-        counts = _word_counts(batch.column("text"))
+        counts, spans, items = (batch.column(c).to_pylist() for c in ("n_words", "spans", "items"))
         rows = [(n, _covered(n, [(x["at"], x["length"]) for x in s or []]), set(i or [])) for n, s, i in zip(counts, spans, items, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), *_result_arrays(rows)], ["digest", *_NAMES])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *_result_arrays(rows)], ["row", *_NAMES])
 
 
 def _word_counts(texts: pa.Array) -> list[int]:
@@ -263,23 +282,38 @@ def _word_counts(texts: pa.Array) -> list[int]:
     return [int(n) for _, _, words in word_slices(texts, ALNUM, LOWER) for n in words.counts()]
 
 
+#: Fingerprints that may be broadcast.
+MAX_PRINTS = 2_000_000
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame, keep: list[str], text: str) -> DataFrame:
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    named = docs.select(*keep, digest.alias("__digest"))
-    texts = docs.select(digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["digest"])
-    rows = items.mapInArrow(_item_rows, "item string, length int, window string, prints array<long>")
+    named = cut(docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")))
+    texts = named.select("row", "text")
+    rows = cut(items.mapInArrow(_item_rows, "item string, length int, window string, prints array<long>"))
     wanted = rows.select("length", F.explode("prints").alias("print")).distinct()
+    if wanted.count() <= MAX_PRINTS:
+        wanted = F.broadcast(wanted)
     lengths = sorted(r[0] for r in rows.select("length").distinct().collect())  # at most WINDOW values
-    kind = "digest string, print long, length int, at int"
+    kind = "row long, print long, length int, at int"
     prints = texts.mapInArrow(_prints, kind)
     if short := [n for n in lengths if n < WINDOW]:
         prints = prints.unionByName(texts.mapInArrow(_short_prints(short), kind))
-    hits = prints.join(wanted, ["length", "print"], "left_semi").groupBy("digest").agg(F.collect_set(F.struct("at", "length")).alias("hits"))
-    found = texts.join(hits, "digest").mapInArrow(_windows_at, "digest string, length int, window string, at int")
-    matched = found.join(rows.select("length", "window", "item"), ["length", "window"])
-    per_text = matched.groupBy("digest").agg(F.collect_set(F.struct("at", "length")).alias("spans"), F.collect_set("item").alias("items"))
-    totals = texts.join(per_text, "digest", "left").mapInArrow(_totals, "digest string, " + _RESULT)
-    return named.join(totals, named["__digest"] == totals["digest"]).select(*keep, *_NAMES)
+    # at most a text's own positions
+    hits = prints.join(wanted, ["length", "print"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("at", "length")).alias("hits"))
+    found = cut(texts.join(hits, "row").mapInArrow(_windows_at, "row long, length int, window string, at int"))
+    # a window leads to the list of its items by the list's digest, so windows of many items stay small
+    lists = rows.groupBy("length", "window").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("list", F.sha2(F.to_json("items"), 256))
+    lists = cut(lists)
+    common = found.groupBy("length", "window").agg(F.count("*").alias("n"))
+    windows = lists.select("length", "window", "list").join(common, ["length", "window"])
+    matched = cut(join_salted(found, windows, ["length", "window"], "n", ["row"]).select("row", "at", "length", "list"))
+    spans = matched.groupBy("row").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
+    named_lists = matched.select("row", "list").distinct()
+    known = lists.select("list", "items").dropDuplicates(["list"]).join(named_lists.groupBy("list").agg(F.count("*").alias("n")), "list")
+    own = join_salted(named_lists, known, ["list"], "n", ["row"]).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    told = texts.mapInArrow(_sizes, "row long, n_words long").join(spans, "row", "left").join(own, "row", "left")
+    totals = told.mapInArrow(_totals, "row long, " + _RESULT)
+    return named.select("row", "kept").join(totals, "row").select("kept.*", *_NAMES)
 
 
 def decontaminate(

@@ -17,13 +17,17 @@ the number of vectors, so that a bucket of unlike vectors holds BUCKET on
 average, and the number of tables follows from it for a recall of RECALL at
 the threshold itself; closer pairs are found more surely.  Nothing is fitted.
 
+The code bits of all tables travel with a vector, not the keys themselves: they
+tell whether a pair has met in a table before.
+
 Equal vectors are one node with a weight.  A bucket of more than BLOCK nodes
 is split in blocks, and every two blocks meet in a task of their own, so no
 task holds a whole large bucket and no pair is skipped.  A pair that meets in
 several tables counts in the first of them only.
 
 Null vectors, zero vectors, those with null or non-finite components, and rows
-without an id link with nothing.  Vectors of different lengths do not link.
+without an id link with nothing; an empty table gives an empty result, and only
+the two named columns are read.  Vectors of different lengths do not link.
 Rows that repeat an id are one node of the components; each still counts its
 own links, the other rows with its vector among them.
 """
@@ -38,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.llm.components import components, cut
+from poolsieve.llm.groups import by_group, deal_blocks, forest
 from poolsieve.llm.kernels import mix
 
 THRESHOLD = 0.9
@@ -103,7 +108,7 @@ def _encode(bits: int, tables: int):
                     part = signs[:, t * bits : (t + 1) * bits].astype(np.int64)
                     keys[rows, t] = part @ (1 << np.arange(bits, dtype=np.int64)) + (dim << 40)
                 factor[rows] = np.abs(turned[:, :dim]).sum(axis=1) / math.sqrt(dim)
-                for r, c in zip(rows.tolist(), np.packbits(signs[:, :dim], axis=1), strict=True):
+                for r, c in zip(rows.tolist(), np.packbits(signs, axis=1), strict=True):
                     code[r] = c.tobytes()
                 ok[rows] = True
             lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * tables, tables, dtype=np.int32), pa.array(keys.ravel()))
@@ -115,19 +120,6 @@ def _encode(bits: int, tables: int):
     return run
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` nodes the smallest index it is linked to, over any number of links."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _pairs(x: np.ndarray, code: np.ndarray, factor: np.ndarray, left: np.ndarray, right: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs between the nodes ``left`` and ``right``, or within, if they are the same."""
     dim = x.shape[1]
@@ -153,53 +145,44 @@ def _pairs(x: np.ndarray, code: np.ndarray, factor: np.ndarray, left: np.ndarray
     return (np.concatenate(out_i) if out_i else none), (np.concatenate(out_j) if out_j else none)
 
 
-def _compare(threshold: float):
+def _first_meeting(bits: np.ndarray, a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """Whether the pairs have no equal key in a table before ``t``; ``bits`` is by node, table and bit."""
+    out = np.ones(len(a), dtype=bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        out[at : at + len(x)] = ~(bits[x, :t] == bits[y, :t]).all(axis=2).any(axis=1)
+    return out
+
+
+def _compare(threshold: float, bits: int, tables: int):
     """Links within each ``(t, key, i, j)``, whose rows follow each other."""
 
     def run(batches):
         turn: dict[int, np.ndarray] = {}
-
-        def group(rows: pa.Table) -> pa.RecordBatch | None:
+        for rows in by_group(batches, ["t", "key", "i", "j"]):
             t, i, j = (rows.column(c)[0].as_py() for c in ("t", "i", "j"))
             column = rows.column("vector").combine_chunks()
             dim = len(column[0])
             if dim not in turn:
                 turn[dim] = rotations(dim, 1)[0]
             x = _matrix(column, np.arange(len(rows)), dim)
-            code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1), axis=1)[:, :dim]
+            code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1), axis=1)
             block = rows.column("block").to_numpy()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = _pairs(x, code, rows.column("factor").to_numpy(), left, left if i == j else right, turn[dim], threshold)
+            a, b = _pairs(x, code[:, :dim], rows.column("factor").to_numpy(), left, left if i == j else right, turn[dim], threshold)
             if not len(a):
-                return None
-            keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-            new = (keys[a] == keys[b]).argmax(axis=1) == t
+                continue
+            new = _first_meeting(code[:, : bits * tables].reshape(len(rows), tables, bits), a, b, t)
             weight = rows.column("weight").to_numpy()
             links = np.bincount(a[new], weight[b[new]], len(rows)) + np.bincount(b[new], weight[a[new]], len(rows))
-            root = _forest(len(rows), a, b)
+            root = forest(len(rows), a, b)
             out = np.flatnonzero((links > 0) | (root != np.arange(len(rows))))
-            node = rows.column("vec_id").combine_chunks()
-            out_rows = pa.array(out)
-            return pa.RecordBatch.from_arrays(
+            node, out_rows = rows.column("vec_id").combine_chunks(), pa.array(out)
+            yield pa.RecordBatch.from_arrays(
                 [rows.column("d1").combine_chunks().take(out_rows), rows.column("d2").combine_chunks().take(out_rows), pa.array(links[out].astype(np.int64)), node.take(out_rows), node.take(pa.array(root[out]))],
                 _COLUMNS,
             )
 
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            now = now if rest is None else pa.concat_tables([rest, now])
-            ids = np.stack([np.asarray(now.column(c).to_numpy(), dtype=np.int64) for c in ("t", "key", "i", "j")])
-            edges = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1 and (out := group(now.slice(lo, hi - lo))) is not None:
-                    yield out
-            rest = now.slice(int(edges[-1]))
-        if rest is not None and len(rest) > 1 and (out := group(rest)) is not None:
-            yield out
-
     return run
 
 
@@ -220,11 +203,8 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     large = spread.groupBy("t", "key").agg(F.count("*").alias("c")).where(f"c > {block}").select("t", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
     split = spread.join(large, ["t", "key"]).groupBy("d1", "d2").agg(F.map_from_entries(F.collect_list(F.struct("t", "blocks"))).alias("split"))
     dealt = nodes.join(split, ["d1", "d2"], "left").select("*", F.posexplode("keys").alias("t", "key"))
-    dealt = dealt.withColumn("blocks", F.coalesce(F.expr("split[t]"), F.lit(1))).withColumn("block", F.expr("cast(pmod(xxhash64(d1, d2, t), blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = dealt.select("t", "key", "i", "j", "block", "d1", "d2", "vec_id", "weight", "vector", "keys", "code", "factor")
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = dealt.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(_compare(threshold), f"d1 long, d2 long, links long, a {id_type}, b {id_type}")
+    dealt = dealt.withColumn("blocks", F.coalesce(F.expr("split[t]"), F.lit(1))).select("t", "key", "blocks", "d1", "d2", "vec_id", "weight", "vector", "code", "factor")
+    found = deal_blocks(dealt, ["t", "key"], ["d1", "d2", "t"]).mapInArrow(_compare(threshold, bits, tables), f"d1 long, d2 long, links long, a {id_type}, b {id_type}")
     found = cut(found)
 
     links = found.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
