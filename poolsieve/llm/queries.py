@@ -59,6 +59,21 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: where each page is, and the rule that fits it."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+_URL_RULES_SQL = rf"""
+WITH rest AS (SELECT page_id, CASE WHEN coalesce(position('://' IN url), 0) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS t FROM pages),
+cut AS (SELECT page_id, regexp_extract(t, '^[^/?#]*') AS h, t FROM rest),
+parts AS (SELECT row_number() OVER () AS n, page_id, translate(h, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(t, length(h) + 1), '^[^?#]*') AS path FROM cut),
+rules(rule, h, p) AS (VALUES ('com/en/', 'com', '/en/'), ('example.com/en/7', 'example.com', '/en/7'), ('net/de/', 'net', '/de/'), ('example.net/de/8', 'example.net', '/de/8'), ('org/es/', 'org', '/es/')),
+fits AS (SELECT n, arg_max(rule, length(rule)) AS rule FROM parts JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY n)
+SELECT page_id, host, path, rule FROM parts LEFT JOIN fits USING (n)
+"""
+
+
 #: A conversation that says the control strings themselves.
 _CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -123,6 +138,17 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+_OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.c = l.a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id) JOIN (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id) c USING (vec_id)
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_secrets(table(spark, sf_dir, "documents")), ["doc_id"])
 
@@ -165,6 +191,7 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_toxicity": op10_toxicity,
+        "url_rules": url_rules,
     }
 
 
@@ -173,5 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": _OP1_SQL,
         "op3_chat_format": _OP3_SQL,
         "op5_minhash_dedup": _OP5_SQL,
+        "op7_embedding_dedup": _OP7_SQL,
         "op9_substring_dedup": _OP9_SQL,
+        "url_rules": _URL_RULES_SQL,
     }
