@@ -117,14 +117,14 @@ def entity_rows(pool: DataFrame, p: FilterParams, held_words: int = 20_000) -> D
     A lexicon of at most ``held_words`` words (counted) is part of the condition,
     so nothing is shuffled; a larger one is joined to the words of each row.
     """
-    rows = pool.where(english(p)).withColumn("__words", F.array_distinct(words(F.lower(F.col("text")))))
+    rows = pool.where(english(p)).withColumn("__words", words(F.lower(F.col("text"))))
     lexicon = p.lexicon.select("word").where("word IS NOT NULL").distinct()
     held = [r[0] for r in lexicon.limit(held_words + 1).collect()]
     if len(held) <= held_words:
         told = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(held)) or "NULL"
         return rows.where(F.expr(f"exists(__words, w -> w IN ({told}))")).drop("__words")
     named = rows.withColumn("__row", F.monotonically_increasing_id())
-    return named.select("uid", "__row", F.explode("__words").alias("word")).join(lexicon, "word", "left_semi").select("uid", "__row").distinct().drop("__row")
+    return named.select("uid", "__row", F.explode(F.array_distinct("__words")).alias("word")).join(lexicon, "word", "left_semi").select("uid", "__row").distinct().drop("__row")
 
 
 def image_rows(pool: DataFrame, p: FilterParams) -> DataFrame:
