@@ -77,7 +77,9 @@ COUNTED = 1_000_000
 SPELLED = 1 << 17
 #: Words whose ratios are inputs beside that of the whole text: the best one, two and four.
 BEST = (1, 2, 4)
-FEATURES = 3 + len(BEST)
+#: Nats of a word's ratio beyond which it counts in the mean excess.
+MARGIN = 2.0
+FEATURES = 4 + len(BEST)
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
@@ -198,7 +200,7 @@ class Ratios:
         return np.where(known, self.ratio[at], 0.0), known
 
     def features(self, words: Words) -> np.ndarray:
-        """One row for each document: 1, number of words, and the ratio by symbol of the whole text and of its best words."""
+        """One row for each document: 1, number of words, the ratio by symbol of the whole text and of its best words, and the mean excess."""
         n, ratio, size = words.counts(), self.of(words), (words.ends - words.starts + 1).astype(np.float64)
         x = [np.ones(len(n)), np.log1p(n) / 5, _row_sums(ratio, words) / np.maximum(_row_sums(size, words), 1)]
         row, each = words.rows(), ratio / size
@@ -207,6 +209,7 @@ class Ratios:
         for k in BEST:
             best = rank < k
             x.append(np.bincount(row[best], each[order][best], len(n)) / k)
+        x.append(10 * _row_sums(np.maximum(ratio - MARGIN, 0), words) / np.maximum(n, 1))
         return np.stack(x, axis=1)
 
 
