@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolsieve.operators.filters import FilterParams, basic_condition, check_params, score_condition, select_uids
+from poolsieve.operators.filters import FilterParams, basic_condition, check_params, select_uids
 
 #: Filters without a statistic over the whole pool.
 STATELESS = ("no_filter", "basic_filter", "clip_score", "laion2b")
