@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolsieve.functions.vector import dot
+
 #: Bytes of centroids that one pass may broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Inner products that a worker holds at once.
 SCORES = 4 << 20
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding", max_bytes: int = BROADCAST_BYTES, score: str | None = None) -> DataFrame:
     """``vectors`` with ``centroid_id`` of the largest inner product; of equals the smallest id.
 
+    With ``score``, that column has the inner product.
+
     ``centroids`` has ``centroid_id`` and ``c``.  As many of them as fit in
     ``max_bytes`` are broadcast at a time; with more, each block's best goes on
     to the next pass, so any number works in bounded memory.  A null vector
@@ -24,14 +28,15 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "em
     """
     first = centroids.select(F.size("c")).first()
     if first is None:
-        return vectors.withColumn("centroid_id", F.lit(None).cast("long"))
+        out = vectors.withColumn("centroid_id", F.lit(None).cast("long"))
+        return out if score is None else out.withColumn(score, F.lit(None).cast("double"))
     block = max(1, max_bytes // (8 * max(first[0], 1)))
     ids = sorted(r[0] for r in centroids.select(F.col("centroid_id").cast("long")).collect())
     out = vectors.withColumn("centroid_id", F.lit(None).cast("long")).withColumn("__best", F.lit(None).cast("double"))
     for lo in range(0, len(ids), block):
         part = centroids.where(F.col("centroid_id").between(ids[lo], ids[min(lo + block, len(ids)) - 1])).orderBy("centroid_id").collect()
         out = _pass(out, np.array([r["centroid_id"] for r in part], dtype=np.int64), np.array([r["c"] for r in part], dtype=np.float64), vector)
-    return out.drop("__best")
+    return out.drop("__best") if score is None else out.withColumnRenamed("__best", score)
 
 
 def _pass(df: DataFrame, ids: np.ndarray, matrix: np.ndarray, vector: str) -> DataFrame:
@@ -68,7 +73,9 @@ def target_centroids(assigned: DataFrame) -> DataFrame:
 
 
 def centroid_groups(assigned: DataFrame, uid: str = "uid") -> DataFrame:
-    return assigned.groupBy("centroid_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(uid)).alias("uids"))
+    """``centroid_id, n``, and one row for each id, in order: a group of any size is spread over tasks."""
+    sizes = assigned.groupBy(F.col("centroid_id").alias("__of")).agg(F.count("*").alias("n"))
+    return assigned.join(sizes, F.col("centroid_id").eqNullSafe(F.col("__of"))).select("centroid_id", "n", uid).orderBy("centroid_id", uid)
 
 
 def train_centroids(vectors: DataFrame, k: int, vector: str = "embedding", iterations: int = 20, seed: int = 0, sample_ratio: float = 0.0) -> DataFrame:
@@ -84,7 +91,13 @@ def train_centroids(vectors: DataFrame, k: int, vector: str = "embedding", itera
 
 
 def inertia(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``inertia``, one row: the sum of every vector's squared distance to its nearest of a few centroids."""
-    all_of_them = centroids.agg(F.collect_list("c").alias("cs"))
-    distance = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return vectors.crossJoin(F.broadcast(all_of_them)).agg(F.sum(F.array_min(F.transform("cs", distance))).alias("inertia"))
+    """``inertia``, one row: the sum of every vector's squared distance to its nearest centroid.
+
+    |x - c|^2 = |x|^2 - 2 (x . c - |c|^2 / 2), so the nearest one has the largest
+    inner product once both have one more component.
+    """
+    x, c = F.col(vector).cast("array<double>"), F.col("c")
+    longer = vectors.select(F.concat(x, F.array(F.lit(1.0))).alias("x"), dot(x, x).alias("square"))
+    shifted = centroids.select("centroid_id", F.concat(c, F.array(-dot(c, c) / 2)).alias("c"))
+    near = nearest_centroid(longer, shifted, "x", score="best")
+    return near.agg(F.sum(F.greatest(F.col("square") - 2 * F.col("best"), F.lit(0.0))).alias("inertia"))

@@ -107,9 +107,9 @@ def target_centroids(spark, d):
     return fx.targets(spark, d)
 
 
-@query("SELECT centroid_id, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM assigned GROUP BY centroid_id", "assigned")
+@query("SELECT centroid_id, n, vec_id FROM assigned JOIN (SELECT centroid_id, count(*) AS n FROM assigned GROUP BY centroid_id) USING (centroid_id)", "assigned")
 def centroid_groups(spark, d):
-    return cen.centroid_groups(fx.assigned(spark, d), "vec_id").select("centroid_id", "n", F.array_join(F.col("uids").cast("array<string>"), ",").alias("ids"))
+    return cen.centroid_groups(fx.assigned(spark, d), "vec_id")
 
 
 def _image_params(spark, d, **more):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from poolsieve.functions.text import article_prompt, duration, entity_offset, json_with, objective, or_default, template, token_count, word_count
 from poolsieve.functions.uid import copy_key, high, low, uid_bin, uid_hex
 from poolsieve.functions.vector import argmax, is_in, jaccard, mask_from, top_k
-from poolsieve.operators.centroids import nearest_centroid, train_centroids
+from poolsieve.operators.centroids import centroid_groups, nearest_centroid, train_centroids
 from poolsieve.operators.filters import FILTERS, FilterParams, check_params, select_uids
 from poolsieve.operators.metrics import nearest_candidates
 from poolsieve.operators.threshold import top_fraction_threshold
@@ -140,6 +140,29 @@ def test_retrieval_ranks_all_candidates(spark, tmp_path):
     assert told[0] == told[1] and len(told[0]) == 90 and [r.c for r in told[0] if r.q == 4] == [1, 3, 5]
 
 
+def test_retrieval_ties_and_odd_values(spark):
+    # equal inner products, components that are not finite, and more candidates than are asked for
+    rows = [(0, [1.0, 1e16, 1.0]), (1, [1.0, 0.0, 0.0]), (2, None), (3, [float("inf"), 0.0, 0.0])]
+    found = [(10, [1.0, 1.0, -1.0]), (11, [0.0, 1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, None), (14, [1.0, 0.0, 0.0]), (15, [float("nan"), 0.0, 0.0])]
+    q, c = spark.createDataFrame(rows, "q long, v array<double>"), spark.createDataFrame(found, "c long, v array<double>")
+    for k in (2, 4, 9):
+        want = set()
+        for i, v in rows:
+            scored = []
+            for j, w in found:
+                s = None if v is None or w is None else sum(x * y for x, y in zip(v, w, strict=True))
+                scored.append((s is None or s != s, -(s or 0.0), j))
+            want |= {(i, x[2]) for x in sorted([(bad, 0.0 if bad else s, j) for bad, s, j in scored])[:k]}
+        for block in (2, 1000):
+            got = nearest_candidates(q, c, "q", "c", k=k, block=block).collect()
+            assert {(r.q, r.c) for r in got} == want and len(got) == len(want)
+
+
+def test_centroid_groups(spark):
+    assigned = spark.createDataFrame([(3, 1), (1, 1), (2, None), (2, 0)], "uid long, centroid_id long")
+    assert [tuple(r) for r in centroid_groups(assigned).collect()] == [(None, 1, 2), (0, 1, 2), (1, 2, 1), (1, 2, 3)]
+
+
 def test_kmeans_separates_clusters(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(4)[i % 4] * 9 + rng.standard_normal(4) * 0.1).tolist()) for i in range(80)]
