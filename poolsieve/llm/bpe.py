@@ -22,7 +22,11 @@ split by the pattern; each piece is spelled in byte symbols, the last of which
 carries the word-end mark.  Pieces never hold white space, so texts are first
 split at it and equal chunks are encoded once.
 
-Null texts count as empty; empty texts have no tokens.
+Null texts count as empty; empty texts have no tokens.  Texts are read whole,
+however long.  Rows that repeat, with or without an id, are encoded each and
+alike, and nothing ties: a text has one path.  An empty table gives an empty
+result.  Kept columns may have any name; one that is called as a result is gives
+way to it.
 """
 
 from __future__ import annotations
@@ -288,6 +292,7 @@ def bpe_decode(tokens: DataFrame, spec: str, ids: str = "token_ids", out: str =
 
 def token_digests(docs: DataFrame, spec: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` with the number and digests of each text's tokens and of their decoding."""
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     both = bpe_encode(docs.select(*dict.fromkeys([*keep, text])), spec, text, "__ids", "__decoded")
     return both.select(
         *keep,

@@ -21,7 +21,10 @@ again, which by the rule above recovers them; if it did not, the job would fail.
 Everything is SQL expressions over one row for each conversation.
 
 Turns are in order of ``turn``, ties by role and text; a null turn comes first.
-Null roles and texts are empty.  Rows with a null id are one conversation.
+Null roles and texts are empty.  Rows with a null id are one conversation.  Rows
+that repeat are turns each.  Texts are formatted whole, however long; a
+conversation is one value, so it has to fit one.  An empty table gives an empty
+result.  Only the four named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -21,7 +21,11 @@ it has at most MAX_BROADCAST rows (counted first), else joined by a shuffle.
 
 A null URL, or one without "://", has an empty host and path, and is scored as
 it is (null: as the empty text).  Without examples of both classes every URL
-that no rule judges is allowed.
+that no rule judges is allowed.  URLs are read whole, however long.  Rows that repeat are
+judged each and alike; a score at the threshold is allowed, and of rules of equal
+length the one with the longer host wins.  An empty table gives an empty result.
+Only the kept columns and the URL are read, so others may have any name;
+a kept one that is called as a result is gives way to it.
 """
 
 from __future__ import annotations
@@ -110,7 +114,7 @@ def _threshold(scored: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, keep: list[str] | None = None, url: str = "url") -> DataFrame:
     """``keep`` columns, ``host, path, rule, verdict`` and the method's ``score`` of every page."""
     rules = RULES if rules is None else rules
-    keep = ["page_id"] if keep is None else keep
+    keep = [c for c in (["page_id"] if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "score")]
     rows = pages.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.coalesce(F.col(url), F.lit("")).alias("__u"))
     rows = rows.withColumn("host", host_of(F.col("__u"))).withColumn("path", path_of(F.col("__u"))).withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
     urls = cut(rows.groupBy(F.col("__u").alias("u")).agg(F.first("by.verdict").alias("verdict")))

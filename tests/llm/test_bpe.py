@@ -79,6 +79,7 @@ def test_documents(spark):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         want.append((r.doc_id, len(e), sha(" ".join(map(str, e))), sha(REAL.decode(e, skip_special_tokens=False))))
     assert sorted(map(tuple, token_digests(docs, SPEC, ["doc_id"]).collect()), key=str) == sorted(want, key=str)
+    assert token_digests(docs, SPEC, ["doc_id", "n_tokens"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert token_digests(docs.limit(0), SPEC, ["doc_id"]).collect() == []
     assert bpe_encode(docs, SPEC).columns == ["doc_id", "text", "n_tokens", "token_ids"]
     twice = bpe_decode(bpe_encode(docs, SPEC, decoded="one"), SPEC, out="two")

@@ -74,3 +74,9 @@ def test_empty(spark):
     assert filter_urls(df).collect() == []
     one = spark.createDataFrame([(1, "http://a.b/c")], df.schema)
     assert [tuple(r)[:5] for r in filter_urls(one).collect()] == [(1, "a.b", "/c", None, "allow")]
+
+
+def test_kept_columns_with_the_names_of_results(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c", "x")], "page_id long, url string, host string")
+    (r,) = filter_urls(df, keep=["page_id", "host", "url"]).collect()
+    assert (r.page_id, r.url, r.host) == (1, "http://a.b/c", "a.b") and len(r) == 7
