@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.llm.components import cut
+from poolsieve.llm.groups import join_salted
 
 ORDER = 3
 CALIBRATION = 5
@@ -117,7 +118,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     keep = [c for c in (["page_id"] if keep is None else keep) if c not in ("host", "path", "rule", "verdict", "score")]
     rows = pages.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.coalesce(F.col(url), F.lit("")).alias("__u"))
     rows = rows.withColumn("host", host_of(F.col("__u"))).withColumn("path", path_of(F.col("__u"))).withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
-    urls = cut(rows.groupBy(F.col("__u").alias("u")).agg(F.first("by.verdict").alias("verdict")))
+    urls = cut(rows.groupBy(F.col("__u").alias("u")).agg(F.first("by.verdict").alias("verdict"), F.count("*").alias("n")))
     part = F.pmod(F.xxhash64("u", F.lit("calibration")), F.lit(CALIBRATION)) == 0
     ruled = urls.where("verdict IS NOT NULL").select("u", (F.col("verdict") == "allow").alias("good"), part.alias("cal"))
     asked = urls.where("verdict IS NULL").select("u", F.lit(None).cast("boolean").alias("good"))
@@ -132,6 +133,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
             ratios = F.broadcast(ratios)
         both = cut(grams.join(ratios, "g").groupBy("u", "good").agg(F.avg("ratio").alias("score")))
         scored, least = both.where("good IS NULL").select("u", "score"), _threshold(both.where("good IS NOT NULL"))
-    judged = rows.join(scored, rows["__u"] == scored["u"], "left")
+    # every URL without a rule has a score; one that many pages have is dealt to many tasks
+    sized = scored.join(urls.select("u", "n"), "u").withColumnRenamed("u", "__u")
+    left = join_salted(rows.where("by IS NULL"), sized, ["__u"], "n", [f"__keep{i}" for i in range(len(keep))] or ["__u"])
+    judged = left.unionByName(rows.where("by IS NOT NULL").withColumn("score", F.lit(None).cast("double")))
     verdict = F.coalesce("by.verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
     return judged.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), "score")

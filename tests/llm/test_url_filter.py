@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from poolsieve.llm import groups
 from poolsieve.llm.url_filter import RULES, filter_urls
 
 
@@ -76,6 +77,17 @@ def test_empty(spark):
     assert [tuple(r)[:5] for r in filter_urls(one).collect()] == [(1, "a.b", "/c", None, "allow")]
 
 
+def test_hot_urls_are_dealt(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    more = [(1000 + i, u) for i in range(40) for u in (None, "http://hot.example/x", "s://a.com/en/")]
+    df = pages.unionByName(spark.createDataFrame(more, pages.schema))
+    plain = sorted(map(tuple, filter_urls(df).collect()), key=str)
+    assert len(plain) == df.count() and all((r[5] is None) == (r[3] is not None) for r in plain)
+    monkeypatch.setattr(groups, "LEAST", 5)
+    monkeypatch.setattr(groups, "HOT_KEYS", 50)
+    assert sorted(map(tuple, filter_urls(df).collect()), key=str) == plain
+
+
 def test_kept_columns_with_the_names_of_results(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", "x")], "page_id long, url string, host string")
     (r,) = filter_urls(df, keep=["page_id", "host", "url"]).collect()
