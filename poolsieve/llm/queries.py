@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolsieve.llm import corpus_queries
 from poolsieve.llm.bpe import read_spec, token_digests
 from poolsieve.llm.chat import BOUNDS, OTHER, START, digests, format_conversations
 from poolsieve.llm.decontaminate import decontaminate
@@ -192,6 +193,7 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_toxicity": op10_toxicity,
         "url_rules": url_rules,
+        **corpus_queries.queries(),
     }
 
 
@@ -203,4 +205,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_dedup": _OP7_SQL,
         "op9_substring_dedup": _OP9_SQL,
         "url_rules": _URL_RULES_SQL,
+        **corpus_queries.oracle_sql(),
     }
