@@ -120,7 +120,7 @@ def run(
             raise ValueError(f"{output_dir} is not empty")
         files.clear(output_dir)
     tars = written(reshard.in_range(list_tars(spark, input_dir), options))
-    named = written(read_index(tars.select("path").repartition(max(1, min(tars.count(), 100_000)))).withColumn("uid", F.lower("uid")))
+    named = written(read_index(spark, input_dir, first_shard=options.first_shard, num_shards=options.num_shards).withColumn("uid", F.lower("uid")))
     samples = named.where("damaged IS NULL").select(F.col("shard_name"), "place", "uid")
     subset = read_subset(spark, subset_path).select(uid_hex(F.col("uid_bin")).alias("uid"))
     told = {}

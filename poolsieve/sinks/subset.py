@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import io
 import json
-import tarfile
 import time
+import uuid
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import uid_bin
 from poolsieve.sources import files
+from poolsieve.sources.formats import register
 
 
 def sorted_ids(uids: DataFrame) -> DataFrame:
@@ -25,35 +24,55 @@ def sorted_ids(uids: DataFrame) -> DataFrame:
 def write_npy(uids: DataFrame, path: str) -> int:
     """Sort the ids and write one ``.npy`` file of ``u8,u8`` pairs; returns their number.
 
-    Every executor writes its part of the order beside the file; the driver then
-    puts the parts' bytes behind each other.
+    Every executor writes its part of the order beside the file, and then, at the
+    place that the parts before it leave, to the file itself, which appears under its
+    name when it is whole.  The driver sees names and counts only.  Where files cannot
+    be written in place (object stores), one task puts the parts behind each other.
     """
-    folder = f"{path}.parts"
-
-    def run(batches):
-        import uuid
-
-        count, name = 0, f"{TaskContext.get().partitionId():08d}"
-        temp = files.join(folder, f"_{uuid.uuid4().hex}")
-        with files.open_output(temp) as out:
+    spark, job = register(uids.sparkSession), uuid.uuid4().hex
+    folder, temp = f"{path}.parts-{job}", f"{path}.whole-{job}"
+    try:
+        sorted_ids(uids).write.format("pool_npy").mode("append").save(folder)
+        with files.open_input(files.join(folder, "parts.json")) as f:
+            parts = json.loads(f.read())
+        total = sum(n for _, n in parts)
+        header = io.BytesIO()
+        np.lib.format.write_array_header_1_0(header, {"descr": np.lib.format.dtype_to_descr(np.dtype("u8,u8")), "fortran_order": False, "shape": (total,)})
+        begin, local = header.getvalue(), files.is_local(path)
+        at = len(begin)
+        rows = []
+        for name, n in parts:
+            rows.append((name, at))
+            at += 16 * n
+
+        def place(batches):
             for batch in batches:
-                ids = b"".join(batch.column(0).to_pylist())
-                out.write(np.frombuffer(ids, dtype=">u8").astype("<u8").tobytes())
-                count += batch.num_rows
-        files.move(temp, files.join(folder, name))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["name", "count"])
-
-    parts = sorted_ids(uids).mapInArrow(run, "name string, count long").collect()  # one row for each task
-    header = io.BytesIO()
-    total = sum(r[1] for r in parts)
-    np.lib.format.write_array_header_1_0(header, {"descr": np.lib.format.dtype_to_descr(np.dtype("u8,u8")), "fortran_order": False, "shape": (total,)})
-    with files.open_output(path) as out:
-        out.write(header.getvalue())
-        for name in sorted(r[0] for r in parts):
-            with files.open_input(files.join(folder, name)) as part:
-                while data := part.read(8 << 20):
-                    out.write(data)
-    files.remove(folder)
+                for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    files.copy_at(files.join(folder, name), temp, at)
+                yield batch
+
+        def behind_each_other(batches):
+            with files.open_output(temp) as out:
+                out.write(begin)
+                for batch in batches:
+                    for name in batch.column(0).to_pylist():
+                        with files.open_input(files.join(folder, name)) as part:
+                            while data := part.read(8 << 20):
+                                out.write(data)
+                    yield batch
+
+        todo = spark.createDataFrame(rows, "name string, at long")
+        if local:
+            files.lay_out(temp, begin, at)
+            todo = todo.repartition(max(1, len(rows)))
+        else:
+            todo = todo.repartition(1).sortWithinPartitions("at")
+        todo.mapInArrow(place if local else behind_each_other, "name string, at long").write.format("noop").mode("overwrite").save()
+        files.move(temp, path)
+    finally:
+        files.remove(folder, missing_ok=True)
+        if files.size(temp) is not None:
+            files.delete(temp)
     return total
 
 
@@ -61,59 +80,18 @@ def write_tars(rows: DataFrame, folder: str, pattern: str = "{:08d}.tar", max_by
     """Write ``out_shard, out_key, fields`` rows as tar shards to a folder that all executors share.
 
     A shard of more than ``max_bytes`` goes on in another, and the numbers of all
-    that follow move up, so they stay without gaps.  A shard is written under a
-    name of its own and then renamed, so a task that is run again leaves whole
-    files.  Returns ``name, successes`` of what was written; stats go beside the
-    tars, under ``stats`` of the tar's name without its ending.
+    that follow move up, so they stay without gaps.  What failed or repeated tasks
+    leave goes with the job's own folder; nothing appears under its name before all
+    tasks are done.  Returns ``name, successes`` of what was written; stats go beside
+    the tars, under ``stats`` of the tar's name without its ending.
     """
-
-    def run(batches):
-        import uuid
-
-        shard = tar = out = temp = None
-        part = count = size = 0
-
-        def close():
-            tar.close()
-            out.close()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([part], pa.int64()), pa.array([temp]), pa.array([count], pa.int64())], ["shard", "part", "temp", "count"])
-
-        for batch in batches:
-            for to, key, fields in zip(batch.column("out_shard").to_pylist(), batch.column("out_key").to_pylist(), batch.column("fields").to_pylist(), strict=True):
-                if tar is not None and (to != shard or size >= max_bytes):
-                    yield close()
-                    part = part + 1 if to == shard else 0
-                    tar = None
-                if tar is None:
-                    shard, count, size = to, 0, 0
-                    temp = f"_{uuid.uuid4().hex}"
-                    out = files.open_output(files.join(folder, temp))
-                    tar = tarfile.open(fileobj=out, mode="w|")
-                for ending, data in fields:
-                    info = tarfile.TarInfo(f"{key}.{ending}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-                    size += len(data)
-                count += 1
-        if tar is not None:
-            yield close()
-
-    spark = rows.sparkSession
-    dealt = rows.where("out_shard IS NOT NULL").select("out_shard", "out_key", "fields").repartition("out_shard").sortWithinPartitions("out_shard", "out_key")
-    done = sorted(dealt.mapInArrow(run, "shard long, part long, temp string, count long").collect())  # one row for each file
-    named = [(pattern.format(k), temp, count) for k, (_, _, temp, count) in enumerate(done)]
-
-    def publish(batches):
-        for batch in batches:
-            for name, temp, count in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if files.size(files.join(folder, temp)) is not None:  # else it was, by a task before
-                    files.move(files.join(folder, temp), files.join(folder, name))
-                with files.open_output(files.join(folder, stats.format(name.removesuffix(".tar")))) as f:
-                    f.write(json.dumps({"successes": count}).encode())
-            yield batch.select(["name", "successes"])
-
-    todo = spark.createDataFrame(named, "name string, temp string, successes long").repartition(max(1, min(len(named), 256)))
-    return spark.createDataFrame(todo.mapInArrow(publish, "name string, successes long").collect(), "name string, successes long")
+    spark, manifest = register(rows.sparkSession), files.join(folder, f"_shards-{uuid.uuid4().hex}.jsonl")
+    dealt = rows.where("out_shard IS NOT NULL").select(F.col("out_shard").cast("long").alias("out_shard"), "out_key", "fields").repartition("out_shard").sortWithinPartitions("out_shard", "out_key")
+    dealt.write.format("pool_tar").mode("append").options(shard_format=pattern, stats_format=stats, max_bytes=max_bytes, manifest=manifest).save(folder)
+    with files.open_input(manifest) as f:
+        done = [json.loads(line) for line in f.read().decode().splitlines()]  # one line for each shard
+    files.delete(manifest)
+    return spark.createDataFrame([(r["name"], r["successes"]) for r in done], "name string, successes long")
 
 
 def write_json(path: str, record: dict) -> None:

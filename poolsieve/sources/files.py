@@ -6,6 +6,7 @@ mounted on all of them); any other URI is opened by ``pyarrow.fs``.
 
 from __future__ import annotations
 
+import os
 import posixpath
 
 from pyarrow import fs
@@ -61,6 +62,41 @@ def names(folder: str, ending: str = "") -> list[str]:
     return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(ending))
 
 
+def is_local(path: str) -> bool:
+    """Whether the path is of a file system that can be written in place."""
+    return isinstance(resolve(path)[0], fs.LocalFileSystem)
+
+
+def lay_out(path: str, begin: bytes, size: int) -> None:
+    """A local file of ``size`` bytes, of which the first are given."""
+    with open_output(path) as f:
+        f.write(begin)
+    os.truncate(resolve(path)[1], size)
+
+
+def copy_at(source: str, target: str, at: int) -> None:
+    """Put a file's bytes in a local file that is there, from the place ``at`` on."""
+    with open_input(source) as a, open(resolve(target)[1], "r+b") as b:
+        b.seek(at)
+        while part := a.read(8 << 20):
+            b.write(part)
+
+
+def listing(path: str) -> list[tuple[str, int]]:
+    """Path and bytes of the file, or of the files of the folder but for hidden ones, in order; none if there is neither."""
+    system, inner = resolve(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return sorted((join(path, f.base_name), f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+
+
+def delete(path: str) -> None:
+    system, inner = resolve(path)
+    system.delete_file(inner)
+
+
 def clear(folder: str) -> None:
     """Delete what is in a folder."""
     system, inner = resolve(folder)
@@ -72,6 +108,7 @@ def is_empty(folder: str) -> bool:
     return not system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
 
 
-def remove(folder: str) -> None:
+def remove(folder: str, missing_ok: bool = False) -> None:
     system, inner = resolve(folder)
-    system.delete_dir(inner)
+    if not missing_ok or system.get_file_info(inner).type == fs.FileType.Directory:
+        system.delete_dir(inner)

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-import zipfile
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import padded_uid_bin, uid_hex
 from poolsieve.schemas import RESULTS, TASKS
 from poolsieve.sources import files
+from poolsieve.sources.formats import SPLIT_BYTES, register
 
 
 def read_pool(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -29,36 +26,12 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", root.alias("file_root"), F.col("_metadata.row_index").alias("row_index"))
 
 
-def _header(f) -> tuple[tuple[int, ...], bool, np.dtype]:
-    """Shape, order and type of a ``.npy`` stream."""
-    read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
-    return read(f)
-
-
-def read_embeddings(spark: SparkSession, folder: str, key: str = "l14_img", pattern: str = "*.npz") -> DataFrame:
+def read_embeddings(spark: SparkSession, folder: str, key: str = "l14_img", pattern: str = "*.npz", split: int = SPLIT_BYTES) -> DataFrame:
     """``file_root, row_index, vector`` of one matrix in each ``.npz`` file.
 
-    A file is one task's, which streams its rows in blocks; files whose matrix has no rows give none.
+    A task reads about ``split`` bytes; files and rows that a filter leaves out are not read.
     """
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    paths = paths.repartition(max(1, paths.count()))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                root = path.rsplit("/", 1)[-1].removesuffix(".npz")
-                with files.open_input(path) as stream, zipfile.ZipFile(stream) as archive, archive.open(f"{key}.npy") as member:
-                    shape, by_column, kind = _header(member)
-                    if by_column or kind.hasobject or len(shape) != 2:
-                        raise ValueError(f"{path}: {key} is no matrix in row order")
-                    each = max(1, (4 << 20) // max(1, shape[1] * kind.itemsize))
-                    for lo in range(0, shape[0], each):
-                        n = min(each, shape[0] - lo)
-                        part = np.frombuffer(member.read(n * shape[1] * kind.itemsize), dtype=kind).reshape(n, shape[1]).astype(np.float32)
-                        vectors = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.array([root] * n), pa.array(np.arange(lo, lo + n)), vectors], ["file_root", "row_index", "vector"])
-
-    return paths.mapInArrow(run, "file_root string, row_index long, vector array<float>")
+    return register(spark).read.format("pool_npz").option("key", key).option("pattern", pattern).option("split", split).load(folder)
 
 
 def gather_embeddings(pool: DataFrame, embeddings: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -76,45 +49,12 @@ def attach_embeddings(pool: DataFrame, embeddings: DataFrame) -> DataFrame:
 SPLIT = 4 << 20
 
 
-def _subset_data(path: str) -> tuple[int, int]:
-    """Where the ids of a ``.npy`` or raw file begin and end."""
-    end = files.size(path)
-    with files.open_input(path) as f:
-        if f.read(6) != b"\x93NUMPY":
-            begin = 0
-        else:
-            f.seek(0)
-            _, _, kind = _header(f)
-            if kind != np.dtype("u8,u8"):
-                raise ValueError(f"the subset holds {kind}, not pairs of unsigned 64-bit numbers")
-            begin = f.tell()
-    if (end - begin) % 16:
-        raise ValueError("a raw subset is a whole number of 16-byte ids")
-    return begin, end
-
-
 def read_subset(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """``uid_bin`` of every entry of a ``.npy`` or raw file of 16-byte ids (two little-endian halves).
 
-    Only the header is read here; tasks read ``split`` ids each.
+    Tasks read ``split`` ids each.
     """
-    begin, end = _subset_data(path)
-    places = spark.range(-(-(end - begin) // (16 * split)) or 1).repartition(max(1, min(-(-(end - begin) // (16 * split)), 10_000)))
-
-    def run(batches):
-        with files.open_input(path) as f:
-            for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    at, stop = begin + 16 * split * k, min(begin + 16 * split * (k + 1), end)
-                    f.seek(at)
-                    while at < stop:
-                        data = f.read(min(16 * 65536, stop - at))
-                        at += len(data)
-                        swapped = np.frombuffer(data, dtype="<u8").astype(">u8").tobytes()
-                        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(swapped)])
-                        yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary())], ["uid_bin"])
-
-    return places.mapInArrow(run, "uid_bin binary")
+    return register(spark).read.format("pool_npy").schema("uid_bin binary").option("split", 16 * split).load(path)
 
 
 def _shard_id(path):

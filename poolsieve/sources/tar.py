@@ -6,11 +6,8 @@ import json
 import tarfile
 from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from poolsieve.sources.files import open_input
-
 
 def group_members(members: Iterable[tuple[str, bytes | None]]) -> Iterator[tuple[str, dict[str, bytes | None]]]:
     """Samples of consecutive files.  A new one begins with another prefix, or with an ending that it has already.
@@ -56,7 +53,8 @@ def tar_members(stream, wanted: Callable[[str], bool] = lambda _: True) -> Itera
                 raise tarfile.ReadError("there is no end mark")
 
 
-def _uid(fields: dict[str, bytes]) -> str | None:
+def sample_uid(fields: dict[str, bytes]) -> str | None:
+    """The id that a sample's JSON file tells; None if there is none to be read."""
     try:
         uid = json.loads(fields["json"]).get("uid")
     except (KeyError, ValueError, TypeError, AttributeError):
@@ -64,59 +62,31 @@ def _uid(fields: dict[str, bytes]) -> str | None:
     return uid if isinstance(uid, str) else None
 
 
-def tar_paths(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
-    """``path`` of every tar, dealt to as many tasks as there are; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    return files.repartition(max(1, min(files.count(), 100_000)))
-
-
-def _read(wanted: Callable[[str], bool], with_fields: bool):
-    """Samples of each tar, and one row without a key for a tar that is damaged."""
-    names = ["shard_name", "place", "key", "uid", "fields", "damaged"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string()]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def run(batches):
-        for paths in batches:
-            for path in paths.column(0).to_pylist():
-                name, rows, size = path.rsplit("/", 1)[-1], [], 0
-                try:
-                    with open_input(path) as stream:
-                        for place, (key, fields) in enumerate(group_members(tar_members(stream, wanted))):
-                            rows.append((name, place, key, _uid(fields), list(fields.items()) if with_fields else None, None))
-                            size += sum(len(x or b"") for x in fields.values())
-                            if len(rows) == 256 or size > 1 << 26:
-                                yield batch(rows)
-                                rows, size = [], 0
-                except (tarfile.TarError, EOFError, OSError) as e:
-                    rows.append((name, -1, None, None, None, str(e) or "damaged"))
-                if rows:
-                    yield batch(rows)
+#: What ``read_index`` tells of a sample.
+INDEX = "shard_name string, place long, key string, uid string, damaged string"
 
-    return run
 
-
-_SAMPLE = "shard_name string, place long, key string, uid string, fields map<string,binary>, damaged string"
-
-
-def read_index(paths: DataFrame) -> DataFrame:
-    """``shard_name, place, key, uid, damaged`` of the samples of ``tar_paths``; only headers and JSON members are read.
+def read_index(spark: SparkSession, folder: str, pattern: str = "*.tar", first_shard: int = 0, num_shards: int | None = None, split: int | None = None) -> DataFrame:
+    """``shard_name, place, key, uid, damaged`` of the samples of all tars; only headers and JSON members are read.
 
     A damaged tar gives the samples before the damage, and a row without a key
     that says what is wrong.
     """
-    return paths.mapInArrow(_read(lambda name: name.lower().endswith(".json"), False), _SAMPLE).drop("fields")
+    from poolsieve.sources.formats import register
 
+    options = {"pattern": pattern, "first_shard": first_shard} | ({} if num_shards is None else {"num_shards": num_shards}) | ({} if split is None else {"split": split})
+    return register(spark).read.format("pool_tar").schema(INDEX).options(**options).load(folder)
 
-def read_samples(spark: SparkSession, folder: str, pattern: str = "*.tar") -> DataFrame:
+
+def read_samples(spark: SparkSession, folder: str, pattern: str = "*.tar", split: int | None = None) -> DataFrame:
     """``shard_name, key, uid, fields``; uid is that of the sample's JSON file, null if there is none to be read.
 
-    ``damaged_tars`` tells which tars end early.
+    ``damaged_tars`` of the index tells which tars end early.
     """
-    rows = tar_paths(spark, folder, pattern).mapInArrow(_read(lambda _: True, True), _SAMPLE)
-    return rows.where("damaged IS NULL").select("shard_name", "key", "uid", "fields")
+    from poolsieve.sources.formats import register
+
+    options = {"pattern": pattern} | ({} if split is None else {"split": split})
+    return register(spark).read.format("pool_tar").schema("shard_name string, key string, uid string, fields map<string,binary>").options(**options).load(folder)
 
 
 def damaged_tars(index: DataFrame) -> DataFrame:
