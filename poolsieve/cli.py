@@ -39,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shard-format", default=ReshardOptions.shard_format)
     p.add_argument("--first-shard", type=int, default=0)
     p.add_argument("--num-shards", type=int)
-    p.add_argument("--shuffle-seed", type=int)
+    p.add_argument("--shuffle-seed", type=int, help="a random order of all samples")
+    p.add_argument("--shuffle-buffer", type=int, default=ReshardOptions.shuffle_buffer, help="rows that a partition's order is shuffled within; 0 leaves the order")
     p.add_argument("--num-workers", type=int, default=ReshardOptions.num_workers)
     p.add_argument("--max-bytes", type=int, default=ReshardOptions.max_bytes)
     p.add_argument("--stats-format", default=ReshardOptions.stats_format, help="name of a shard's stats, from its name without .tar")

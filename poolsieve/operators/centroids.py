@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from poolsieve.functions.vector import dot
+from poolsieve.operators.kmeans import kmeans
 
 #: Bytes of centroids that one pass may broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -80,14 +81,8 @@ def centroid_groups(assigned: DataFrame, uid: str = "uid") -> DataFrame:
 
 def train_centroids(vectors: DataFrame, k: int, vector: str = "embedding", iterations: int = 20, seed: int = 0, sample_ratio: float = 0.0) -> DataFrame:
     """``centroid_id, c`` by Lloyd's algorithm; with a ratio, on a sample with replacement."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.where(F.col(vector).isNotNull())
-    if sample_ratio > 0:
-        rows = rows.sample(withReplacement=True, fraction=sample_ratio, seed=seed)
-    model = KMeans(k=k, maxIter=iterations, seed=seed).fit(rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
-    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "centroid_id long, c array<double>")
+    rows = vectors if sample_ratio <= 0 else vectors.sample(withReplacement=True, fraction=sample_ratio, seed=seed)
+    return kmeans(rows, k, vector, iterations, seed)
 
 
 def inertia(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import copy_key
+from poolsieve.operators.draws import buffered
 from poolsieve.session import written
 
 
@@ -27,6 +28,7 @@ class ReshardOptions:
     num_shards: int | None = None
     num_workers: int = 1
     shuffle_seed: int | None = None
+    shuffle_buffer: int = 0
     apply_blur: bool = False
     inject_blur: bool = False
     blur_map: bool = False
@@ -39,6 +41,8 @@ class ReshardOptions:
             raise ValueError("blurring needs a blur map")
         if self.shard_size < 1 or self.num_workers < 1:
             raise ValueError("shard size and number of workers must be positive")
+        if self.shuffle_buffer < 0:
+            raise ValueError("a buffer has no negative size")
 
 
 def shard_sizes(tars: DataFrame, stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -85,8 +89,8 @@ def missing_rows(samples: DataFrame, subset: DataFrame) -> DataFrame:
     return subset.join(samples.select("uid").distinct(), "uid", "left_anti")
 
 
-def with_output_shard(rows: DataFrame, order: list[str], shard_size: int) -> DataFrame:
-    """``out_shard``: without gaps, by position in the global order of ``order``.
+def with_output_shard(rows: DataFrame, order: list[str], shard_size: int, buffer: int = 0, seed: int = 0) -> DataFrame:
+    """``out_shard``: without gaps, by position in the global order of ``order``, of which a ``buffer`` moves rows a little.
 
     The rows are range-partitioned and written once, with the partition and the
     position in it; the counts of the partitions, which are one number each, come
@@ -96,7 +100,7 @@ def with_output_shard(rows: DataFrame, order: list[str], shard_size: int) -> Dat
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = rows.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     # the partition in the upper bits, the position below
-    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    placed = written(buffered(ranged, buffer, seed).withColumn("__at", F.monotonically_increasing_id()))
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     start, starts = 0, []
     for k, n in sorted(placed.groupBy(part.alias("k")).count().collect()):
@@ -139,7 +143,3 @@ def reconcile(samples: DataFrame, subset: DataFrame, out: DataFrame, expected: i
     row = reduce(DataFrame.unionByName, parts).agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in counted])
     row = row.withColumn("consistent", F.col("subset_rows") - F.col("missing_rows") == F.col("output_rows"))
     return row if expected is None else row.withColumn("unprocessed", F.lit(expected) - F.col("samples"))
-
-
-def shuffled(rows: DataFrame, seed: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("out_key", F.lit(seed)), "out_key")

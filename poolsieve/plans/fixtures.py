@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from poolsieve.functions.vector import dot
 from poolsieve.operators.centroids import nearest_centroid, target_centroids
 from poolsieve.operators.metrics import nearest_candidates
+from poolsieve.session import scratch as scratch
 from poolsieve.sources import files
 
 
@@ -26,12 +27,6 @@ _POOL = [
 ]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
-
-
 def write_matrices(vectors: DataFrame, folder: str, parts: int = 4) -> None:
     """Each part's rows as a table, and its vectors as the matrix ``v`` of an ``.npz`` file beside it."""
 
@@ -82,7 +77,7 @@ def pool_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str, least: int = 9) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
     return words.where(F.col("word").rlike("^[a-z]+$") & (F.length("word") >= least)).distinct()
 
 

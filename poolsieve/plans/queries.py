@@ -11,14 +11,16 @@ from poolsieve.functions.text import article_prompt, ceil_div, char_count, durat
 from poolsieve.functions.uid import high, low, uid_bin, uid_hex
 from poolsieve.functions.vector import argmax, is_in, mask_from
 from poolsieve.operators import centroids as cen
-from poolsieve.operators import metrics, reshard, rollup
+from poolsieve.operators import draws, metrics, reshard, rollup
 from poolsieve.operators.filters import FilterParams, caption_condition, select_uids
+from poolsieve.operators.kmeans import assigned_counts, kmeans
 from poolsieve.operators.threshold import top_fraction_threshold
 from poolsieve.plans import fixtures as fx
 from poolsieve.plans.fixtures import WORDS_SQL, with_views
 from poolsieve.sinks.subset import append_results, write_npy, write_tars
-from poolsieve.sources.metadata import gather_embeddings, input_shard_spec, read_embeddings, read_pool, read_results, read_shard_stats, read_subset, weighted_union, with_position
-from poolsieve.sources.tar import read_samples
+from poolsieve.sources.metadata import gather_embeddings, input_shard_spec, read_embeddings, read_pool, read_results, read_shard_stats, read_subset, with_position
+from poolsieve.session import written
+from poolsieve.sources.tar import read_index, read_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +86,7 @@ def laion2b(spark, d):
     return select_uids("laion2b", fx.pool(spark, d))
 
 
-_LEXICON = r"SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark WHERE item_id % 4 = 0) WHERE regexp_full_match(w, '[a-z]+') AND length(w) >= 6"
+_LEXICON = r"SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]+') AND length(w) >= 6"
 
 
 @query(rf"SELECT uid FROM pool SEMI JOIN (SELECT DISTINCT uid FROM (SELECT uid, unnest(regexp_extract_all(lower(text), '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) AS word FROM pool WHERE {ENGLISH}) SEMI JOIN ({_LEXICON}) USING (word)) USING (uid)", "pool")
@@ -350,9 +352,11 @@ def input_shard_spec_query(spark, d):
     return input_shard_spec(names)
 
 
-@query("SELECT scale, CAST(b // 16 AS BIGINT) AS per_worker_batch, CAST(n // 8 AS BIGINT) AS samples_per_checkpoint FROM (VALUES ('debug', 1024, 128000), ('small', 4096, 12800000), ('medium', 4096, 128000000), ('large', 8192, 1280000000), ('xlarge', 90112, 12800000000)) t(scale, b, n)")
+@query("SELECT source AS scale, count(*) // 16 AS per_worker_batch, CAST(sum(n_chars) // 8 AS BIGINT) AS samples_per_checkpoint FROM documents GROUP BY source")
 def scale_derived(spark, d):
-    return rollup.derived(rollup.scales(spark), 8, 2, 8)
+    """Batches and checkpoints of a scale for each source, which has its rows as a batch and its characters as samples."""
+    rows = fx.table(spark, d, "documents").groupBy(F.col("source").alias("scale")).agg(F.count("*").alias("batch_size"), F.sum("n_chars").alias("train_num_samples"))
+    return rollup.derived(rows, 8, 2, 8)
 
 
 @query(
@@ -397,10 +401,51 @@ def json_fields(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", json_with(text, boxes=F.array(F.array(F.col("doc_id") % 7, F.lit(2).cast("long")))).alias("document"))
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT source FROM documents WHERE doc_id % 2 = 0) GROUP BY source")
+@query("SELECT source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT lang FROM documents UNION ALL SELECT event_type FROM events) GROUP BY source")
 def source_concatenation(spark, d):
-    rows = fx.table(spark, d, "documents").select("doc_id", "source")
-    return weighted_union([(rows, 1), (rows.where("doc_id % 2 = 0"), 1)]).groupBy("source").agg(F.count("*").alias("n"))
+    rows = fx.table(spark, d, "documents")
+    parts = [rows.select("source"), rows.select(F.col("lang").alias("source")), fx.table(spark, d, "events").select(F.col("event_type").alias("source"))]
+    return draws.concatenation(parts).groupBy("source").agg(F.count("*").alias("n"))
+
+
+_DRAWN = "CAST(('0x' || substr(md5({0}), 1, 13)) AS BIGINT)"
+
+
+@query(
+    f"""WITH kept AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE length(text) > 500),
+    drawn AS (SELECT source, {_DRAWN.format("'7:' || source || ':' || CAST(k AS VARCHAR)")} % n AS r FROM (SELECT DISTINCT source, n FROM kept), LATERAL (SELECT unnest(range(0, CAST(floor(n * 0.7::DOUBLE) AS BIGINT))) AS k))
+    SELECT source, doc_id, count(*) AS times FROM kept JOIN drawn USING (source, r) GROUP BY ALL"""
+)
+def draws_per_file(spark, d):
+    """Seven tenths of the rows that a mask leaves of each source, drawn with replacement."""
+    rows = fx.table(spark, d, "documents").where(F.length("text") > 500).select("source", "doc_id")
+    return draws.sample_per_file(rows, 0.7, "source", "doc_id", seed=7).groupBy("source", "doc_id").agg(F.count("*").alias("times"))
+
+
+@query(
+    f"""WITH shards AS (SELECT DISTINCT lang AS source, doc_id // 37 AS shard_id FROM documents WHERE lang IS NOT NULL),
+    ranked AS (SELECT source, shard_id, row_number() OVER (PARTITION BY source ORDER BY shard_id) - 1 AS r FROM shards),
+    weighed AS (SELECT source, count(*) AS n, CASE source WHEN 'de' THEN 1.0::DOUBLE WHEN 'en' THEN 2.5::DOUBLE WHEN 'fr' THEN 0.25::DOUBLE END AS w FROM shards GROUP BY source),
+    sums AS (SELECT source, n, w, sum(w * n) OVER (ORDER BY source) AS hi, sum(w * n) OVER (ORDER BY source) - w * n AS lo FROM weighed WHERE w IS NOT NULL),
+    draws AS (SELECT k AS draw, {_DRAWN.format("'3:' || CAST(k AS VARCHAR)")} / 4503599627370496.0::DOUBLE * (SELECT max(hi) FROM sums) AS x FROM range(1000) t(k))
+    SELECT draw, source, shard_id FROM (SELECT draw, source, least(CAST(floor((x - lo) / w) AS BIGINT), n - 1) AS r FROM draws JOIN sums ON x >= lo AND x < hi) JOIN ranked USING (source, r)"""
+)
+def weighted_shard_draws(spark, d):
+    """A thousand shards drawn with replacement by the weights of their sources; one source has none."""
+    rows = fx.table(spark, d, "documents").where("lang IS NOT NULL")
+    shards = rows.select(F.col("lang").alias("source"), F.floor(F.col("doc_id") / 37).alias("shard_id")).distinct()
+    return draws.draw_shards(shards, {"de": 1.0, "en": 2.5, "fr": 0.25}, 1000, seed=3)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, true AS near FROM documents")
+def buffered_order(spark, d):
+    """All documents in an order that a buffer of 100 rows shuffles: each is there, none is moved by 100 places."""
+    ordered = fx.table(spark, d, "documents").select("doc_id").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    low = F.lit((1 << 33) - 1)
+    placed = written(ordered.withColumn("at", F.monotonically_increasing_id()))
+    again = placed.repartition(4, F.shiftright("at", 33)).sortWithinPartitions("at").withColumn("i", F.monotonically_increasing_id().bitwiseAND(low))
+    moved = draws.buffered(again, 100, seed=5).withColumn("j", F.monotonically_increasing_id().bitwiseAND(low))
+    return moved.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), (F.max(F.abs(F.col("i") - F.col("j"))) < 100).alias("near"))
 
 
 @query("SELECT region, avg(CAST(pred = target AS DOUBLE)) AS acc, count(*) AS n FROM (SELECT pred, target, (vec_id * 3) % 11 AS region FROM preds) GROUP BY region", "preds")
@@ -448,30 +493,46 @@ def npz_round_trip(spark, d):
     return gather_embeddings(pool, read_embeddings(spark, folder, "v")).where(same).select("vec_id", "label")
 
 
-@query("SELECT dataset, arg_max(acc1, line_no) AS acc1 FROM lines WHERE line_no % 50 = 0 GROUP BY dataset", "lines")
+@query("SELECT dataset, arg_max(acc1, line_no) AS acc1 FROM lines GROUP BY dataset", "lines")
 def result_file_order(spark, d):
     """Two runs' lines, the second behind the first; the last of each dataset wins."""
-    folder, lines = fx.scratch(spark, "results"), fx.log_lines(spark, d).where("line_no % 50 = 0")
+    folder, lines = fx.scratch(spark, "results"), fx.log_lines(spark, d)
     last = lines.groupBy("dataset").agg(F.max("line_no").alias("line_no"))
     append_results(lines.join(last, ["dataset", "line_no"], "left_anti").drop("line_no"), folder)
     append_results(lines.join(last, ["dataset", "line_no"]).drop("line_no"), folder)
     return rollup.last_wins(read_results(spark, folder)).select("dataset", F.element_at("metrics", F.lit("acc1")).alias("acc1"))
 
 
-@query("SELECT 0.5 * (SELECT avg(CAST(toxic AS DOUBLE)) FROM labels) + 0.5 * (SELECT avg(CAST(quality AS DOUBLE)) FROM labels) AS mean_recall_1")
+@query(f"SELECT (a.recall_1 + b.recall_1) / 2 AS mean_recall_1 FROM ({_recall('image', 'caption')}) a, ({_recall('caption', 'image')}) b", "pairs")
 def mean_of_recalls(spark, d):
-    labels = fx.table(spark, d, "labels")
-    sides = [labels.agg(F.avg(F.col(c).cast("double")).alias("recall_1")) for c in ("toxic", "quality")]
-    return metrics.mean_recall(*sides)
+    """The mean of both directions of retrieval."""
+    return metrics.mean_recall(*[metrics.retrieval_recall(fx.pairs(spark, d, q, c), q, c) for q, c in (("image", "caption"), ("caption", "image"))])
+
+
+@query("SELECT printf('%08d.tar', shard_id) AS shard_name, count(*) AS samples, max(place) AS last_place, min(uid) AS first_uid, max(uid) AS last_uid FROM (SELECT md5(CAST(doc_id AS VARCHAR)) AS uid, dense_rank() OVER (ORDER BY doc_id // 200) - 1 AS shard_id, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS place FROM documents) GROUP BY shard_id")
+def tar_index(spark, d):
+    """Every document with its JSON member as a sample of a tar shard, and the index of the shards, read in parts of 50,000 bytes without the texts."""
+    folder = fx.scratch(spark, "tars")
+    fields = F.create_map(F.lit("txt"), F.coalesce("text", F.lit("")).cast("binary"), F.lit("json"), F.to_json(F.struct("uid")).cast("binary"))
+    write_tars(fx.pool(spark, d).select(F.floor(F.col("doc_id") / 200).alias("out_shard"), F.col("uid").alias("out_key"), fields.alias("fields")), folder)
+    index = read_index(spark, folder, split=50_000)
+    return index.groupBy("shard_name").agg(F.count("*").alias("samples"), F.max("place").alias("last_place"), F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid"))
+
+
+def _lloyd(steps: int) -> str:
+    """The views ``c0`` to ``c<steps>`` of Lloyd's steps from the centroids of the labels, and ``a<k>`` of who belongs to whom."""
+    views = ["v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "c0 AS (SELECT CAST(centroid_id AS BIGINT) AS centroid_id, c FROM centroids)"]
+    for k in range(steps + 1):
+        views.append(f"a{k} AS MATERIALIZED (SELECT vec_id, any_value(e) AS e, arg_min(centroid_id, (d, centroid_id)) AS centroid_id, min(d) AS d FROM (SELECT vec_id, e, centroid_id, list_sum(list_transform(list_zip(e, c), lambda x: (x[1] - x[2]) ** 2)) AS d FROM v, c{k}) GROUP BY vec_id)")
+        views.append(f"c{k + 1} AS MATERIALIZED (SELECT c.centroid_id, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT centroid_id, list(x ORDER BY i) AS c FROM (SELECT centroid_id, i, avg(e[i]) AS x FROM a{k}, range(1, (SELECT max(len(e)) FROM v) + 1) r(i) GROUP BY ALL) GROUP BY centroid_id) m USING (centroid_id))")
+    return ", " + ",\n".join(views) + "\n"
 
 
-@query()
+@query(with_views(_lloyd(20) + "SELECT centroid_id, count(*) AS n, round(any_value(total), 6) AS inertia FROM a20, (SELECT sum(d) AS total FROM a20) GROUP BY centroid_id", "centroids"))
 def kmeans_inertia(spark, d):
-    """Centroids by Lloyd's algorithm: how many vectors each has, and the squared distances of all vectors to their nearest in sum."""
+    """Twenty Lloyd's steps from a vector of each label: how many vectors each centroid has then, and the squared distances of all vectors to their nearest in sum."""
     vectors = fx.vectors(spark, d)
-    made = cen.train_centroids(vectors, 8, seed=1)
-    counts = cen.nearest_centroid(vectors, made).groupBy("centroid_id").agg(F.count("*").alias("n"))
-    return counts.crossJoin(cen.inertia(vectors, made))  # one row
+    return assigned_counts(vectors, kmeans(vectors, start=fx.centroids(spark, d)))
 
 
 def queries() -> dict[str, Query]:

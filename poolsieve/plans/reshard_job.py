@@ -131,7 +131,7 @@ def run(
     if options.shuffle_seed is not None:
         chosen = chosen.withColumn("__order", F.xxhash64("out_key", F.lit(options.shuffle_seed)))
         order = ["__order", "out_key", "shard_name", "place"]
-    placed = reshard.with_output_shard(chosen, order, options.shard_size)
+    placed = reshard.with_output_shard(chosen, order, options.shard_size, options.shuffle_buffer, options.shuffle_seed or 0)
     sizes = _sizes(spark, input_dir, tars, options)
     expected = sizes.agg(F.sum("size")).first()[0] if sizes is not None else None
     counts = reshard.reconcile(samples, subset, placed, expected).first().asDict()

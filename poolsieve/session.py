@@ -17,19 +17,49 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; on one machine, where that is unset, one in the warehouse."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose folder goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _at_exit(spark, folder)
+    return f"{folder}/{name}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, for rows that must not change when they are read again.
 
-    The folder is ``spark.checkpoint.dir``; on one machine, where that is unset, it is in the warehouse.
+    It goes when it is discarded, or when the driver ends.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_written"
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        target, system = _hadoop(table.sparkSession, table._written)
+        system.delete(target, True)
+        system.cancelDeleteOnExit(target)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    target, system = _hadoop(spark, path)
+    system.deleteOnExit(target)
+
+
+def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

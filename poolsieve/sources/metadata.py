@@ -187,26 +187,3 @@ def shard_spec(source: str) -> str:
                 raise ValueError(f"{part} has no shards")
             specs += [files.join(part, f"{p}{{{0:0{w}d}..{n:0{w}d}}}.tar") for p, (n, w) in sorted(last.items())]
     return "::".join(specs)
-
-
-def sample_per_file(rows: DataFrame, ratio: float, file: str = "file_root", place: str = "row_index", seed: int = 0) -> DataFrame:
-    """``int(n * ratio)`` rows of each file, drawn with replacement; all rows for a ratio of 0.
-
-    A draw is a random place of the file, so files of different sizes need no gathering.
-    """
-    if not ratio:
-        return rows
-    n = rows.groupBy(file).agg((F.max(place) + 1).alias("n"))
-    draws = n.where(f"int(n * {ratio}) > 0").select(file, "n", F.explode(F.expr(f"sequence(1, int(n * {ratio}))")).alias("__draw"))
-    at = F.pmod(F.xxhash64(file, "__draw", F.lit(seed)), F.col("n"))
-    return draws.select(file, at.alias(place)).join(rows, [file, place])
-
-
-def weighted_union(parts: list[tuple[DataFrame, float]], seed: int = 0) -> DataFrame:
-    """Rows of several sources, each sampled with replacement at its weight."""
-    drawn = [df if w == 1 else df.sample(withReplacement=True, fraction=w, seed=seed) for df, w in parts]
-    out = drawn[0]
-    for df in drawn[1:]:
-        out = out.unionByName(df)
-    return out
-

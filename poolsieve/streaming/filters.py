@@ -30,4 +30,3 @@ def kept_by_window(pool: DataFrame, time: str, window: str = "1 hour", delay: st
     return pool.withWatermark(time, delay).groupBy(F.window(time, window)).agg(F.count("*").alias("n"), F.sum(basic_condition(FilterParams()).cast("long")).alias("kept"))
 
 
-__all__ = ["STATELESS", "kept_by_window", "score_condition", "select_uids_stream", "stream_pool"]

@@ -41,17 +41,16 @@ def test_scores_are_inclusive_and_nan_is_out(spark):
     assert kept(select_uids("clip_score", pool(spark, rows), FilterParams(threshold=0.7, arch="b32"))) == ["at", "over"]
 
 
-@pytest.mark.parametrize("direct", [10**9, 0])
-def test_fraction_threshold(spark, direct):
+def test_fraction_threshold(spark):
     rng = np.random.default_rng(0)
     scores = np.round(rng.random(3000), 3).tolist() + [float("nan")] * 30 + [None] * 20
     df = spark.createDataFrame([(s,) for s in scores], "s double")
     ordered = sorted((s for s in scores if s is not None and not math.isnan(s)), reverse=True)
     for f in (0.0, 0.1, 0.3333, 0.5, 0.9, 0.98):
         n = int(len(scores) * f)
-        assert top_fraction_threshold(df, "s", f, direct) == ordered[n]
-    assert top_fraction_threshold(df, "s", 0.99, direct) is None
-    assert top_fraction_threshold(df.limit(0), "s", 0.1, direct) is None
+        assert top_fraction_threshold(df, "s", f) == ordered[n]
+    assert top_fraction_threshold(df, "s", 0.99) is None
+    assert top_fraction_threshold(df.limit(0), "s", 0.1) is None
     for f in (1.0, -0.1):
         with pytest.raises(ValueError):
             top_fraction_threshold(df, "s", f)
@@ -173,27 +172,3 @@ def test_kmeans_separates_clusters(spark):
     for r in nearest_centroid(df, made).collect():
         groups.setdefault(r.centroid_id, set()).add(r.id % 4)
     assert all(len(g) == 1 for g in groups.values())
-
-
-def test_kmeans_query_has_the_inertia(spark):
-    sf = "/root/testdata/sf0.001"
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = QUERIES["kmeans_inertia"](spark, sf).collect()
-    x = np.array([r.embedding for r in vectors.collect()], dtype=np.float64)
-    c = np.array([r.c for r in train_centroids(vectors, 8, iterations=20, seed=1).collect()])
-    want = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
-    assert sum(r.n for r in got) == len(x) and all(abs(r.inertia - want) < 1e-6 * want for r in got)
-
-
-def test_text_entity(spark):
-    lexicon = spark.createDataFrame([("dog",), ("cat",)], "word string")
-    rows = [row("a", "a Dog runs"), row("b", "dogs run"), row("c", "the cat\u2003sat"), row("d", "le dog", "fr"), row("e", None)]
-    from poolsieve.operators.filters import entity_rows
-
-    p = FilterParams(lexicon=lexicon)
-    assert kept(select_uids("text_based", pool(spark, rows), p)) == ["a", "c"]
-    assert kept(entity_rows(pool(spark, rows), p, held_words=0).select("uid")) == ["a", "c"]
-    twice = pool(spark, [row("a", "a Dog runs"), row("a", "the dog"), row("b", "x it's \\ y")])
-    more = FilterParams(lexicon=lexicon.unionByName(spark.createDataFrame([("it's",), ("\\",), (None,)], "word string")))
-    assert kept(select_uids("text_based", twice, more)) == ["a", "a", "b"]
-    assert kept(entity_rows(twice, more, held_words=0).select("uid")) == ["a", "a", "b"]

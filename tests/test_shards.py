@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from poolsieve.functions.lang import model_detector
 from poolsieve.functions.uid import uid_hex
-from poolsieve.operators import metrics, reshard, rollup
+from poolsieve.operators import draws, metrics, reshard, rollup
 from poolsieve.plans.reshard_job import run
 from poolsieve.sinks.subset import append_results, write_json, write_npy, write_table, write_tars
 from poolsieve.sources import metadata as md
@@ -315,9 +315,9 @@ def test_order_of_results(spark, tmp_path):
 
 def test_samples_of_files(spark):
     rows = spark.createDataFrame([(f, k) for f, n in (("a", 10), ("b", 3), ("c", 1)) for k in range(n)], "file_root string, row_index long")
-    got = {r.file_root: r["count"] for r in md.sample_per_file(rows, 0.5).groupBy("file_root").count().collect()}
+    got = {r.file_root: r["count"] for r in draws.sample_per_file(rows, 0.5).groupBy("file_root").count().collect()}
     assert got == {"a": 5, "b": 1}
-    assert md.sample_per_file(rows, 0).count() == 14
+    assert draws.sample_per_file(rows, 0).count() == 14
 
 
 def test_small_reports(spark):
@@ -334,4 +334,4 @@ def test_small_reports(spark):
     for rows in ([i % 977 for i in range(3000)], [i % 2 for i in range(3000)], [5] * 3000):
         df = spark.createDataFrame([(float(x),) for x in rows], "s double")
         for fraction in (0.0, 0.1, 0.5, 0.99):
-            assert top_fraction_threshold(df, "s", fraction, direct=20) == sorted(map(float, rows), reverse=True)[int(3000 * fraction)]
+            assert top_fraction_threshold(df, "s", fraction) == sorted(map(float, rows), reverse=True)[int(3000 * fraction)]
