@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.vector import argmax, jaccard, top_k
-
-#: Rows of a side that one task compares, and inner products that it holds at once.
-BLOCK = 8192
-SCORES = 4 << 20
+from poolsieve.operators.inner_product import nearest_candidates as nearest_candidates
 
 
 def predictions(logits: DataFrame, k: int = 5) -> DataFrame:
@@ -41,72 +36,6 @@ def macro_scores(preds: DataFrame) -> DataFrame:
     return per.agg(F.try_divide(F.sum("tp"), F.sum("t")).alias("acc"), F.avg(recall).alias("recall_macro"), F.avg(f1).alias("f1_macro"))
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
-
-
-def _leading(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and inner products that hold the ``k`` largest of every row of ``a``, with their equals.
-
-    A matrix product tells which can be among them, give or take its rounding.
-    Those are added up one dimension after the other, as dot() does, so that
-    equals stay equal.
-    """
-    rough = a @ b.T
-    slack = 8 * a.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
-    least = np.partition(rough, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else np.full(len(a), -np.inf)
-    row, column = np.nonzero(~(rough < (least - slack)[:, None]))  # what is not a number stays
-    score = np.zeros(len(row))
-    for x, y in zip(a.T, b.T, strict=True):
-        score += x[row] * y[column]
-    return row, column, score
-
-
-def nearest_candidates(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """``query, candidate, score``: of all candidates each query's ``k`` of the largest inner products, of equals the smallest ids.
-
-    Either side has its id and ``v``; with a null vector the score is null, and
-    last.  Rows are dealt over blocks of about ``block``, every block of queries
-    meets every block of candidates in a task of its own, and no more than ``k``
-    rows for each query leave it.
-    """
-    blocks = [max(1, -(-df.count() // block)) for df in (queries, candidates)]
-    own = [F.pmod(F.xxhash64(name), F.lit(n)).cast("int") for name, n in zip((query, candidate), blocks, strict=True)]
-    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
-    left = queries.select(query, "v", own[0].alias("i")).withColumn("j", every[1])
-    right = candidates.select(candidate, "v", own[1].alias("j")).withColumn("i", every[0])
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        q, c = q[q["v"].notna()], c.sort_values(candidate)
-        ids, there = c[candidate].to_numpy(), np.flatnonzero(c["v"].notna().to_numpy())
-        b, without = _matrix(c["v"].iloc[there]), np.setdiff1d(np.arange(len(c)), there)[:k]
-        parts = [pd.DataFrame({query: [], candidate: [], "score": []})]
-        each = max(1, SCORES // max(1, len(there)))
-        for at in range(0, len(q), each):
-            a = _matrix(q["v"].iloc[at : at + each])
-            row, column, score = _leading(a, b, k) if len(there) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-            row = np.r_[row, np.repeat(np.arange(len(a)), len(without))]
-            place = np.r_[there[column], np.tile(without, len(a))]
-            score = np.r_[score, np.full(len(a) * len(without), np.nan)]
-            order = np.lexsort((place, -score, row))
-            row, place, score = row[order], place[order], score[order]
-            top = np.arange(len(row)) - np.searchsorted(row, row) < k
-            parts.append(pd.DataFrame({query: q[query].to_numpy()[at + row[top]], candidate: ids[place[top]], "score": score[top]}))
-        return pd.concat(parts[1:] or parts)
-
-    def unscored(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        """As ``best``, with the first candidates for queries without a vector."""
-        none, first = q.loc[q["v"].isna(), query].to_numpy(), np.sort(c[candidate].to_numpy())[:k]
-        rest = pd.DataFrame({query: np.repeat(none, len(first)), candidate: np.tile(first, len(none)), "score": np.full(len(none) * len(first), np.nan)})
-        return pd.concat([best(q, c), rest]) if len(rest) else best(q, c)
-
-    kinds = [df.schema[n].dataType.simpleString() for df, n in ((queries, query), (candidates, candidate))]
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(unscored, f"{query} {kinds[0]}, {candidate} {kinds[1]}, score double")
-    found = found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), candidate))
-    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
-
-
 def retrieval_recall(scores: DataFrame, query: str, candidate: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Share of queries with a relevant candidate among the first k.  Needs ``score, relevant``."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), candidate))
