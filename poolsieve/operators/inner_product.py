@@ -166,13 +166,13 @@ def _best(query: str, candidate: str, k: int):
     return run
 
 
-def _cells(candidates: DataFrame, candidate: str, cell: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _cells(candidates: DataFrame, candidate: str, n: int, cell: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Candidates with their cells and blocks, and the table of cells, ``cell, block, c, radius``.
 
     A cell of more than ``block`` candidates, as copies of one vector make, is cut in pieces.
     """
     vectors = candidates.where("v IS NOT NULL").select(candidate, F.col("v").cast("array<double>").alias("v"))
-    many = max(1, -(-vectors.count() // cell))
+    many = max(1, -(-n // cell))
     finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     hashed = vectors.where(finite).select("v", F.xxhash64("v").alias("h"))
     last = order_statistic(hashed.select("h").distinct(), "h", many - 1)
@@ -210,31 +210,38 @@ def searched(queries: DataFrame, candidates: DataFrame, query: str, candidate: s
     order = [F.desc_nulls_last("score"), candidate]
     first = candidates.select(candidate).orderBy(candidate).limit(k)  # for queries without a vector
     without = queries.where("v IS NULL").select(query).crossJoin(F.broadcast(first)).select(query, candidate, F.lit(None).cast("double").alias("score"))
-    here, cells = _cells(candidates, candidate, cell, block)
-    here = written(here)
     asked = queries.where("v IS NOT NULL").select(query, F.col("v").cast("array<double>").alias("v"))
-    table = CellFiles(cells._written)
     result = f"{query} {kinds[0]}, {candidate} {kinds[1]}, score double, pairs long"
 
-    def met(sent: DataFrame) -> DataFrame:
+    def met(sent: DataFrame, here: DataFrame) -> DataFrame:
         # blocks of queries by a hash of their ids; a candidate meets each block of queries that was sent there
-        dealt = written(sent)
-        turns = dealt.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
-        left = dealt.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64(query), F.col("turns")).cast("int")).drop("turns")
+        turns = sent.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
+        left = sent.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64(query), F.col("turns")).cast("int")).drop("turns")
         right = here.join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
-        return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(_best(query, candidate, k), result).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
-
-    base = f"{query} {kinds[0]}, v array<double>"
-    home = written(asked.mapInArrow(_to_blocks(table, True), f"{base}, block long"))
-    near = written(met(home))
-    ranked = near.where(F.col(query).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
-    reach = ranked.groupBy(query).agg(F.max(F.when(F.col("__rank") == k, F.col("score"))).alias("reach"))
-    again = home.withColumnRenamed("block", "home").join(reach, query, "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
-    sent = again.mapInArrow(_to_blocks(table, False), f"{base}, reach double, block long")
-    far = written(met(sent))
-    both = near.unionByName(far)
+        return compared(left, right)
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(_best(query, candidate, k), result)
+        return found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+    n = candidates.where("v IS NOT NULL").count()
+    if n <= block:  # all queries meet the one block there is
+        here = candidates.where("v IS NOT NULL").select(candidate, F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
+        turns = max(1, -(-queries.count() // block))
+        dealt = asked.withColumn("block", F.lit(0).cast("long")).withColumn("turn", F.pmod(F.xxhash64(query), F.lit(turns)).cast("int"))
+        both = compared(dealt, here.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))))
+    else:
+        here, cells = _cells(candidates, candidate, n, cell, block)
+        here, table, base = written(here), CellFiles(cells._written), f"{query} {kinds[0]}, v array<double>"
+        home = written(asked.mapInArrow(_to_blocks(table, True), f"{base}, block long"))
+        near = written(met(home, here))
+        ranked = near.where(F.col(query).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
+        reach = ranked.groupBy(query).agg(F.max(F.when(F.col("__rank") == k, F.col("score"))).alias("reach"))
+        again = home.withColumnRenamed("block", "home").join(reach, query, "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
+        sent = written(again.mapInArrow(_to_blocks(table, False), f"{base}, reach double, block long"))
+        both = near.unionByName(written(met(sent, here)))
     nulls = candidates.where("v IS NULL").select(candidate).orderBy(candidate).limit(k)
-    if here.limit(k).count() < k:  # so few have vectors that others take part, last
+    if n < k:  # so few have vectors that others take part, last
         both = both.select(query, candidate, "score", "pairs").unionByName(asked.select(query).crossJoin(F.broadcast(nulls)).select(query, candidate, F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("pairs")))
     rank = F.row_number().over(Window.partitionBy(query).orderBy(*order))
     best = both.where(F.col(query).isNotNull()).drop("pairs").withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")

@@ -55,6 +55,8 @@ from poolsieve.sources.tar import group_members, sample_uid, tar_members
 
 #: Bytes of a file that one task reads.
 SPLIT_BYTES = 128 << 20
+#: Bytes that opening a file counts for.
+OPEN_BYTES = 1 << 20
 #: Bytes of contents in one batch.
 BATCH_BYTES = 16 << 20
 #: Renames and small files that a commit has under way at once.
@@ -83,9 +85,16 @@ class FileSplit(InputPartition):
         return self.part == self.parts - 1
 
 
+@dataclass
+class SplitGroup(InputPartition):
+    """Small splits that one task reads."""
+
+    splits: list[FileSplit]
+
+
 @dataclass
 class _Reader(DataSourceReader):
-    """Splits files by size, and keeps the filters that a subclass names as ``EXACT`` sets and ``RANGES``."""
+    """Splits files by size, puts small ones together, and keeps the filters that a subclass names as ``EXACT`` sets and ``RANGES``."""
 
     path: str
     pattern: str
@@ -121,21 +130,28 @@ class _Reader(DataSourceReader):
     def file_passes(self, name: str) -> bool:
         return True
 
-    def read(self, split: FileSplit | None) -> Iterator[pa.RecordBatch]:
-        if split is not None:  # where no file is left, one task is made without any
+    def read(self, group: SplitGroup | None) -> Iterator[pa.RecordBatch]:
+        for split in group.splits if group is not None else []:  # where no file is left, one task is made without any
             yield from self.rows(split)
 
     def rows(self, split: FileSplit) -> Iterator[pa.RecordBatch]:
         raise NotImplementedError
 
-    def partitions(self) -> list[FileSplit]:
+    def partitions(self) -> list[SplitGroup]:
         found = files.listing(self.path)
-        out = []
+        out: list[SplitGroup] = []
+        room = 0
         for path, size in found:
             name = path.rsplit("/", 1)[-1]
             if (path == self.path or fnmatch.fnmatch(name, self.pattern)) and self.file_passes(name):
                 parts = max(1, -(-size // self.split))
-                out += [FileSplit(path, size, k, parts) for k in range(parts)]
+                for k in range(parts):
+                    need = size // parts + OPEN_BYTES
+                    if need > room:
+                        out.append(SplitGroup([]))
+                        room = self.split
+                    out[-1].splits.append(FileSplit(path, size, k, parts))
+                    room -= need
         return out
 
 

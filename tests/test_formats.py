@@ -74,7 +74,8 @@ def test_tars_in_any_number_of_parts(spark, shards, split):
     rows = [r for r in got.collect() if r.damaged is None]
     assert sorted([(r.shard_name, r.place, r.key, r.uid, sorted((e, bytes(b)) for e, b in r.fields.items())) for r in rows], key=str) == want
     assert {r.shard_name for r in got.where("damaged IS NOT NULL").collect()} == damaged.keys()
-    assert got.rdd.getNumPartitions() == sum(-(-os.path.getsize(f"{shards}/{n}") // split) for n in os.listdir(shards) if n.endswith(".tar"))
+    parts = sum(-(-os.path.getsize(f"{shards}/{n}") // split) for n in os.listdir(shards) if n.endswith(".tar"))
+    assert got.rdd.getNumPartitions() == (parts if split < 1 << 20 else 1)  # small files share a task
 
 
 def plan(df):
