@@ -14,10 +14,12 @@ from poolsieve.operators import centroids as cen
 from poolsieve.operators import draws, metrics, reshard, rollup
 from poolsieve.operators.filters import FilterParams, caption_condition, select_uids
 from poolsieve.operators.kmeans import assigned_counts, kmeans
+from poolsieve.operators.synsets import RULES, first_synsets, parse_index, vocabulary
 from poolsieve.operators.threshold import top_fraction_threshold
 from poolsieve.plans import fixtures as fx
 from poolsieve.plans.fixtures import WORDS_SQL, with_views
 from poolsieve.sinks.subset import append_results, write_npy, write_tars
+from poolsieve.sources.boxes import lookup_boxes, write_boxes
 from poolsieve.sources.metadata import gather_embeddings, input_shard_spec, read_embeddings, read_pool, read_results, read_shard_stats, read_subset, with_position
 from poolsieve.session import written
 from poolsieve.sources.tar import read_index, read_samples
@@ -210,6 +212,14 @@ def box_lookup(spark, d):
     return reshard.attach_boxes(s, fx.boxes(spark, d)).select("uid", "blurred", F.try_element_at(F.try_element_at("face_bboxes", F.lit(1)), F.lit(1)).alias("left"))
 
 
+@query("SELECT s.uid, CAST(b.doc_id AS DOUBLE) AS left FROM samples s JOIN boxes b USING (uid)", "samples", "boxes")
+def box_point_lookup(spark, d):
+    """The boxes of all samples, from tables sorted by id of which only row groups with such an id are read."""
+    tables = write_boxes(fx.boxes(spark, d), fx.scratch(spark, "boxes"), 64)
+    wanted = fx.samples(spark, d).join(reshard.invert_blur_map(fx.blur_map(spark, d)), "shard_id").join(tables, "parquet")
+    return lookup_boxes(wanted).select("uid", F.col("face_bboxes")[0][0].alias("left"))
+
+
 @query("SELECT avg(CAST(pred = target AS DOUBLE)) AS acc1, avg(CAST(list_contains(top, target) AS DOUBLE)) AS acc5 FROM preds", "preds")
 def acc_topk(spark, d):
     return metrics.accuracy(fx.predictions(spark, d))
@@ -519,6 +529,28 @@ def tar_index(spark, d):
     return index.groupBy("shard_name").agg(F.count("*").alias("samples"), F.max("place").alias("last_place"), F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid"))
 
 
+def _rules(pos: str) -> str:
+    return ", ".join(f"({k}, '{old}', '{new}')" for k, (old, new) in enumerate(RULES[pos], 1))
+
+
+@query(
+    rf"""WITH RECURSIVE words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+')) AS word FROM documents),
+    lemmas AS (SELECT w AS lemma, CASE WHEN length(w) % 2 = 0 THEN 'n' ELSE 'v' END AS pos, 1000 * length(w) + ascii(w) AS o
+      FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]+')),
+    rules(pos, i, old, new) AS (SELECT 'n', * FROM (VALUES {_rules('n')}) UNION ALL SELECT 'v', * FROM (VALUES {_rules('v')})),
+    forms AS (SELECT word, pos, word AS form, CAST([] AS INT[]) AS path FROM words, (VALUES ('n'), ('v')) p(pos)
+      UNION ALL SELECT word, f.pos, substr(form, 1, length(form) - length(old)) || new, list_append(path, CAST(i AS INT)) FROM forms f JOIN rules r ON f.pos = r.pos AND suffix(form, old) WHERE length(word) <= 200),
+    best AS (SELECT word, arg_min((lemma, f.pos, o), (f.pos, greatest(len(path) - 1, 0), path)) AS b FROM forms f JOIN lemmas l ON f.form = l.lemma AND f.pos = l.pos GROUP BY word)
+    SELECT word, b[1] AS lemma, b[2] AS pos, CAST(b[3] AS BIGINT) AS offset FROM best"""
+)
+def first_synset(spark, d):
+    """The first synset of every word of the documents, in an index whose lines are made of the benchmark's words."""
+    lemma = fx.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where(F.col("w").rlike("^[a-z]+$")).distinct()
+    pos = F.when(F.length("w") % 2 == 0, "n").otherwise("v")
+    lines = lemma.select(F.format_string("%s %s 1 2 @ ~ 1 0 %08d  ", "w", pos, 1000 * F.length("w") + F.ascii("w")).alias("value"))
+    return first_synsets(vocabulary(fx.table(spark, d, "documents")), parse_index(lines))
+
+
 def _lloyd(steps: int) -> str:
     """The views ``c0`` to ``c<steps>`` of Lloyd's steps from the centroids of the labels, and ``a<k>`` of who belongs to whom."""
     views = ["v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "c0 AS (SELECT CAST(centroid_id AS BIGINT) AS centroid_id, c FROM centroids)"]

@@ -23,7 +23,8 @@ from poolsieve.operators.reshard import ReshardOptions
 from poolsieve.session import written
 from poolsieve.sinks.subset import write_json, write_shard_table, write_tars
 from poolsieve.sources import files
-from poolsieve.sources.metadata import list_tars, read_blur_map, read_boxes, read_shard_stats, read_shard_table, read_subset
+from poolsieve.sources.boxes import lookup_boxes
+from poolsieve.sources.metadata import list_tars, read_blur_map, read_shard_stats, read_shard_table, read_subset
 from poolsieve.sources.tar import damaged_tars, group_members, read_index, tar_members
 
 #: From the ending and bytes of an image, its boxes and the quality asked for, to the new ending and bytes.
@@ -33,19 +34,20 @@ IMAGES = ("jpg", "jpeg", "png", "webp")
 _WANTED = "array<struct<place: long, out_shard: long, out_key: string, boxes: array<array<double>>>>"
 
 
-def boxes_of(spark: SparkSession, shards: DataFrame, map_path: str, input_dir: str) -> tuple[DataFrame, int]:
-    """``shard_name, uid, face_bboxes`` by the map's tables, and how many shards no table covers.
+def boxes_of(spark: SparkSession, shards: DataFrame, wanted: DataFrame, map_path: str, input_dir: str) -> tuple[DataFrame, int]:
+    """``shard_name, uid, face_bboxes`` of the samples ``shard_name, uid`` by the map's tables, and how many shards no table covers.
 
-    Tables are in the map's folder.  Entries of other input folders are left out.
+    Tables are in the map's folder; of those sorted by id only row groups with such
+    an id are read.  Entries of other input folders are left out.
     """
     found = read_blur_map(spark, map_path, input_dir)
     folder = map_path.rsplit("/", 1)[0] if "/" in map_path else "."
-    paths = {r[0]: files.join(folder, r[0]) for r in found.select("parquet").distinct().collect()}  # one row for each table
+    paths = [(r[0], files.join(folder, r[0])) for r in found.select("parquet").distinct().collect()]  # one row for each table
     missing = reshard.without_table(shards, found).first()[0] or 0
-    if not paths:
-        return spark.createDataFrame([], "shard_name string, uid string, face_bboxes array<array<double>>"), missing
-    names = shards.join(reshard.invert_blur_map(found), "shard_id").select(F.col("name").alias("shard_name"), F.element_at(F.split("parquet", "/"), -1).alias("parquet"))
-    return names.join(read_boxes(spark, sorted(paths.values())), "parquet").drop("parquet"), missing
+    tables = spark.createDataFrame(paths, "parquet string, path string")
+    names = shards.join(reshard.invert_blur_map(found), "shard_id").join(tables, "parquet").select(F.col("name").alias("shard_name"), "path")
+    asked = wanted.select("shard_name", "uid").distinct().join(names, "shard_name")
+    return asked.join(lookup_boxes(asked), ["path", "uid"]).select("shard_name", "uid", "face_bboxes"), missing
 
 
 def _payload(options: ReshardOptions, codec: Codec | None):
@@ -124,14 +126,14 @@ def run(
     samples = named.where("damaged IS NULL").select(F.col("shard_name"), "place", "uid")
     subset = read_subset(spark, subset_path).select(uid_hex(F.col("uid_bin")).alias("uid"))
     told = {}
-    if options.blur_map and blur_map_path is not None:
-        shard_boxes, told["shards_without_boxes"] = boxes_of(spark, tars, blur_map_path, input_dir)
     chosen = reshard.multiset_join(samples, subset)
     order = ["uid", "copy", "shard_name", "place"]
     if options.shuffle_seed is not None:
         chosen = chosen.withColumn("__order", F.xxhash64("out_key", F.lit(options.shuffle_seed)))
         order = ["__order", "out_key", "shard_name", "place"]
     placed = reshard.with_output_shard(chosen, order, options.shard_size, options.shuffle_buffer, options.shuffle_seed or 0)
+    if options.blur_map and blur_map_path is not None:
+        shard_boxes, told["shards_without_boxes"] = boxes_of(spark, tars, placed, blur_map_path, input_dir)
     sizes = _sizes(spark, input_dir, tars, options)
     expected = sizes.agg(F.sum("size")).first()[0] if sizes is not None else None
     counts = reshard.reconcile(samples, subset, placed, expected).first().asDict()
