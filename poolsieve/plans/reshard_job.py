@@ -45,7 +45,7 @@ def boxes_of(spark: SparkSession, shards: DataFrame, wanted: DataFrame, map_path
     paths = [(r[0], files.join(folder, r[0])) for r in found.select("parquet").distinct().collect()]  # one row for each table
     missing = reshard.without_table(shards, found).first()[0] or 0
     tables = spark.createDataFrame(paths, "parquet string, path string")
-    names = shards.join(reshard.invert_blur_map(found), "shard_id").join(tables, "parquet").select(F.col("name").alias("shard_name"), "path")
+    names = shards.select("shard_id", "name").join(reshard.invert_blur_map(found), "shard_id").join(tables, "parquet").select(F.col("name").alias("shard_name"), "path")
     asked = wanted.select("shard_name", "uid").distinct().join(names, "shard_name")
     return asked.join(lookup_boxes(asked), ["path", "uid"]).select("shard_name", "uid", "face_bboxes"), missing
 

@@ -82,7 +82,7 @@ def test_empty_clusters_are_split_from_the_largest(spark):
 
 def test_bounds_leave_out_most_vectors_and_change_nothing(spark, points, tmp_path):
     """Near the end of the steps few vectors are looked at again."""
-    a, b = (lloyd(points, points[:12], k)[0] for k in (7, 8))
+    a, b = (lloyd(points, points[:12], k)[0] for k in (9, 10))
     table = lambda cs, moved: km.written(spark.createDataFrame([(k, row.tolist(), float(m)) for k, (row, m) in enumerate(zip(cs, moved, strict=True))], km._CENTROIDS))
     moved = np.sqrt(((a - b) ** 2).sum(axis=1))
     before, after = table(a, moved * 0), table(b, moved)
