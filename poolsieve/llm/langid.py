@@ -8,11 +8,13 @@ document that may be learned from and are summed by the cluster.
 The regression is fitted on the driver by follow-the-regularised-leader with
 elastic-net penalties (FTRL-Proximal), which keeps most weights at exactly
 zero, on a sample of about SAMPLE documents that favours no language; a part
-of it is held back to fit one temperature for the probabilities.
+of it is held back to fit one temperature for the probabilities.  A hash of id
+and text draws it, so that it does not depend on how the rows are split.
 
 Null texts and texts without letters are ``und`` with score 0, and so is every
 text if there is nothing to learn from.  Texts are read whole, however long.
-Repeated rows are predicted each, and drawn each.  Of languages that tie, the
+Repeated rows are predicted each; copies under other ids are drawn each, repeats of
+one row together, and at most twice the sample is taken.  Of languages that tie, the
 first in order is taken.  An empty table gives an empty result.  A kept column
 that is called as a result is gives way to it.  Documents without an id are scored;
 their id counts as the empty text in the fold.  Null languages are not learned.
@@ -184,7 +186,7 @@ def _sparse(batches):
                 f = np.flatnonzero(row)
                 at.append(f)
                 n.append(row[f])
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), batch.column("part"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["lang", "part", "at", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(lang, pa.string()), batch.column("part"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["u", "lang", "part", "at", "n"])
 
 
 def fold(doc_id: str) -> Column:
@@ -206,9 +208,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], idf, np.zeros((DIM + 1, 0)), 1.0)
     each = max(1, sample // len(sizes))
     share = F.create_map(*[x for k, c in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / c)))])
-    # every row is drawn by itself, whatever it shares with others
-    chosen = rows.where(F.rand(11) < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)).cast("int"))
-    found = chosen.select("lang", "part", "text").mapInArrow(_sparse, "lang string, part int, at array<int>, n array<float>").collect()  # about `sample` rows
+    u = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text"), F.lit(1 << 52)) / F.lit(float(1 << 52)) / share[F.col("lang")]
+    part = F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)).cast("int")
+    chosen = rows.select(u.alias("u"), "lang", part.alias("part"), "text").where("u < 1").mapInArrow(_sparse, "u double, lang string, part int, at array<int>, n array<float>")
+    found = chosen.orderBy("u", "lang", "part").limit(2 * max(sample, len(sizes))).collect()  # about `sample` rows
     found.sort(key=lambda r: (r.lang, len(r.at), r.at, r.n))
     langs = sorted(sizes)
     y = np.array([langs.index(r.lang) for r in found], dtype=np.int64)

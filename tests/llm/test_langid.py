@@ -34,3 +34,10 @@ def test_empty(spark):
     assert identify(docs).collect() == []
     one = spark.createDataFrame([(1, "abc", None)], docs.schema)
     assert [tuple(r) for r in identify(one).collect()] == [(1, zlib.crc32(b"1") % 4 == 2, "und", 0.0)]
+
+
+def test_splits_and_order_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang"))
+    a, b = ({tuple(r) for r in identify(d, sample=300).collect()} for d in (docs.coalesce(1), docs.repartition(9, "text")))
+    assert a == b
