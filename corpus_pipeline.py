@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from poolsieve.llm.bpe import read_spec, token_digests
 from poolsieve.llm.components import cut
@@ -45,8 +46,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = minhash_dedup(named).where("NOT kept").select("doc_id")
         return named.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
-    # ordered as the ids are, then by text
-    key = F.concat(F.lpad((F.expr("cast(doc_id AS decimal(20,0)) + 9223372036854775808BD")).cast("string"), 20, "0"), F.coalesce(F.sha2("text", 256), F.lit("")))
+    # ordered as the ids are, then by text; ids that are no whole numbers are ordered as text
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    place = F.lpad(F.expr("cast(doc_id AS decimal(20,0)) + 9223372036854775808BD").cast("string"), 20, "0") if whole else F.concat(F.col("doc_id").cast("string"), F.lit("\0"))
+    key = F.concat(place, F.coalesce(F.sha2("text", 256), F.lit("")))
     keyed = _whole(named).withColumn("__key", key)
     gone = minhash_dedup(keyed, "__key").where("NOT kept").select(F.col("doc_id").alias("__key")).distinct()
     left = keyed.join(gone, "__key", "left_anti").groupBy("__key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
