@@ -95,3 +95,11 @@ def test_stages_against_brute_force(spark):
         if not hit or 20 * len(hit) < len(w):
             clean.add(i)
     assert {r.doc_id for r in pipeline.drop_contaminated(spark, docs, SF).collect()} == clean
+
+
+def test_repeated_ids_that_are_no_numbers(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in ("one", "two"))
+    rows = [("doc-b", a), ("doc-b", a), ("doc-b", b), ("doc-a", a + " end"), ("doc-c", "z " * 200_000), ("doc-d", "z " * 200_000), (None, a), ("doc-c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    out = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert out == sorted([("doc-a", a + " end"), ("doc-b", b), ("doc-c", "z " * 200_000), (None, a), ("doc-c", None)], key=str)
