@@ -8,11 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import copy_key
 from poolsieve.operators.draws import buffered
+from poolsieve.operators.id_filter import may_match
 from poolsieve.session import written
 
 
@@ -77,8 +78,13 @@ def worker_plan(shards: DataFrame, workers: int) -> DataFrame:
     return placed.groupBy("worker_id").agg(F.min("shard_id").alias("first_shard"), F.count("*").alias("shards"), F.sum("size").alias("rows"))
 
 
-def multiset_join(samples: DataFrame, subset: DataFrame) -> DataFrame:
-    """Every sample once for each time its id is in the subset, with ``copy`` and ``out_key``."""
+def multiset_join(samples: DataFrame, subset: DataFrame, ids: int | None = None) -> DataFrame:
+    """Every sample once for each time its id is in the subset, with ``copy`` and ``out_key``.
+
+    With ``ids``, the rows of the subset, samples are filtered before they are shuffled.
+    """
+    if ids is not None:
+        samples = may_match(samples, subset, ids)
     times = subset.groupBy("uid").agg(F.count("*").cast("int").alias("times"))
     joined = samples.join(times, "uid")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn("out_key", copy_key(F.col("uid"), F.col("copy"))).drop("times")
@@ -89,18 +95,26 @@ def missing_rows(samples: DataFrame, subset: DataFrame) -> DataFrame:
     return subset.join(samples.select("uid").distinct(), "uid", "left_anti")
 
 
-def with_output_shard(rows: DataFrame, order: list[str], shard_size: int, buffer: int = 0, seed: int = 0) -> DataFrame:
+def missing_count(samples: DataFrame, subset: DataFrame) -> int:
+    """How many rows of the subset have no sample; each side is aggregated before it is shuffled."""
+    times = subset.groupBy("uid").agg(F.count("*").alias("times"))
+    return times.join(samples.select("uid").distinct(), "uid", "left_anti").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+
+
+def with_output_shard(rows: DataFrame, order: list[str], shard_size: int, buffer: int = 0, seed: int = 0, seen: Observation | None = None) -> DataFrame:
     """``out_shard``: without gaps, by position in the global order of ``order``, of which a ``buffer`` moves rows a little.
 
     The rows are range-partitioned and written once, with the partition and the
     position in it; the counts of the partitions, which are one number each, come
     from what was written, so they belong to it whatever the sampled bounds were.
-    Give ids and places only: payloads are joined to the result.
+    Give ids and places only: payloads are joined to the result.  ``seen`` gets
+    the number of rows, ``output_rows``, counted where they are written.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = rows.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     # the partition in the upper bits, the position below
-    placed = written(buffered(ranged, buffer, seed).withColumn("__at", F.monotonically_increasing_id()))
+    moved = buffered(ranged, buffer, seed).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(moved if seen is None else moved.observe(seen, F.count(F.lit(1)).alias("output_rows")))
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     start, starts = 0, []
     for k, n in sorted(placed.groupBy(part.alias("k")).count().collect()):

@@ -159,6 +159,12 @@ def subset_multiset_join(spark, d):
     return reshard.multiset_join(fx.samples(spark, d).drop("doc_id"), fx.subset(spark, d))
 
 
+@query(f"SELECT uid, shard_id, copy, uid || '-' || CAST(copy AS VARCHAR) AS out_key FROM (SELECT uid, shard_id, CAST(unnest(range(times)) AS INT) AS copy FROM samples JOIN ({_TIMES}) USING (uid))", "samples", "subset")
+def subset_filtered_join(spark, d):
+    subset = fx.subset(spark, d)
+    return reshard.multiset_join(fx.samples(spark, d).drop("doc_id"), subset, ids=subset.count())
+
+
 @query("SELECT count(*) AS missing FROM subset ANTI JOIN samples USING (uid)", "samples", "subset")
 def subset_missing_count(spark, d):
     return reshard.missing_rows(fx.samples(spark, d), fx.subset(spark, d)).agg(F.count("*").alias("missing"))

@@ -14,18 +14,19 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import uid_hex
 from poolsieve.operators import reshard
+from poolsieve.operators.id_filter import may_match
 from poolsieve.operators.reshard import ReshardOptions
 from poolsieve.session import written
 from poolsieve.sinks.subset import write_json, write_shard_table, write_tars
 from poolsieve.sources import files
 from poolsieve.sources.boxes import lookup_boxes
 from poolsieve.sources.metadata import list_tars, read_blur_map, read_shard_stats, read_shard_table, read_subset
-from poolsieve.sources.tar import damaged_tars, group_members, read_index, tar_members
+from poolsieve.sources.tar import group_members, read_index, tar_members
 
 #: From the ending and bytes of an image, its boxes and the quality asked for, to the new ending and bytes.
 Codec = Callable[[str, bytes, list, int], tuple[str, bytes]]
@@ -122,28 +123,36 @@ def run(
             raise ValueError(f"{output_dir} is not empty")
         files.clear(output_dir)
     tars = written(reshard.in_range(list_tars(spark, input_dir), options))
-    named = written(read_index(spark, input_dir, first_shard=options.first_shard, num_shards=options.num_shards).withColumn("uid", F.lower("uid")))
-    samples = named.where("damaged IS NULL").select(F.col("shard_name"), "place", "uid")
+    # counters are observed in the passes that write, in their last stage, where a task that runs again counts once
     subset = read_subset(spark, subset_path).select(uid_hex(F.col("uid_bin")).alias("uid"))
-    told = {}
+    counts: dict = {"subset_rows": subset.count()}
+    indexed, ordered = Observation(), Observation()
+    index = read_index(spark, input_dir, first_shard=options.first_shard, num_shards=options.num_shards).withColumn("uid", F.lower("uid"))
+    index = index.observe(indexed, F.count_if(F.col("damaged").isNull()).alias("samples"), F.count_if(F.col("damaged").isNotNull()).alias("damaged_shards"))
+    samples = written(may_match(index.where("damaged IS NULL").select("shard_name", "place", "uid"), subset, counts["subset_rows"]))
+    told = {"damaged_shards": indexed.get["damaged_shards"]}
+    counts["samples"] = indexed.get["samples"]
     chosen = reshard.multiset_join(samples, subset)
     order = ["uid", "copy", "shard_name", "place"]
     if options.shuffle_seed is not None:
         chosen = chosen.withColumn("__order", F.xxhash64("out_key", F.lit(options.shuffle_seed)))
         order = ["__order", "out_key", "shard_name", "place"]
-    placed = reshard.with_output_shard(chosen, order, options.shard_size, options.shuffle_buffer, options.shuffle_seed or 0)
+    placed = reshard.with_output_shard(chosen, order, options.shard_size, options.shuffle_buffer, options.shuffle_seed or 0, ordered)
     if options.blur_map and blur_map_path is not None:
         shard_boxes, told["shards_without_boxes"] = boxes_of(spark, tars, placed, blur_map_path, input_dir)
     sizes = _sizes(spark, input_dir, tars, options)
     expected = sizes.agg(F.sum("size")).first()[0] if sizes is not None else None
-    counts = reshard.reconcile(samples, subset, placed, expected).first().asDict()
-    told |= {"damaged_shards": damaged_tars(named).count()}
+    counts |= {"output_rows": ordered.get["output_rows"], "missing_rows": reshard.missing_count(samples, subset)}
+    counts["consistent"] = counts["subset_rows"] - counts["missing_rows"] == counts["output_rows"]
+    if expected is not None:
+        counts["unprocessed"] = expected - counts["samples"]
     if sizes is not None:
         told["workers"] = [r.asDict() for r in reshard.worker_plan(sizes, options.num_workers).orderBy("worker_id").collect()]
     if shard_boxes is not None:
         boxed = shard_boxes.where(F.size("face_bboxes") > 0).select("shard_name", F.lower("uid").alias("uid"), F.col("face_bboxes").cast("array<array<double>>").alias("boxes")).dropDuplicates(["shard_name", "uid"])
-        placed = placed.join(boxed, ["shard_name", "uid"], "left")
-        told["blurred"] = placed.where("boxes IS NOT NULL").count()
+        with_boxes = Observation()
+        placed = written(placed.join(boxed, ["shard_name", "uid"], "left").observe(with_boxes, F.count("boxes").alias("blurred")))
+        told["blurred"] = with_boxes.get["blurred"]
     else:
         placed = placed.withColumn("boxes", F.lit(None).cast("array<array<double>>"))
     manifest = dataclasses.asdict(options) | counts | told | {"input_dir": input_dir, "subset_file": subset_path, "output_shard_format": options.shard_format}
