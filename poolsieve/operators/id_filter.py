@@ -7,8 +7,8 @@ one in a hundred gets through at PER_WORD ids a word, and none of the right ones
 is lost, so a join afterwards gives equal results.
 
 The number of words follows from the number of ids.  Beyond MAX_WORDS the words
-hold more ids each, up to MOST ids; with still more, where a filter would let
-nearly all through, rows pass as they are.
+hold more ids each, up to MOST ids, at which about a tenth of other ids get
+through; with still more, rows pass as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ BITS = 4
 PER_WORD = 4
 #: Of which the broadcast table has about 40 bytes each.
 MAX_WORDS = 1 << 21
-#: Ids in a word beyond which most of other ids would pass.
+#: Ids in a word beyond which the filter is left out.
 MOST = 12
 
 
