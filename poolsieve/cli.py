@@ -32,27 +32,29 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--targets", help="Parquet with centroid_id")
 
     p = sub.add_parser("reshard", help="write the samples of a subset as new shards")
-    p.add_argument("--input-dir", required=True)
-    p.add_argument("--output-dir", required=True)
-    p.add_argument("--subset-file", required=True)
+    p.add_argument("-i", "--input-dir", required=True)
+    p.add_argument("-o", "--output-dir", required=True)
+    p.add_argument("-s", "--subset-file", required=True)
     p.add_argument("--shard-size", type=int, default=ReshardOptions.shard_size)
-    p.add_argument("--shard-format", default=ReshardOptions.shard_format)
+    p.add_argument("--shard-format", dest="input_format", help="names of the input's tars, as {:08d}.tar; without it, all that end in a number")
+    p.add_argument("--shard-stats-format", dest="input_stats_format", help="names of their stats, as {:08d}_stats.json")
+    p.add_argument("--output-shard-format", dest="shard_format", default=ReshardOptions.shard_format)
+    p.add_argument("--output-shard-stats-format", "--stats-format", dest="stats_format", default=ReshardOptions.stats_format, help="from a shard's number, as {:08d}_stats.json, or by {} from its name without .tar")
     p.add_argument("--first-shard", type=int, default=0)
-    p.add_argument("--num-shards", type=int)
+    p.add_argument("-n", "--num-shards", type=int)
     p.add_argument("--shuffle-seed", type=int, help="a random order of all samples")
-    p.add_argument("--shuffle-buffer", type=int, default=ReshardOptions.shuffle_buffer, help="rows that a partition's order is shuffled within; 0 leaves the order")
-    p.add_argument("--num-workers", type=int, default=ReshardOptions.num_workers)
+    p.add_argument("--shuffle-buffer", "--shuffle-bufsize", type=int, default=ReshardOptions.shuffle_buffer, help="rows that a partition's order is shuffled within; 0 leaves the order")
+    p.add_argument("-j", "--num-workers", type=int, help="tasks that read contiguous ranges of tars; without it, one for each tar")
     p.add_argument("--max-bytes", type=int, default=ReshardOptions.max_bytes)
-    p.add_argument("--stats-format", default=ReshardOptions.stats_format, help="name of a shard's stats, from its name without .tar")
     p.add_argument("--shard-table", help="JSON of shard sizes")
     p.add_argument("--write-shard-table", action="store_true")
-    p.add_argument("--blur-map", help="JSON of box tables and their shards")
+    p.add_argument("--blur-map", "--blur-metadata-map", help="JSON of box tables and their shards")
     p.add_argument("--apply-blur", action="store_true", help="by the codec of --codec")
-    p.add_argument("--inject-blur", action="store_true")
-    p.add_argument("--webp-quality", type=int, default=ReshardOptions.webp_quality)
+    p.add_argument("--inject-blur", "--inject-blur-metadata", action="store_true")
+    p.add_argument("--webp-quality", "--reencode-webp-quality", type=int, default=ReshardOptions.webp_quality)
     p.add_argument("--codec", help="module:function that blurs an image")
-    p.add_argument("--verbose", action="store_true")
-    p.add_argument("--quiet", action="store_true")
+    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("-q", "--quiet", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--overwrite", action="store_true")
 

@@ -15,6 +15,7 @@ from poolsieve.functions.uid import copy_key
 from poolsieve.operators.draws import buffered
 from poolsieve.operators.id_filter import may_match
 from poolsieve.session import written
+from poolsieve.sources.names import number_regex
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,15 @@ class ReshardOptions:
     max_bytes: int = 3_000_000_000
     shard_format: str = "{:08d}.tar"
     stats_format: str = "{}_stats.json"
+    #: Names of the input; None takes every tar whose name ends in a number.
+    input_format: str | None = None
+    input_stats_format: str | None = None
     shard_table: str | None = None
     write_shard_table: bool = False
     first_shard: int = 0
     num_shards: int | None = None
-    num_workers: int = 1
+    #: Tasks that read tars, each a contiguous range of them; None deals single tars.
+    num_workers: int | None = None
     shuffle_seed: int | None = None
     shuffle_buffer: int = 0
     apply_blur: bool = False
@@ -40,10 +45,13 @@ class ReshardOptions:
     def check(self) -> None:
         if (self.apply_blur or self.inject_blur) and not self.blur_map:
             raise ValueError("blurring needs a blur map")
-        if self.shard_size < 1 or self.num_workers < 1:
+        if self.shard_size < 1 or (self.num_workers is not None and self.num_workers < 1):
             raise ValueError("shard size and number of workers must be positive")
         if self.shuffle_buffer < 0:
             raise ValueError("a buffer has no negative size")
+        for form in (self.shard_format, self.input_format, self.input_stats_format):
+            if form is not None:
+                number_regex(form)
 
 
 def shard_sizes(tars: DataFrame, stats: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -66,16 +74,20 @@ def shard_offsets(shards: DataFrame) -> DataFrame:
     return shards.withColumn("data_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
 
 
-def worker_plan(shards: DataFrame, workers: int) -> DataFrame:
-    """Contiguous ranges of shards of about equal size; workers without shards are left out.
+def with_worker(shards: DataFrame, workers: int) -> DataFrame:
+    """``worker_id`` and ``data_start`` of every shard.
 
     Cuts are at every ``ceil(total / workers)`` samples below the total.
     """
     total, n = shards.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     each = max(1, -(-total // max(1, min(workers, n))))
     last = max(-(-total // each) - 1, 0)
-    placed = shard_offsets(shards).withColumn("worker_id", F.least(F.floor(F.col("data_start") / each), F.lit(last)))
-    return placed.groupBy("worker_id").agg(F.min("shard_id").alias("first_shard"), F.count("*").alias("shards"), F.sum("size").alias("rows"))
+    return shard_offsets(shards).withColumn("worker_id", F.least(F.floor(F.col("data_start") / each), F.lit(last)))
+
+
+def worker_plan(shards: DataFrame, workers: int) -> DataFrame:
+    """Contiguous ranges of shards of about equal size; workers without shards are left out."""
+    return with_worker(shards, workers).groupBy("worker_id").agg(F.min("shard_id").alias("first_shard"), F.count("*").alias("shards"), F.sum("size").alias("rows"))
 
 
 def multiset_join(samples: DataFrame, subset: DataFrame, ids: int | None = None) -> DataFrame:

@@ -37,6 +37,29 @@ def scale_config(spark, scale: str) -> dict:
     return scales(spark).where(F.col("scale") == scale).first().asDict()
 
 
+def training_record(spark, scale: str, checkpoint: str, data_dir: str) -> dict:
+    """What a training run tells of itself, for evaluation and submission; ``write_json`` writes it."""
+    return {"scale": scale, "checkpoint": checkpoint, "scale_config": scale_config(spark, scale), "data_dir": data_dir}
+
+
+def record_path(checkpoint: str) -> str:
+    """The place of a run's record: two folders above its checkpoint."""
+    parts = checkpoint.split("/")
+    if len(parts) < 3:
+        raise ValueError(f"{checkpoint} is in no run's folder")
+    return "/".join([*parts[:-2], "info.json"])
+
+
+def text_table(table: DataFrame, most: int = 1000) -> str:
+    """A small report as aligned text, in order of its first column; longer ones are an error."""
+    rows = table.orderBy(table.columns[0]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
+    cells = [table.columns, *[["" if v is None else str(v) for v in r] for r in rows]]
+    widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in cells)
+
+
 def derived(scale_rows: DataFrame, world_size: int, accumulation: int, checkpoints: int) -> DataFrame:
     """Batch of one worker, and samples between checkpoints."""
     per = F.floor(F.col("batch_size") / (world_size * accumulation)).cast("long")

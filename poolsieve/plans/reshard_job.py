@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 import tarfile
 import time
 from collections.abc import Callable
@@ -26,6 +27,7 @@ from poolsieve.sinks.subset import write_json, write_shard_table, write_tars
 from poolsieve.sources import files
 from poolsieve.sources.boxes import lookup_boxes
 from poolsieve.sources.metadata import list_tars, read_blur_map, read_shard_stats, read_shard_table, read_subset
+from poolsieve.sources.names import name_glob, number_regex
 from poolsieve.sources.tar import group_members, read_index, tar_members
 
 #: From the ending and bytes of an image, its boxes and the quality asked for, to the new ending and bytes.
@@ -122,12 +124,13 @@ def run(
         if not options.overwrite:
             raise ValueError(f"{output_dir} is not empty")
         files.clear(output_dir)
-    tars = written(reshard.in_range(list_tars(spark, input_dir), options))
+    tars = written(reshard.in_range(list_tars(spark, input_dir, options.input_format), options))
     # counters are observed in the passes that write, in their last stage, where a task that runs again counts once
     subset = read_subset(spark, subset_path).select(uid_hex(F.col("uid_bin")).alias("uid"))
     counts: dict = {"subset_rows": subset.count()}
     indexed, ordered = Observation(), Observation()
-    index = read_index(spark, input_dir, first_shard=options.first_shard, num_shards=options.num_shards).withColumn("uid", F.lower("uid"))
+    pattern = "*.tar" if options.input_format is None else name_glob(options.input_format)
+    index = read_index(spark, input_dir, pattern, options.first_shard, options.num_shards, name_format=options.input_format).withColumn("uid", F.lower("uid"))
     index = index.observe(indexed, F.count_if(F.col("damaged").isNull()).alias("samples"), F.count_if(F.col("damaged").isNotNull()).alias("damaged_shards"))
     samples = written(may_match(index.where("damaged IS NULL").select("shard_name", "place", "uid"), subset, counts["subset_rows"]))
     told = {"damaged_shards": indexed.get["damaged_shards"]}
@@ -146,7 +149,7 @@ def run(
     counts["consistent"] = counts["subset_rows"] - counts["missing_rows"] == counts["output_rows"]
     if expected is not None:
         counts["unprocessed"] = expected - counts["samples"]
-    if sizes is not None:
+    if sizes is not None and options.num_workers is not None:
         told["workers"] = [r.asDict() for r in reshard.worker_plan(sizes, options.num_workers).orderBy("worker_id").collect()]
     if shard_boxes is not None:
         boxed = shard_boxes.where(F.size("face_bboxes") > 0).select("shard_name", F.lower("uid").alias("uid"), F.col("face_bboxes").cast("array<array<double>>").alias("boxes")).dropDuplicates(["shard_name", "uid"])
@@ -159,8 +162,8 @@ def run(
     if not options.dry_run:
         # at most the copies that one tar's samples have
         wanted = placed.groupBy("shard_name").agg(F.collect_list(F.struct("place", "out_shard", "out_key", "boxes")).cast(_WANTED).alias("wanted"))
-        work = tars.select("path", F.col("name").alias("shard_name")).join(wanted, "shard_name").select("path", "wanted")
-        rows = work.repartition(max(1, min(work.count(), 100_000))).mapInArrow(_payload(options, codec), "out_shard long, out_key string, fields map<string,binary>, failed string")
+        work = tars.select("shard_id", "path", F.col("name").alias("shard_name")).join(wanted, "shard_name").select("shard_id", "path", "wanted")
+        rows = _dealt(work, sizes, options.num_workers).mapInArrow(_payload(options, codec), "out_shard long, out_key string, fields map<string,binary>, failed string")
         done = write_tars(rows, output_dir, options.shard_format, options.max_bytes, options.stats_format)
         manifest |= {f"output_{k}": v or 0 for k, v in done.agg(F.count("*").alias("shard_count"), F.sum("successes").alias("count")).first().asDict().items()}
         manifest["failed_rows"] = manifest["output_rows"] - manifest["output_count"]
@@ -172,9 +175,24 @@ def run(
     return manifest
 
 
+def _dealt(work: DataFrame, sizes: DataFrame | None, workers: int | None) -> DataFrame:
+    """``path, wanted`` by the tasks that read them: single tars, or a contiguous range of them, in order, for each of ``workers``.
+
+    Ranges have about as many samples each; a tar without a size goes by its number.
+    """
+    if workers is None:
+        return work.select("path", "wanted").repartition(max(1, min(work.count(), 100_000)))
+    worker = F.pmod("shard_id", F.lit(workers))
+    if sizes is not None:
+        work = work.join(reshard.with_worker(sizes, workers).select("shard_id", "worker_id"), "shard_id", "left")
+        worker = F.coalesce("worker_id", worker)
+    return work.repartitionById(workers, worker.cast("int")).sortWithinPartitions("shard_id").select("path", "wanted")
+
+
 def _sizes(spark: SparkSession, input_dir: str, tars: DataFrame, options: ReshardOptions) -> DataFrame | None:
     """``shard_id, size`` as the table or the stats tell; None where neither is there."""
     table = read_shard_table(spark, options.shard_table) if options.shard_table and files.size(options.shard_table) is not None else None
-    if files.names(input_dir, "_stats.json"):
-        return reshard.shard_sizes(tars, read_shard_stats(spark, input_dir), table)
+    form = options.input_stats_format
+    if any(form is None or re.search(number_regex(form), n) for n in files.names(input_dir, "_stats.json" if form is None else "")):
+        return reshard.shard_sizes(tars, read_shard_stats(spark, input_dir, form), table)
     return None if table is None else tars.join(table.select("shard_id", "size"), "shard_id").select("shard_id", "size")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import time
 
 from pyarrow import fs
 
@@ -30,13 +31,20 @@ def open_input(path: str):
     return system.open_input_file(inner)
 
 
-def open_output(path: str):
-    """A file to write to; its folder is made."""
+def open_output(path: str, make_folder: bool = True):
+    """A file to write to; its folder is made, or must be there."""
     system, inner = resolve(path)
-    system.create_dir(posixpath.dirname(inner) or ".", recursive=True)
+    if make_folder:
+        system.create_dir(posixpath.dirname(inner) or ".", recursive=True)
     return system.open_output_stream(inner)
 
 
+def make(folder: str) -> str:
+    system, inner = resolve(folder)
+    system.create_dir(inner, recursive=True)
+    return folder
+
+
 def move(source: str, target: str) -> None:
     system, inner = resolve(source)
     system.move(inner, resolve(target)[1])
@@ -110,5 +118,12 @@ def is_empty(folder: str) -> bool:
 
 def remove(folder: str, missing_ok: bool = False) -> None:
     system, inner = resolve(folder)
-    if not missing_ok or system.get_file_info(inner).type == fs.FileType.Directory:
-        system.delete_dir(inner)
+    for again in range(5):
+        if missing_ok and system.get_file_info(inner).type != fs.FileType.Directory:
+            return
+        try:
+            return system.delete_dir(inner)
+        except OSError:  # a task that is not yet stopped has just opened a file there
+            if again == 4:
+                raise
+            time.sleep(0.2)

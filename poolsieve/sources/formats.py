@@ -51,6 +51,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from poolsieve.sources import files
+from poolsieve.sources.names import number_regex, stats_name
 from poolsieve.sources.tar import group_members, sample_uid, tar_members
 
 #: Bytes of a file that one task reads.
@@ -194,15 +195,17 @@ class TarReader(_Reader):
     Every task walks the headers from the tar's beginning, as only they tell where
     samples begin, and reads the contents of samples that begin in its part.  A
     compressed tar is one task's.  The options ``first_shard`` and ``num_shards`` leave
-    out tars by the numbers of their names.
+    out tars by the numbers of their names; with ``name_format`` (as ``part-{:05d}.tar``)
+    names of another form are left out too.
     """
 
     EXACT = ("shard_name", "key", "uid")
 
     def file_passes(self, name: str) -> bool:
         first, n = int(self.options.get("first_shard", 0)), self.options.get("num_shards")
-        number = re.search(r"(\d+)\.tar$", name)
-        if (first or n is not None) and number is None:
+        form = self.options.get("name_format")
+        number = re.search(r"(\d+)\.tar$" if form is None else number_regex(form), name)
+        if (first or n is not None or form is not None) and number is None:
             return False
         inside = number is None or first <= int(number[1]) < (first + int(n) if n is not None else int(number[1]) + 1)
         return inside and self.passes("shard_name", name)
@@ -303,7 +306,8 @@ class TarWriter(DataSourceArrowWriter):
     Tasks write to a folder of the job's own below the target, under names of their
     own.  The commit numbers what the successful tasks wrote, without gaps, moves it
     and deletes the job's folder with all that failed tasks left there; an abort
-    deletes that folder only.
+    deletes that folder only.  The driver makes the folder, so that a task which
+    outlives an abort finds none and leaves nothing.
     """
 
     path: str
@@ -339,7 +343,7 @@ class TarWriter(DataSourceArrowWriter):
                     tar = None
                 if tar is None:
                     shard, count, size, name = to, 0, 0, uuid.uuid4().hex
-                    out = files.open_output(files.join(self.temporary, name))
+                    out = files.open_output(files.join(self.temporary, name), make_folder=False)
                     tar = tarfile.open(fileobj=out, mode="w|")
                 for ending, data in fields:
                     info = tarfile.TarInfo(f"{key}.{ending}")
@@ -361,7 +365,7 @@ class TarWriter(DataSourceArrowWriter):
             k, (_, _, temp, count) = numbered
             name = self.pattern.format(k)
             files.move(files.join(self.temporary, temp), files.join(self.path, name))
-            with files.open_output(files.join(self.path, self.stats.format(name.removesuffix(".tar")))) as f:
+            with files.open_output(files.join(self.path, stats_name(self.stats, name, k))) as f:
                 f.write(json.dumps({"successes": count}).encode())
             return json.dumps({"name": name, "successes": count})
 
@@ -390,7 +394,9 @@ class TarSource(_Source):
         if {*schema.names} != {"out_shard", "out_key", "fields"}:
             raise ValueError("tars are written from out_shard, out_key and fields")
         o = self.options
-        return TarWriter(o["path"], o.get("shard_format", "{:08d}.tar"), o.get("stats_format", "{}_stats.json"), int(o.get("max_bytes", 3_000_000_000)), overwrite, schema.names, o.get("manifest"))
+        out = TarWriter(o["path"], o.get("shard_format", "{:08d}.tar"), o.get("stats_format", "{}_stats.json"), int(o.get("max_bytes", 3_000_000_000)), overwrite, schema.names, o.get("manifest"))
+        files.make(out.temporary)
+        return out
 
 
 # matrices
@@ -510,7 +516,7 @@ class NpySource(_Source):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         if schema.names != ["uid_bin"]:
             raise ValueError("ids are written from uid_bin alone")
-        return PartWriter(self.options["path"])
+        return PartWriter(files.make(self.options["path"]))
 
 
 @dataclass
@@ -534,7 +540,7 @@ class PartWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         name, ids = uuid.uuid4().hex, 0
-        with files.open_output(files.join(self.path, name)) as out:
+        with files.open_output(files.join(self.path, name), make_folder=False) as out:
             for batch in iterator:
                 out.write(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype("<u8").tobytes())
                 ids += batch.num_rows

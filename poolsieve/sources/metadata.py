@@ -12,6 +12,7 @@ from poolsieve.functions.uid import padded_uid_bin, uid_hex
 from poolsieve.schemas import RESULTS, TASKS
 from poolsieve.sources import files
 from poolsieve.sources.formats import SPLIT_BYTES, register
+from poolsieve.sources.names import name_glob, number_regex
 
 
 def read_pool(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -61,16 +62,28 @@ def _shard_id(path):
     return F.regexp_extract(path, r"(\d+)(_stats\.json|\.tar)$", 1).cast("long")
 
 
-def read_shard_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard_id, successes`` of ``*_stats.json`` files."""
-    files = spark.read.schema("successes long").option("multiLine", True).option("pathGlobFilter", "*_stats.json").json(folder)
-    return files.select(_shard_id(F.col("_metadata.file_path")).alias("shard_id"), "successes").where("successes IS NOT NULL")
+def _numbered(path: Column, pattern: str | None) -> Column:
+    """The number in a file's name; null if the name is none of ``pattern``'s."""
+    if pattern is None:
+        return _shard_id(path)
+    number = F.regexp_extract(F.element_at(F.split(path, "/"), -1), number_regex(pattern), 1)
+    return F.when(number != "", number.cast("long"))
 
 
-def list_tars(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard_id, name, bytes, path`` of the tar files; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("path", "length")
-    return files.select(_shard_id(F.col("path")).alias("shard_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "path")
+def read_shard_stats(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """``shard_id, successes`` of ``*_stats.json`` files, or of those with names of ``pattern``."""
+    glob = "*_stats.json" if pattern is None else name_glob(pattern)
+    files = spark.read.schema("successes long").option("multiLine", True).option("pathGlobFilter", glob).json(folder)
+    found = files.select(_numbered(F.col("_metadata.file_path"), pattern).alias("shard_id"), "successes").where("successes IS NOT NULL")
+    return found if pattern is None else found.where("shard_id IS NOT NULL")
+
+
+def list_tars(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """``shard_id, name, bytes, path`` of the tar files, or of those with names of ``pattern``; contents are not read."""
+    glob = "*.tar" if pattern is None else name_glob(pattern)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length")
+    found = files.select(_numbered(F.col("path"), pattern).alias("shard_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "path")
+    return found if pattern is None else found.where("shard_id IS NOT NULL")
 
 
 def shard_count(tars: DataFrame) -> int:

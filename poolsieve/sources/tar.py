@@ -66,15 +66,18 @@ def sample_uid(fields: dict[str, bytes]) -> str | None:
 INDEX = "shard_name string, place long, key string, uid string, damaged string"
 
 
-def read_index(spark: SparkSession, folder: str, pattern: str = "*.tar", first_shard: int = 0, num_shards: int | None = None, split: int | None = None) -> DataFrame:
+def read_index(spark: SparkSession, folder: str, pattern: str = "*.tar", first_shard: int = 0, num_shards: int | None = None, split: int | None = None, name_format: str | None = None) -> DataFrame:
     """``shard_name, place, key, uid, damaged`` of the samples of all tars; only headers and JSON members are read.
 
+    With ``name_format``, as ``part-{:05d}.tar``, only of tars with such names.
+
     A damaged tar gives the samples before the damage, and a row without a key
     that says what is wrong.
     """
     from poolsieve.sources.formats import register
 
-    options = {"pattern": pattern, "first_shard": first_shard} | ({} if num_shards is None else {"num_shards": num_shards}) | ({} if split is None else {"split": split})
+    given = {"num_shards": num_shards, "split": split, "name_format": name_format}
+    options = {"pattern": pattern, "first_shard": first_shard} | {k: v for k, v in given.items() if v is not None}
     return register(spark).read.format("pool_tar").schema(INDEX).options(**options).load(folder)
 
 

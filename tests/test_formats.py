@@ -9,12 +9,14 @@ import sys
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolsieve.sinks.subset import write_npy, write_tars
 from poolsieve.sources import files
-from poolsieve.sources.formats import register
+from poolsieve.sources.formats import NpySource, TarSource, register
 from poolsieve.sources.tar import group_members, read_index, read_samples, tar_members
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -152,6 +154,23 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == ["out"]
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path):
+    out = str(tmp_path / "out")
+    schema = T.StructType([T.StructField("out_shard", T.LongType()), T.StructField("out_key", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.BinaryType()))])
+    rows = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["k"]), pa.array([[("txt", b"x")]], pa.map_(pa.string(), pa.binary()))], schema.names)
+    writer = TarSource({"path": out}).writer(schema, False)
+    assert [s[3] for s in writer.write(iter([rows])).shards] == [1]
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([rows]))
+    assert os.listdir(out) == []
+    parts = NpySource({"path": out + "/parts"}).writer(T.StructType([T.StructField("uid_bin", T.BinaryType())]), False)
+    parts.abort([])
+    with pytest.raises(OSError):
+        parts.write(iter([pa.RecordBatch.from_arrays([pa.array([bytes(16)])], ["uid_bin"])]))
+    assert os.listdir(out) == []
+
+
 RETRIED = """
 import os, sys
 sys.path.insert(0, {repo!r})
@@ -176,7 +195,7 @@ n = 300
 rows = spark.range(n).select(F.expr("id div 50").alias("out_shard"), F.col("id").cast("string").alias("out_key"), F.create_map(F.lit("txt"), F.col("id").cast("string").cast("binary")).alias("fields"))
 dealt = rows.repartition(2, "out_shard").sortWithinPartitions("out_shard")
 dealt.write  # a narrow task that reads, dies and is run again
-from poolsieve.sources.formats import register
+from poolsieve.sources.formats import NpySource, TarSource, register
 register(spark)
 dealt.mapInArrow(first_time({folder!r} + "/died"), dealt.schema).write.format("pool_tar").mode("append").save({folder!r} + "/out")
 ids = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).substr(1, 32).alias("uid")).repartition(2)

@@ -1,6 +1,8 @@
 import bisect
+import fnmatch
 import io
 import json
+import re
 import tarfile
 
 import numpy as np
@@ -9,12 +11,14 @@ from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from poolsieve.functions.lang import model_detector
+from poolsieve import cli
+from poolsieve.functions.lang import first_bytes, model_detector
 from poolsieve.functions.uid import uid_hex
 from poolsieve.operators import draws, metrics, reshard, rollup
-from poolsieve.plans.reshard_job import run
+from poolsieve.plans.reshard_job import _dealt, run
 from poolsieve.sinks.subset import append_results, write_json, write_npy, write_table, write_tars
 from poolsieve.sources import metadata as md
+from poolsieve.sources.names import name_glob, number_regex, stats_name
 from poolsieve.sources.tar import group_members, read_samples
 from poolsieve.streaming.filters import select_uids_stream, stream_pool
 
@@ -300,6 +304,82 @@ def test_damage_is_told_and_workers_planned(spark, tmp_path):
     assert md.shard_spec(f"{tmp_path}/out::x/y.tar::{tmp_path}/in") == f"{tmp_path}/out/{{00000000..0000000{done['output_shard_count'] - 1}}}.tar::x/y.tar::{tmp_path}/in/{{00000000..00000001}}.tar"
 
 
+@QUICK
+@given(number=st.integers(0, 10**6), width=st.integers(0, 7), before=st.text("ab-.[{*", max_size=4), behind=st.sampled_from([".tar", "-x.tar", "{y}.tar"]))
+def test_names_of_numbered_files(number, width, before, behind):
+    double = lambda t: t.replace("{", "{{").replace("}", "}}")
+    form = double(before) + (f"{{:0{width}d}}" if width else "{}") + double(behind)
+    name = form.format(number)
+    assert int(re.search(number_regex(form), name)[1]) == number and fnmatch.fnmatch(name, name_glob(form))
+    for other in ("0" + name, name + "x", before + f"{number:0{width + 7}d}x" + behind, before + "0" + f"{number:0{max(width, 1)}d}" + behind):
+        assert re.search(number_regex(form), other) is None or form.format(int(re.search(number_regex(form), other)[1])) == other
+    for wrong in ("x.tar", "{}-{}.tar", "{:>8}.tar", "{:8.2f}.tar"):
+        with pytest.raises(ValueError):
+            number_regex(wrong)
+
+
+def test_job_by_named_shards_and_worker_ranges(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    uids = [f"{i:032x}" for i in range(24)]
+    for shard in range(6):
+        samples = [(f"k{u[-4:]}", {"json": json.dumps({"uid": u}).encode()}) for u in uids[shard * 4 : shard * 4 + 4]]
+        write_tar(tmp_path / "in" / f"part-{shard:03d}-a.tar", samples)
+        (tmp_path / "in" / f"count-{shard:03d}.json").write_text('{"successes": 4}')
+        write_tar(tmp_path / "in" / f"{shard:08d}.tar", samples)  # of another form
+    (tmp_path / "in" / "count-x.json").write_text('{"successes": 99}')
+    write_npy(spark.createDataFrame([(u,) for u in uids], "uid string"), str(tmp_path / "s.npy"))
+    argv = ["reshard", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "-s", str(tmp_path / "s.npy"), "--shard-format", "part-{:03d}-a.tar", "--shard-stats-format", "count-{:03d}.json"]
+    argv += ["--output-shard-format", "o{:04d}.tar", "--output-shard-stats-format", "n{:06d}.json", "--shard-size", "10", "-j", "4", "-q", "--first-shard", "1", "-n", "4"]
+    assert cli.main(argv) == 0
+    made = {p.name for p in (tmp_path / "out").iterdir() if p.name[0] in "on"}
+    assert made == {"o0000.tar", "o0001.tar", "n000000.json", "n000001.json"}
+    assert sorted(r.uid for r in read_samples(spark, str(tmp_path / "out")).collect()) == uids[4:20]
+    meta = json.loads((tmp_path / "out" / "meta.json").read_text())
+    assert meta["unprocessed"] == 0 and [(w["first_shard"], w["shards"]) for w in meta["workers"]] == [(k, 1) for k in range(1, 5)]
+    with pytest.raises(ValueError):
+        reshard.ReshardOptions(input_format="x.tar").check()
+    assert stats_name("{}_stats.json", "a.tar", 3) == "a_stats.json" and stats_name("{:04d}.json", "a.tar", 3) == "0003.json"
+
+
+@pytest.mark.parametrize("workers", [1, 3, 40])
+def test_workers_read_contiguous_ranges(spark, workers):
+    sizes = [(k, (k * 7) % 5 + 1) for k in range(30)]
+    work = spark.createDataFrame([(k, str(k), [k]) for k in range(32)], "shard_id long, path string, wanted array<long>").repartition(7)
+    dealt = _dealt(work, spark.createDataFrame(sizes, "shard_id long, size long"), workers)
+    assert dealt.rdd.getNumPartitions() == workers
+    parts = [[int(r.path) for r in part] for part in dealt.rdd.glom().collect()]
+    plan = {p.worker_id: (p.first_shard, p.shards) for p in reshard.worker_plan(spark.createDataFrame(sizes, "shard_id long, size long"), workers).collect()}
+    assert sorted(x for p in parts for x in p) == list(range(32))
+    for k, part in enumerate(parts):
+        first, n = plan.get(k, (0, 0))
+        assert [x for x in part if x < 30] == list(range(first, first + n)) and part == sorted(part)
+    single = _dealt(work, None, None)
+    assert sorted(int(r.path) for r in single.collect()) == list(range(32))
+
+
+def test_bounds_of_a_detector(spark):
+    assert [first_bytes("aéz", n) for n in range(5)] == ["", "a", "a", "aé", "aéz"]
+    detect = model_detector(lambda: lambda texts: [str(len(t.encode())) for t in texts], least_bytes=2, most_bytes=1000)
+    rows = [("é" * 700,), ("x",), ("xy",), (None,), ("a" + "é" * 700,), ("",)]
+    got = [r.l for r in spark.createDataFrame(rows, "t string").coalesce(1).select(detect(F.col("t")).alias("l")).collect()]
+    assert got == ["1000", None, "2", None, "999", None]
+
+
+def test_training_record_and_text_table(spark, tmp_path):
+    record = rollup.training_record(spark, "small", "runs/a/checkpoints/epoch_1.pt", "data")
+    write_json(f"{tmp_path}/info.json", record)
+    assert json.loads((tmp_path / "info.json").read_text())["scale_config"]["train_num_samples"] == 12_800_000
+    assert rollup.record_path("runs/a/checkpoints/epoch_1.pt") == "runs/a/info.json"
+    with pytest.raises(ValueError):
+        rollup.record_path("epoch_1.pt")
+    with pytest.raises(ValueError):
+        rollup.training_record(spark, "none", "a/b/c", "d")
+    table = spark.createDataFrame([("b", 1.5), ("a", None)], "label string, score double")
+    assert rollup.text_table(table) == "label  score\na\nb      1.5"
+    with pytest.raises(ValueError):
+        rollup.text_table(table, most=1)
+
+
 def test_order_of_results(spark, tmp_path):
     line = lambda v: spark.createDataFrame([("k", "D", {"acc1": v})], "key string, dataset string, metrics map<string,double>")
     for v in (0.1, 0.9, 0.4):
