@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolsieve.functions.uid import padded_uid_bin, uid_hex
 from poolsieve.schemas import RESULTS, TASKS
+from poolsieve.session import written
 from poolsieve.sources import files
 from poolsieve.sources.formats import SPLIT_BYTES, register
 from poolsieve.sources.names import name_glob, number_regex
@@ -119,17 +120,34 @@ def read_boxes(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(name.alias("parquet"), uid_hex(padded_uid_bin(F.col("uid"))).alias("uid"), "face_bboxes")
 
 
+#: Bytes of result lines that one task orders.
+RESULT_BYTES = 32 << 20
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result lines with their numbers, whatever metrics they name.
 
     Lines are numbered in the order of writing: by the time that their run wrote
-    them, else that of their file, then by their place.
+    them, else that of their file, then by their place.  They are range-partitioned
+    by that order and written once, with their places in the partitions, to which the
+    counts of the partitions before, one number each, are added.
     """
     rows = spark.read.schema(f"{RESULTS}, written_at long, written_place long").json(path)
     file = F.unix_micros("_metadata.file_modification_time") * 1000
     rows = rows.select("*", F.coalesce("written_at", file).alias("__at"), F.col("_metadata.file_path").alias("__file"), F.coalesce("written_place", F.monotonically_increasing_id()).alias("__place"))
-    line = F.row_number().over(Window.orderBy("__at", F.when(F.col("written_at").isNull(), F.col("__file")), "__place")) - 1  # a few lines for each task
-    rows = rows.withColumn("line_no", line.cast("long")).drop("written_at", "written_place", "__at", "__file", "__place")
+    order = [F.col("__at"), F.when(F.col("written_at").isNull(), F.col("__file")), F.col("__place")]
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # contents are not read
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RESULT_BYTES))
+    # the partition in the upper bits, the place in it below
+    placed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__line", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__line", 33), F.col("__line").bitwiseAND(F.lit((1 << 33) - 1))
+    start, starts = 0, []
+    for k, n in sorted(placed.groupBy(part.alias("k")).count().collect()):
+        starts.append((k, start))
+        start += n
+    table = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))
+    rows = placed.withColumn("__part", part).join(table, "__part").withColumn("line_no", F.col("__start") + place)
+    rows = rows.drop("written_at", "written_place", "__at", "__file", "__place", "__part", "__start", "__line")
     return rows.withColumn("main_metric", F.element_at("metrics", F.lit("main_metric")))
 
 

@@ -393,6 +393,17 @@ def test_order_of_results(spark, tmp_path):
         rollup.check_submission({"method_name": "m", "author": ""})
 
 
+def test_result_lines_are_numbered_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(md, "RESULT_BYTES", 4000)
+    for run_no in range(3):
+        append_results(spark.range(500, numPartitions=3).selectExpr("'k' AS key", "'D' AS dataset", f"map('acc1', cast({500 * run_no} + id AS double)) AS metrics"), str(tmp_path / "r"))
+    rows = md.read_results(spark, str(tmp_path / "r"))
+    assert sorted((r.line_no, r.metrics["acc1"]) for r in rows.collect()) == [(k, float(k)) for k in range(1500)]
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1 and "Window" not in rows._jdf.queryExecution().toString()
+    (tmp_path / "none").mkdir()
+    assert md.read_results(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_samples_of_files(spark):
     rows = spark.createDataFrame([(f, k) for f, n in (("a", 10), ("b", 3), ("c", 1)) for k in range(n)], "file_root string, row_index long")
     got = {r.file_root: r["count"] for r in draws.sample_per_file(rows, 0.5).groupBy("file_root").count().collect()}
