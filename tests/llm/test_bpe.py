@@ -1,7 +1,9 @@
 import hashlib
 import json
 import random
+import sys
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,80 @@ def test_documents(spark):
     assert bpe_encode(docs, SPEC).columns == ["doc_id", "text", "n_tokens", "token_ids"]
     twice = bpe_decode(bpe_encode(docs, SPEC, decoded="one"), SPEC, out="two")
     assert twice.where("one IS DISTINCT FROM two").count() == 0
+
+
+def test_words_are_walked_together():
+    """The steps of Python for a text of many words are far fewer than its words."""
+    rng = random.Random(1)
+    text = " ".join({"".join(rng.choice("thandersioué") for _ in range(rng.randrange(4, 12))) for _ in range(50_000)})
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    OURS.forget()
+    sys.setprofile(count)
+    try:
+        got = ids(text)
+    finally:
+        sys.setprofile(None)
+    assert got == REAL.encode(text, add_special_tokens=False).ids
+    assert calls < len(text.split()) // 2
+
+
+def test_many_words_at_once_on_random_merges():
+    rng = random.Random(3)
+    for _ in range(60):
+        tokens, merges = list("abc"), []
+        for _ in range(rng.randrange(14)):
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens:
+                tokens.append(a + b)
+                merges.append((a, b))
+        auto = MergeAutomaton({t: i for i, t in enumerate(tokens)}, merges)
+        words = ["".join(rng.choice("aabc") for _ in range(rng.randrange(14))) for _ in range(rng.choice([1, 31, 32, 33, 90]))] + ["ab" * 40, ""]
+        rng.shuffle(words)
+        found, counts = auto.walk(np.array(["abc".index(c) for w in words for c in w], np.int64), np.array([len(w) for w in words]))
+        got = [[auto.labels[t] for t in part] for part in np.split(found, np.cumsum(counts)[:-1])]
+        assert got == [greedy(w, merges) for w in words]
+
+
+def rows_of(tokenizer, texts):
+    found, bounds = tokenizer.encode_all(texts)
+    assert bounds[0] == 0 and bounds[-1] == len(found)
+    return [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_many_texts_at_once():
+    parts = ["'s", "'re", "'ll", "''s", "'", "don't", "...'ve", "'S", "<|endoftext|>", "<|startoftext|>", "x<|endoftext|>'s", "<|endoftext|", "1½２", "é", "e\u0301", "Σ", "İ", "日本", "🙂", "\x1c", "\x85", "\u2028", "\u2001", " ", "  ", "\n", "\u0301", "ab", "The", "a" * 90, "\u00ff", "\U000e0001"]
+    rng = random.Random(5)
+    texts = [None, "", " ", *CASES, *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)), "b" * 5000]
+    want = [REAL.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time all pieces are kept
+        assert rows_of(OURS, texts) == want
+    assert rows_of(OURS, []) == [] and rows_of(OURS, [None]) == [[]]
+
+
+def test_kept_pieces_are_few(monkeypatch):
+    monkeypatch.setattr("poolsieve.llm.bpe.MAX_KEPT", 40)
+    OURS.forget()
+    rng = random.Random(7)
+    for size in (10, 39, 60, 5, 30, 30):
+        texts = ["".join(rng.choice("abcdé") for _ in range(6)) for _ in range(size)]
+        assert rows_of(OURS, texts) == [REAL.encode(t, add_special_tokens=False).ids for t in texts]
+        assert OURS.kept is None or len(OURS.kept[0]) == len(OURS.kept[2]) <= 40
+    OURS.forget()
+
+
+def test_another_pattern_and_missing_symbols():
+    spec = json.loads(SPEC)
+    told = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+    told["Regex"] = told["Regex"].replace("[\\p{N}]|", r"[\p{N}]+|").replace(r"[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]")
+    model = spec["model"]
+    gone = {t for t in model["vocab"] if t in ("q", "z</w>") or len(t.removesuffix("</w>")) > 1 and set("qz") & set(t.removesuffix("</w>"))}
+    model["vocab"] = {f"<gone{i}>" if t in gone else t: i for t, i in model["vocab"].items()}
+    model["merges"] = [m for m in model["merges"] if not gone & {*m, "".join(m)}]
+    real, ours = tokenizers.Tokenizer.from_str(json.dumps(spec)), Tokenizer(spec)
+    texts = [*CASES, "1234 ... x<|endoftext|>99", "quick aqua", "ab 12"]
+    assert rows_of(ours, texts) == [real.encode(t, add_special_tokens=False).ids for t in texts]
