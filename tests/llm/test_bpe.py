@@ -108,7 +108,9 @@ def test_words_are_walked_together():
     assert calls < len(text.split()) // 2
 
 
-def test_many_words_at_once_on_random_merges():
+@pytest.mark.parametrize("few", [1, 32, 1000])
+def test_many_words_at_once_on_random_merges(monkeypatch, few):
+    monkeypatch.setattr("poolsieve.llm.bpe.FEW", few)
     rng = random.Random(3)
     for _ in range(60):
         tokens, merges = list("abc"), []
@@ -131,7 +133,31 @@ def rows_of(tokenizer, texts):
     return [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
 
 
-def test_many_texts_at_once():
+def test_few_long_words_are_walked_by_themselves():
+    """Arrays of few words would take many calls for each position."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("thandersiou") for _ in range(3000)) for _ in range(8)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    OURS.forget()
+    OURS.automaton.have_arcs(np.array([0]), np.array([1]))
+    sys.setprofile(count)
+    try:
+        found = OURS.encode_all(texts)[0]
+    finally:
+        sys.setprofile(None)
+    assert found.tolist() == [i for t in texts for i in REAL.encode(t, add_special_tokens=False).ids]
+    assert calls < 20 * 8 * 3000
+
+
+@pytest.mark.parametrize("few", [2, 1000])
+def test_many_texts_at_once(monkeypatch, few):
+    monkeypatch.setattr("poolsieve.llm.bpe.FEW", few)
+    OURS.forget()
     parts = ["'s", "'re", "'ll", "''s", "'", "don't", "...'ve", "'S", "<|endoftext|>", "<|startoftext|>", "x<|endoftext|>'s", "<|endoftext|", "1½２", "é", "e\u0301", "Σ", "İ", "日本", "🙂", "\x1c", "\x85", "\u2028", "\u2001", " ", "  ", "\n", "\u0301", "ab", "The", "a" * 90, "\u00ff", "\U000e0001"]
     rng = random.Random(5)
     texts = [None, "", " ", *CASES, *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)), "b" * 5000]
